@@ -10,7 +10,7 @@ from . import bpe, exact_dedup, mixing, secrets, simhash, token_counts, token_fi
 from .shared import load
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(load(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+    return bpe.round_trip(load(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
