@@ -6,29 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a query under ``name``."""
-
-    def add(f):
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return add
+from . import registry
+from .queries import diffs, history, quality, scoring, text, vectors  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(registry.SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Canonical documents, scored by weighted rules and ranked."""
+    return scoring.ranked_documents(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ def token_estimate(x: Column) -> Column:
 
 def cost(units: Column, per_thousand: str) -> Column:
     """Decimal price, half up at six places."""
-    price = F.lit(per_thousand).cast("decimal(18,6)")
-    return F.round(units.cast("decimal(18,6)") * price / F.lit(1000).cast("decimal(18,0)"), 6).cast("decimal(18,6)")
+    each = str(Decimal(per_thousand) / 1000)
+    return F.round(units.cast("decimal(18,0)") * F.lit(each).cast("decimal(18,12)"), 6).cast("decimal(18,6)")
 
 
 def iso_week(ts: Column) -> Column:

@@ -10,18 +10,29 @@ from .text import normalise, tokens
 DIM = 256
 
 
+def _bound(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` computed once, though lambdas inside ``f`` use it often."""
+    return F.transform(F.array(x), f)[0]
+
+
 def token_hash(x: Column) -> Column:
     """256 counts: each token adds one at the last byte of its MD5."""
-    slots = F.transform(tokens(x), lambda t: F.conv(F.substring(F.md5(t), 31, 2), 16, 10).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    last_bytes = F.transform(tokens(x), lambda t: F.concat(F.lit(" "), F.substring(F.md5(t), 31, 2)))
+
+    def count(slots: Column, i: Column) -> Column:
+        """How often the byte occurs, by what the text of bytes loses without it; three characters each."""
+        name = F.concat(F.lit(" "), F.lower(F.lpad(F.hex(i), 2, "0")))
+        return (F.length(slots) - F.length(F.replace(slots, name, F.lit("")))) / 3
+
+    counts = lambda slots: F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: count(slots, i))
+    return _bound(F.array_join(last_bytes, ""), counts)
 
 
 def text_hash(x: Column, dim: int = 24) -> Column:
     """A vector from the SHA-256 of the whole normalised text: two-byte windows that wrap, in [-1, 1]."""
-    hexed = F.sha2(normalise(x), 256)
-    twice = F.concat(hexed, hexed)
-    window = lambda i: F.conv(F.substr(twice, (2 * (i * 2 % 32) + 1).cast("int"), F.lit(4)), 16, 10).cast("double")
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.round(window(i) / 32767.5 - 1, 8))
+    window = lambda h, i: F.conv(F.substr(h, (2 * (i * 2 % 32) + 1).cast("int"), F.lit(4)), 16, 10).cast("double")
+    windows = lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.round(window(h, i) / 32767.5 - 1, 8))
+    return _bound(F.sha2(normalise(x), 256), windows)
 
 
 def dot(a: Column, b: Column) -> Column:
