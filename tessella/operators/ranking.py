@@ -31,16 +31,6 @@ def top(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
     return rows.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def gate(rows: DataFrame, order: list[Column], k: int, name: str = "evaluated") -> DataFrame:
-    """All rows, the first ``k`` marked, so that costly work can be kept to them."""
-    bound = top(rows, order, k).select(*rows.columns).agg(F.max(F.struct(*_negated(order))).alias("__last"))
-    return rows.join(F.broadcast(bound)).withColumn(name, F.struct(*_negated(order)) <= F.col("__last")).drop("__last")
-
-
-def _negated(order: list[Column]) -> list[Column]:
-    return [c.alias(f"k{i}") for i, c in enumerate(order)]
-
-
 def greedy_budget(rows: DataFrame, group: str, order: str, cost: str, budget: int, free: str | None = None) -> DataFrame:
     """group, order, selected: in order, a row is taken if it still fits its group's budget, else passed over.
 
