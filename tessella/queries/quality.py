@@ -160,3 +160,52 @@ def label_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("old"))
     s = cosine_to_profile(spark, sf_dir)
     return e.join(s, "vec_id").select("vec_id", F.when(F.col("similarity") >= 0.2, "relevant").otherwise(F.col("old")).alias("relevance"))
+
+
+@query(
+    "json_walk",
+    """SELECT path, count(*) AS n, min(value) AS least FROM (SELECT '$.k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE event_id % 2 = 0
+  UNION ALL SELECT '$.a[0]', json_extract_string(props, '$.k') FROM events WHERE event_id % 2 = 1 UNION ALL SELECT '$.a[1].t', event_type FROM events WHERE event_id % 2 = 1) GROUP BY path""",
+)
+def json_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalars of nested records by their path; half of the records are wrapped more deeply."""
+    from ..functions.records import walk
+
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    deep = F.concat(F.lit('{"a": ['), k, F.lit(', {"t": "'), F.col("event_type"), F.lit('"}]}'))
+    e = e.select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(deep).alias("j"))
+    return walk(e, "event_id", "j", depth=4).groupBy("path").agg(F.count("*").alias("n"), F.min("value").alias("least"))
+
+
+@query(
+    "record_problems",
+    """SELECT array_to_string(list_filter([CASE WHEN event_id % 5 = 0 THEN '$.id: missing' END, CASE WHEN event_id % 3 = 0 THEN '$.v: string' END], lambda x: x IS NOT NULL), '; ') AS problems, count(*) AS n
+FROM events WHERE event_id % 7 <> 0 GROUP BY 1 UNION ALL SELECT '$: no JSON', count(*) FROM events WHERE event_id % 7 = 0""",
+)
+def record_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing keys and wrong kinds in JSON records."""
+    from ..functions.records import problems
+
+    i = F.col("event_id")
+    parts = F.concat_ws(", ", F.when(i % 5 != 0, F.concat(F.lit('"id": '), i)), F.when(i % 3 == 0, F.lit('"v": "x"')).otherwise(F.concat(F.lit('"v": '), F.col("value"))))
+    record = F.when(i % 7 == 0, F.lit("{broken")).otherwise(F.concat(F.lit("{"), parts, F.lit("}")))
+    found = table(spark, sf_dir, "events").select(F.array_join(problems(record, {"id": "BIGINT", "v": "DOUBLE"}), "; ").alias("problems"))
+    return found.groupBy("problems").agg(F.count("*").alias("n"))
+
+
+@query(
+    "enrichment_state",
+    """WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN html END AS api, CASE WHEN page_id % 4 <> 1 THEN left(html, CAST(page_id AS INT) * 5) END AS h, CASE WHEN page_id % 5 = 0 THEN 'timeout' END AS e FROM pages),
+q AS (SELECT *, length(coalesce(api, '')) AS a, length(coalesce(h, '')) AS b FROM p),
+s AS (SELECT *, CASE WHEN a >= 200 OR b >= 200 THEN 'enriched' WHEN e IS NOT NULL AND a + b = 0 THEN 'unavailable' WHEN a + b = 0 THEN 'empty' ELSE 'partial' END AS status,
+  CASE WHEN a >= 200 THEN 'api' WHEN b >= 200 THEN 'html' WHEN e IS NOT NULL AND a + b = 0 THEN 'error:' || e WHEN a + b = 0 THEN 'no_text' ELSE 'short_text' END AS reason FROM q)
+SELECT status, reason, a < 200 AND status IN ('partial', 'empty') AS needs_fallback, count(*) AS n FROM s GROUP BY ALL""",
+)
+def enrichment_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.records import enrichment
+
+    i = F.col("page_id")
+    api, html = F.when(i % 3 == 0, F.col("html")), F.when(i % 4 != 1, F.substr("html", F.lit(1), (i * 5).cast("int")))
+    state = enrichment(api, html, F.when(i % 5 == 0, F.lit("timeout")))
+    return table(spark, sf_dir, "pages").select(state.alias("s")).select("s.*").groupBy("status", "reason", "needs_fallback").agg(F.count("*").alias("n"))

@@ -24,7 +24,7 @@ def explode_objects(rows: DataFrame, column: str) -> DataFrame:
     """``rows`` for each object of the JSON array in ``column``: _ord and record (variant) are added."""
     parsed = rows.withColumn("__v", F.try_parse_json(column)).drop(column)
     parsed = parsed.where(F.col("__v").isNotNull() & F.schema_of_variant("__v").startswith("ARRAY"))
-    items = parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("__v").outer())) if hasattr(parsed, "lateralJoin") else parsed
+    items = parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("__v").outer()))
     items = items.where(F.schema_of_variant("value").startswith("OBJECT"))
     keep = [c for c in rows.columns if c != column]
     return items.select(*keep, F.col("pos").alias("_ord"), F.col("value").alias("record"))
