@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 
 def one_a_key(rows: DataFrame, key: str, order: str, last: bool = True) -> DataFrame:
-    """The last (or first) row by ``order`` of each key."""
-    by = F.desc(order) if last else F.asc(order)
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(by))).where("__n = 1").drop("__n")
+    """The last (or first) row by ``order`` of each key; an aggregate that combines before the shuffle."""
+    pick = F.max_by if last else F.min_by
+    found = rows.groupBy(F.col(key).alias("__key")).agg(pick(F.struct(*rows.columns), F.col(order)).alias("__row"))
+    return found.select(*[F.col(f"__row.{c}").alias(c) for c in rows.columns])
 
 
 def diff(before: DataFrame, after: DataFrame, key: str, fields: list[str], clean=lambda c: c, gate: str | None = None) -> DataFrame:

@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 
 def canonical(rows: DataFrame, group: list[str], best: list[Column], provenance: str) -> DataFrame:
-    """One row a group, the first by ``best``, with ``duplicates``: the sorted ``provenance`` of the others.
+    """One row a group, the smallest by ``best``, with ``duplicates``: the sorted ``provenance`` of the others.
 
-    ``best`` must order totally; equal keys are settled by ``provenance``.
+    Equal keys are settled by ``provenance``, nulls last.  Both are aggregates that combine before the
+    shuffle, so a group with a large part of all rows moves one row and one list for each task.
     """
-    by = Window.partitionBy(*group)
-    ranked = rows.withColumn("__rank", F.row_number().over(by.orderBy(*best, F.col(provenance).asc_nulls_last())))
-    others = F.sort_array(F.collect_list(F.when(F.col("__rank") > 1, F.col(provenance))).over(by))
-    return ranked.withColumn("duplicates", others).where("__rank = 1").drop("__rank")
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(best)], F.col(provenance).isNull().alias("n"), F.col(provenance).alias("p"))
+    found = rows.groupBy(*group).agg(
+        F.min_by(F.struct(*rows.columns), key).alias("__best"), F.sort_array(F.collect_list(provenance)).alias("__ids")
+    )
+    first = F.array_position("__ids", F.col(f"__best.{provenance}"))
+    others = F.filter("__ids", lambda _, i: F.coalesce(i != first - 1, F.lit(True)))
+    return found.select(*[F.col(f"__best.{c}").alias(c) for c in rows.columns], others.alias("duplicates"))
 
 
 def families(rows: DataFrame, family: str, score: str, order: str) -> DataFrame:

@@ -84,7 +84,7 @@ def rule_hits_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical documents by falling score: of equal normalised texts the one with the largest original stays."""
     scored = scored_documents(spark, sf_dir).select("doc_id", "source", "final_score", "n_chars", F.sha2(text.normalise(F.col("text")), 256).alias("text_hash"))
-    one = ranking.canonical(scored, ["text_hash"], [F.desc("n_chars"), F.desc("final_score")], "doc_id")
+    one = ranking.canonical(scored, ["text_hash"], [-F.col("n_chars"), -F.col("final_score")], "doc_id")
     return ranking.top(one.select("doc_id", "source", "final_score", F.size("duplicates").alias("n_duplicates")), [F.desc("final_score"), F.asc("doc_id")], 100)
 
 
@@ -110,7 +110,7 @@ SELECT min(doc_id) FILTER (k = 1) AS doc_id, text_hash, array_to_string(list_sor
 def canonical_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best row of each group of equal normalised texts: longest, with a source, first."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n"), F.sha2(text.normalise(F.col("text")), 256).alias("text_hash"))
-    one = ranking.canonical(d, ["text_hash"], [F.desc("n"), (F.coalesce("source", F.lit("")) == "").asc()], "doc_id")
+    one = ranking.canonical(d, ["text_hash"], [-F.col("n"), F.coalesce("source", F.lit("")) == ""], "doc_id")
     joined = F.array_join(F.col("duplicates").cast("array<string>"), ",")
     return one.select("doc_id", "text_hash", F.when(F.size("duplicates") > 0, joined).alias("duplicates"))
 

@@ -16,7 +16,7 @@ def test_canonical_row_ignores_input_order(spark):
     for seed in range(3):
         random.Random(seed).shuffle(data)
         d = spark.createDataFrame(data, "g string, id int, n int, s string")
-        one = ranking.canonical(d, ["g"], [F.desc("n"), (F.coalesce("s", F.lit("")) == "").asc()], "id")
+        one = ranking.canonical(d, ["g"], [-F.col("n"), F.coalesce("s", F.lit("")) == ""], "id")
         seen.add(str(rows(one, "g", "id", "duplicates")))
     assert seen == {"[('g', 3, [1, 2, 5]), ('h', 4, [])]"}
 
