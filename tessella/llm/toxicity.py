@@ -5,7 +5,8 @@ letters, each as a 64-bit hash.  The machine scores ``w0 + sum w_i x_i + sum_{i<
 with ``x_i`` 1 for the terms present, so a pair of terms can weigh more than both alone.
 
 Fitting uses a bounded sample: at most about ``SAMPLE`` labelled documents of each class, chosen by a
-hash of doc_id.  Terms are selected by a z-test of their document frequencies in the two classes;
+hash of doc_id.  Terms are selected by a z-test of their document frequencies in the two classes (a
+term that only a pair makes telling, and that is as frequent in both classes, is not selected);
 collisions are avoided by keeping the selected hashes themselves.  Scoring reads whole texts.
 
 Defined results: null and empty texts score as texts without terms; documents with a null doc_id are
@@ -32,11 +33,13 @@ from .shared import cut
 #: Labelled documents of each class that are fitted on, about.
 SAMPLE = 4_000
 #: Terms that the machine knows at most, and the least z of their class difference.
-TERMS, LEAST_Z, LEAST_DF = 4_096, 4.0, 3
+TERMS, LEAST_Z, LEAST_DF = 4_096, 4.0, 4
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 30, 64, 0.1, 1e-4
+#: Steps that a fit takes at least: small samples are gone through more often.
+STEPS = 4_000
 PREFIX = 5
 #: Words a cache of a worker may hold.
-CACHE = 400_000
+CACHE = 100_000
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -86,12 +89,12 @@ class Machine:
 def fit(rows: list[list[int]], y: np.ndarray, n_terms: int, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
     """AdaGrad on the logistic loss; the two classes weigh the same."""
     rng = np.random.default_rng(seed)
-    w0, w, v = 0.0, np.zeros(n_terms), rng.normal(0, 0.01, (n_terms, FACTORS))
+    w0, w, v = 0.0, np.zeros(n_terms), rng.normal(0, 0.1, (n_terms, FACTORS))
     g0, gw, gv = 1e-8, np.full(n_terms, 1e-8), np.full((n_terms, FACTORS), 1e-8)
     lengths = np.array([len(r) for r in rows])
     starts, flat = np.concatenate(([0], np.cumsum(lengths))), np.array([i for r in rows for i in r], np.int64)
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, STEPS * BATCH // max(1, len(y)))):
         order = rng.permutation(len(y))
         for at in range(0, len(order), BATCH):
             docs = order[at : at + BATCH]
@@ -142,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["toxic", "terms"])
 
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    bags = cut(texts.select("toxic", "text").mapInArrow(to_terms, "toxic int, terms array<long>"))
+    # copies of a text count once: else their rare words would look telling
+    bags = cut(texts.select("toxic", "text").mapInArrow(to_terms, "toxic int, terms array<long>").distinct())
     n = {r["toxic"]: r["n"] for r in bags.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if set(n) != {0, 1}:
         return Machine(np.zeros(0, np.int64), 30.0 if set(n) == {1} else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
