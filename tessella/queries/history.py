@@ -148,3 +148,17 @@ def stage_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.unix_micros(F.col("ts").cast("timestamp"))
     d = table(spark, sf_dir, "events").select("event_type", (F.lead(t).over(w) - t).alias("d")).where("d IS NOT NULL")
     return d.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("d") / 1e6, 3).alias("seconds"), F.round(F.max("d") / 1e6, 3).alias("longest"))
+
+
+@query("stream_last_seen", "SELECT DISTINCT user_id, 'new' AS kind, CAST(NULL AS INT) AS score_delta FROM events")
+def stream_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream: alerts of each batch against the state before it; in the first all users are new."""
+    from ..session import working_folder
+    from ..streaming.last_seen import follow
+
+    schema = table(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # as a pattern, a file or a folder
+    rows = rows.select("user_id", "ts", F.floor("value").cast("int").alias("score"), F.col("event_type").alias("content"))
+    at = working_folder(spark, "last-seen")
+    follow(rows, "user_id", "ts", "score", "content", 10, f"{at}/state", f"{at}/alerts", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/alerts").select("user_id", "kind", "score_delta")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Adaptive execution re-plans joins and splits skewed partitions; UTC fixes dates.
@@ -17,3 +20,13 @@ SETTINGS = {
 def session(name: str = "tessella", **extra: str) -> SparkSession:
     """The running session, or a new one with ``SETTINGS``."""
     return SparkSession.builder.appName(name).config(map=SETTINGS | extra).getOrCreate()
+
+
+def working_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``; where that is unset, a temporary one, in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tessella-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
