@@ -23,7 +23,6 @@ MODEL = rules.ScoreModel(
     bands=(("core", 1.25), ("near", 1.1), ("far", 0.85)),
     nudges=(("core", 6), ("near", 2)),
 )
-_TITLE = F.split_part(F.col("text"), F.lit("."), F.lit(1))
 _BAND = [("core", "^src[0-4]$"), ("near", "^src[5-9]$"), ("far", "^src1[5-9]$")]
 
 
@@ -62,7 +61,7 @@ def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with title, band and scores; the label is the quality mark where there is one."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
     d = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
-    d = d.withColumns({"title": _TITLE, "band": rules.first_match(F.col("source"), _BAND, "other")})
+    d = d.withColumns({"title": F.split_part("text", F.lit("."), F.lit(1)), "band": rules.first_match(F.col("source"), _BAND, "other")})
     return rules.score(d, MODEL, "title", "text", "label", "band")
 
 
@@ -115,9 +114,6 @@ def canonical_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("doc_id", "text_hash", F.when(F.size("duplicates") > 0, joined).alias("duplicates"))
 
 
-_BLEND = rules.blend(F.col("final_score"), F.col("other"), 0.4, floor=20, most=15)
-
-
 @query(
     "blend_score",
     f"""WITH {_SCORED}, o AS (SELECT doc_id, CASE WHEN quality IS NOT NULL THEN quality * 70 + toxic * 10 END AS other FROM labels),
@@ -128,7 +124,7 @@ SELECT doc_id, CAST(CASE WHEN other IS NULL THEN final_score ELSE greatest(base
 def blend_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule scores mixed with a second score where there is one."""
     other = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 70 + F.col("toxic") * 10).alias("other"))
-    return scored_documents(spark, sf_dir).select("doc_id", "final_score").join(other, "doc_id", "left").select("doc_id", _BLEND.alias("blended"))
+    return scored_documents(spark, sf_dir).select("doc_id", "final_score").join(other, "doc_id", "left").select("doc_id", rules.blend(F.col("final_score"), F.col("other"), 0.4, floor=20, most=15).alias("blended"))
 
 
 _CASES = [("brass", "BRASS|Brass"), ("steel", "STEEL|Steel"), ("copper", "COPPER|Copper")]
