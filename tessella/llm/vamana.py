@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 DEGREE, BUILD_BEAM, BEAM, WIDTH, ALPHA = 32, 64, 128, 4, 1.2
-#: Nodes in a shard and queries in a group, about.
-SHARD, QUERIES = 16_384, 8_192
+#: Nodes in a shard and queries in a group, about; long vectors make shards smaller, to this many bytes.
+SHARD, QUERIES, SHARD_BYTES = 16_384, 8_192, 64 << 20
 #: Queries searched at a time: bounds memory.
 STEP = 512
 SALTS = 64
@@ -170,7 +170,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, shard: int = SH
     some = rows.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).alias("salt")).agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
     nodes = some.groupBy("v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
     nodes = cut(nodes.withColumn("key", F.xxhash64("v")))
-    shards = max(1, -(-nodes.count() // shard))
+    shards = max(1, -(-nodes.count() // min(shard, max(1_024, SHARD_BYTES // (8 * d)))))
     asked = rows.where(F.col("vec_id") % every == 0).withColumn("key", F.xxhash64("v"))
     questions = cut(asked.select("key", "v").distinct())
     groups = max(1, -(-questions.count() // QUERIES))
