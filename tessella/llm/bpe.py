@@ -29,9 +29,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkedEncoder, Chunks
+from .chunks import ChunkedEncoder, Chunks, pieces
 
-MAX_STATES = 250_000
+MAX_STATES = 60_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -106,7 +106,7 @@ class MergeTransducer:
     def fits(self, left: int, right: int) -> bool:
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) >= 1_000_000:
+            if len(self.pairs) >= 200_000:
                 self.pairs.clear()
             known = self._merge(self.tokens[left] + self.tokens[right]) == [left, right]
             self.pairs[left, right] = known
@@ -231,10 +231,8 @@ class ByteBpe:
         self.pieces = Chunks(self._piece)
 
     def _chunk(self, chunk: str) -> bytes:
-        pieces = self.split.findall(chunk)
-        if len(pieces) != 1:
-            return b"".join(map(self.pieces.__getitem__, pieces))
-        return self._piece(chunk)
+        found = pieces(chunk, self.split.findall)
+        return self._piece(chunk) if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
 
     def _piece(self, piece: str) -> bytes:
         ids = self.machine.encode(piece.encode("utf-8", "replace"))

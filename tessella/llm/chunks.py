@@ -13,23 +13,35 @@ import re
 #: Unicode White_Space (fixed values), as the split pattern's \s has it.
 _WS = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: Entries a cache may hold before it starts anew: bounds a worker's memory.
-CACHE = 600_000
+#: Marks that never join letters.
+_MARKS = frozenset(".,;:!?")
+#: Entries a cache may hold before it starts anew: bounds a worker's memory (about 200 bytes each).
+CACHE = 150_000
 #: Longer chunks are not remembered.
 LONG = 64
 
 
+def pieces(chunk: str, split) -> list[str]:
+    """A chunk's pieces by ``split``, which words and words with a mark after them don't need."""
+    word = chunk[1:] if chunk[0] == " " else chunk
+    if word.isalpha():
+        return [chunk]
+    if word[-1:] in _MARKS and word[:-1].isalpha():
+        return [chunk[:-1], chunk[-1]]
+    return split(chunk)
+
+
 class Chunks(dict):
     """chunk -> value, made by ``make`` at first sight and kept within bounds."""
 
-    def __init__(self, make, prefix: str = ""):
+    def __init__(self, make, prefix: str = "", most: int = CACHE):
         super().__init__()
-        self.make, self.prefix = make, prefix
+        self.make, self.prefix, self.most = make, prefix, most
 
     def __missing__(self, chunk: str):
         value = self.make(self.prefix + chunk)
         if len(chunk) <= LONG:
-            if len(self) >= CACHE:
+            if len(self) >= self.most:
                 self.clear()
             self[chunk] = value
         return value
@@ -38,8 +50,8 @@ class Chunks(dict):
 class ChunkedEncoder:
     """Encodes texts piecewise with ``make(chunk) -> bytes``; the pieces are concatenated."""
 
-    def __init__(self, make):
-        self.bare, self.spaced, self.newline = Chunks(make), Chunks(make, " "), make("\n")
+    def __init__(self, make, most: int = CACHE):
+        self.bare, self.spaced, self.newline = Chunks(make, "", most), Chunks(make, " ", most), make("\n")
 
     def __call__(self, text: str | None) -> bytes:
         out = []
