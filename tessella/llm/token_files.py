@@ -16,41 +16,72 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import struct
 import zlib
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .chunks import ChunkedEncoder
-from .shared import shared_path
+from .chunks import ChunkedEncoder, Chunks, pieces
+from .shared import cut, shared_path
 
 END = 2
 #: Documents in a bucket, about, and ids in a run, at least (but for a bucket's last).
 BUCKET, RUN = 8_192, 1 << 18
 #: Buckets become larger beyond this many.
 MOST_BUCKETS = 10_000
+#: Runs whose starts (24 bytes each) may be broadcast.
+MOST_STARTS = 1_000_000
+#: Chunks that a worker remembers.
+CACHE = 500_000
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones as they are, others from 256 on."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Encoder:
     """Ids of whole texts by the ``tokenizers`` library; special tokens are ordinary text.
 
-    The library splits a chunk into its pieces and its model encodes each; see ``chunks``.
+    Chunks (see ``chunks``) are split by the vocabulary's pattern, and the library's model encodes each
+    piece; pieces are remembered too.  A tokenizer with any other processing is refused.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.splitter, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
-        self.encode_bytes = ChunkedEncoder(self._chunk)
+        with open(path) as f:
+            made = json.load(f)
+        splits = made["pre_tokenizer"]
+        if splits["type"] != "ByteLevel" or splits["add_prefix_space"] or not splits.get("use_regex", True) or made["normalizer"]:
+            raise ValueError("only a plain byte-level tokenizer can be encoded chunk by chunk")
+        tokenizer = Tokenizer.from_file(path)
+        self.model, self.splitter, self.letters = tokenizer.model, tokenizer.pre_tokenizer, _byte_letters()
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.pieces, self.encode_bytes = Chunks(self._piece, most=CACHE), ChunkedEncoder(self._chunk, most=CACHE)
 
     def _chunk(self, chunk: str) -> bytes:
-        ids = [t.id for piece, _ in self.splitter.pre_tokenize_str(chunk) for t in self.model.tokenize(piece)]
-        return np.array(ids, "<u4").tobytes()
+        if not chunk.isascii() and max(chunk) > "\u024f":  # beyond Latin, letters depend on the library's own tables
+            return b"".join(self._encoded(piece) for piece, _ in self.splitter.pre_tokenize_str(chunk))
+        found = pieces(chunk, self.split)
+        return self._piece(chunk) if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
+
+    def _encoded(self, letters: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        return self._encoded(piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters))
 
 
 @lru_cache(maxsize=4)
@@ -141,11 +172,11 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = END, bucket: in
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for w, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen = np.bincount(_ids(w, raw))
-                if len(seen) > len(total):
-                    total = np.concatenate((total, np.zeros(len(seen) - len(total), np.int64)))
-                total[: len(seen)] += seen
+            ids = [_ids(w, raw) for w, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            seen = np.bincount(np.concatenate(ids)) if ids else total[:0]
+            if len(seen) > len(total):
+                total = np.concatenate((total, np.zeros(len(seen) - len(total), np.int64)))
+            total[: len(seen)] += seen
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
@@ -195,7 +226,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     inside = Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     starts = runs.select("bucket", "run", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("inside"))
     starts = starts.join(base, "bucket").select("run", (F.col("base") + F.col("inside")).alias("start"))
-    whole = files.join(starts, "run").select("start", "doc_ids", "counts", "n", "control", "data")
+    starts = cut(starts)
+    small = starts.count() <= MOST_STARTS  # a row for RUN ids: some 24 bytes for a quarter of a million ids
+    whole = files.join(F.broadcast(starts) if small else starts, "run").select("start", "doc_ids", "counts", "n", "control", "data")
 
     def unpack(batches):
         for batch in batches:
