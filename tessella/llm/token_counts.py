@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut
 from .token_files import encoder
 
 #: Lengths that share a partition of the suffix sums.
@@ -34,7 +35,8 @@ def lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
 def histogram(lengths: DataFrame) -> DataFrame:
     """For each length: docs, tokens; docs and tokens of that length or more; tokens when texts are cut there;
     and the share of documents that are not longer."""
-    rows = lengths.groupBy("length").agg(F.count("*").alias("docs")).withColumn("tokens", F.col("length") * F.col("docs"))
+    # cut: both the sums over spans and those inside use it, and texts are encoded once
+    rows = cut(lengths.groupBy("length").agg(F.count("*").alias("docs")).withColumn("tokens", F.col("length") * F.col("docs")))
     rows = rows.withColumn("_span", F.floor(F.col("length") / SPAN))
     spans = rows.groupBy("_span").agg(F.sum("docs").alias("_d"), F.sum("tokens").alias("_t"))
     after = Window.orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)  # one row a span of lengths
