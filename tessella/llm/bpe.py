@@ -31,7 +31,10 @@ from pyspark.sql import functions as F
 
 from .chunks import ChunkedEncoder, Chunks, pieces
 
-MAX_STATES = 60_000
+#: What a worker remembers: transducer states (and four times as many token pairs), and chunks of each kind.
+MAX_STATES, MAX_CHUNKS = 250_000, 600_000
+#: The same where executors are short of memory: slower, some 200 MB a worker less.
+FEW_STATES, FEW_CHUNKS = 60_000, 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -106,7 +109,7 @@ class MergeTransducer:
     def fits(self, left: int, right: int) -> bool:
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) >= 200_000:
+            if len(self.pairs) >= 4 * self.max_states:
                 self.pairs.clear()
             known = self._merge(self.tokens[left] + self.tokens[right]) == [left, right]
             self.pairs[left, right] = known
@@ -220,15 +223,15 @@ class StreamDecoder:
 class ByteBpe:
     """A rank file's vocabulary with the pattern that splits text before the merges."""
 
-    def __init__(self, path: str, pattern: str):
-        self.machine = MergeTransducer(read_ranks(path))
+    def __init__(self, path: str, pattern: str, states: int = MAX_STATES, chunks: int = MAX_CHUNKS):
+        self.machine = MergeTransducer(read_ranks(path), states)
         self.split = regex.compile(pattern)
         ids = self.machine.tokens
         self.tokens = [ids.get(i, b"") for i in range(max(ids) + 1)]
         self.after = Utf8Machine().over(self.tokens)
         self.rows_after = self.after.tolist()
-        self.encode_bytes = ChunkedEncoder(self._chunk)
-        self.pieces = Chunks(self._piece)
+        self.encode_bytes = ChunkedEncoder(self._chunk, chunks)
+        self.pieces = Chunks(self._piece, most=chunks)
 
     def _chunk(self, chunk: str) -> bytes:
         found = pieces(chunk, self.split.findall)
@@ -249,10 +252,10 @@ class ByteBpe:
         return b"".join(out)
 
 
-@lru_cache(maxsize=4)
-def codec(path: str, pattern: str) -> ByteBpe:
+@lru_cache(maxsize=1)
+def codec(path: str, pattern: str, states: int = MAX_STATES, chunks: int = MAX_CHUNKS) -> ByteBpe:
     """One codec a worker."""
-    return ByteBpe(path, pattern)
+    return ByteBpe(path, pattern, states, chunks)
 
 
 def _per_text(docs: DataFrame, schema: str, names: list[str], rows) -> DataFrame:
@@ -285,11 +288,14 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: texts are encoded and their ids decoded in one pass."""
+def round_trip(docs: DataFrame, path: str, pattern: str, states: int = MAX_STATES, chunks: int = MAX_CHUNKS) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: texts are encoded and their ids decoded in one pass.
+
+    ``states`` and ``chunks`` bound what a worker remembers; results don't depend on them.
+    """
 
     def rows(texts):
-        bpe, n, of_ids, of_text = codec(path, pattern), [], [], []
+        bpe, n, of_ids, of_text = codec(path, pattern, states, chunks), [], [], []
         for t in texts:
             raw = bpe.encode_bytes(t.as_py())
             n.append(len(raw) // 4)
