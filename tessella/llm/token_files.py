@@ -41,7 +41,7 @@ MOST_BUCKETS = 10_000
 #: Runs whose starts (24 bytes each) may be broadcast.
 MOST_STARTS = 1_000_000
 #: Chunks that a worker remembers.
-CACHE = 500_000
+CACHE = 350_000
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
