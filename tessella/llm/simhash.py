@@ -178,12 +178,13 @@ def near_groups(docs: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS,
 
 # --- near copies by the similarity of five-word shingles -----------------------------------------
 
-
-def word_fingerprint(words: list[bytes], seed: int) -> int:
-    """The fingerprint of distinct words, each counting once."""
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(seed)), np.uint64, len(words))
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(words), bitorder="little").view(np.uint64)[0])
+#: One document in so many is counted to find frequent shingles, which are looked at last; at most so many are kept.
+SAMPLE, FREQUENT = 16, 100_000
+#: Buckets up to this size may become pairs, if those are at most PAIRS a member; others are searched with their sets.
+PAIRED, PAIRS = 1024, 8
+#: Shingles of a block; larger buckets are searched by each two of their blocks.
+BLOCK_SHINGLES = 1 << 21
+_POSTING = "key int, doc_id long, n int, at int"
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -194,30 +195,152 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return h.view(np.int32)
 
 
-def near_copy_edges(docs: DataFrame, least: float, shingle: int, families: int, max_bits: int, groups: int) -> DataFrame:
-    """(a, b) of doc_ids whose texts have at least ``least`` of their shingles in common."""
+def prefix(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles of a set, rare ones first: two sets whose similarity is ``least`` share one of them."""
+    n = len(found)
+    if len(frequent):
+        at = np.searchsorted(frequent, found).clip(max=len(frequent) - 1)
+        place = np.where(frequent[at] == found, counts[at], 0)
+        found = found[np.lexsort((found, place))]
+    return found[: n - int(np.ceil(least * n - 1e-9)) + 1]
+
+
+def may_pass(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` shingles whose first common one is at ``at`` and ``to`` can be similar."""
+    return np.minimum(n - at, m - to) >= least / (1 + least) * (n + m) - 1e-9
+
+
+def whole_runs(batches, keys: int):
+    """Tables of the sorted batches, none of which parts rows that are equal in their first ``keys`` columns."""
+    waiting, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(k).to_numpy() for k in range(keys)]
+        other = np.flatnonzero(np.any([v != v[-1] for v in values], axis=0))
+        tail = int(other[-1]) + 1 if len(other) else 0
+        if waiting and not tail and last == [v[-1] for v in values]:
+            waiting.append(batch)
+            continue
+        if waiting or tail:
+            yield pa.Table.from_batches([*waiting, batch.slice(0, tail)])
+        waiting, last = [batch.slice(tail)], [v[-1] for v in values]
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def runs_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal keys."""
+    new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    start = np.flatnonzero(np.concatenate(([True], new)))
+    return start, np.diff(np.concatenate((start, [len(keys[0])])))
+
+
+def spanning(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Index pairs that span all the pairs of similar sets."""
+    size = np.array([len(s) for s in sets])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    sets, mark = np.split(flat, np.cumsum(size)[:-1]), np.zeros(int(flat.max()) + 1, bool)
+    rest, frontier, out, kept = np.arange(len(sets)), [], [], None
+    while len(rest):
+        if frontier:
+            at = frontier.pop()
+        else:
+            at, rest = int(rest[0]), rest[1:]
+        if kept is None or len(rest) < 0.5 * len(kept):
+            kept = rest
+            flat = np.concatenate([sets[k] for k in kept]) if len(kept) else flat[:0]
+            starts = np.concatenate(([0], np.cumsum(size[kept])[:-1]))
+        if not len(rest):
+            break
+        mark[sets[at]] = True
+        both = np.add.reduceat(mark[flat], starts, dtype=np.int64)[np.searchsorted(kept, rest)]
+        mark[sets[at]] = False
+        near = both >= least * (size[rest] + size[at] - both)
+        found = rest[near].tolist()
+        out += [(at, k) for k in found]
+        frontier += found
+        rest = rest[~near]
+    return out
+
+
+def near_copy_edges(docs: DataFrame, least: float, shingle: int) -> DataFrame:
+    """(a, b) of doc_ids that join the same documents as all pairs do that share ``least`` of their shingles.
+
+    Each set is posted under its ``prefix``, in which similar sets meet.  A bucket of equal shingles becomes
+    the pairs that lengths and places allow; where those are many, it is searched with its members' sets.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def prints(batches):
+    def all_shingles(batches):
         for batch in batches:
-            out = []
             for text in batch.column(1).to_pylist():
-                words = sorted(set((text or "").encode("utf-8", "surrogatepass").lower().split()))
-                out.append([word_fingerprint(words, seed) if words else 0 for seed in range(families)])
-            fps = np.array(out, np.uint64).reshape(len(out), families).view(np.int64)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(fps.reshape(-1)), families).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "fps"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle))], ["key"])
 
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = cut(ids.mapInArrow(prints, "doc_id long, fps array<long>"))
-    flat = base.select("doc_id", F.posexplode("fps").alias("family", "fp"))
-    named = cut(flat.groupBy("family", "fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    alike = flat.join(named.where("n > 1"), ["family", "fp"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    links = cut(link_edges(named, max_bits, groups))
-    met = links.join(named.select("family", F.col("fp").alias("a"), F.col("first").alias("x")), ["family", "a"])
-    met = met.join(named.select("family", F.col("fp").alias("b"), F.col("first").alias("y")), ["family", "b"])
-    pairs = alike.unionByName(met.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sample = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(all_shingles, "key int")
+    often = sample.groupBy("key").agg(F.count("*").alias("n")).where("n > 3").orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow().sort_by("key")
+    frequent, counts = often["key"].to_numpy(), often["n"].to_numpy()
+
+    def post(batches):
+        for batch in batches:
+            waiting, total = [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = shingle_set(text, shingle)
+                first = prefix(found, frequent, counts, least)
+                waiting.append((first, doc_id, len(found)))
+                total += len(first)
+                if total >= 1 << 17:
+                    yield posted(waiting)
+                    waiting, total = [], 0
+            if waiting:
+                yield posted(waiting)
+
+    def posted(waiting):
+        sizes = [len(first) for first, *_ in waiting]
+        columns = [
+            np.concatenate([first for first, *_ in waiting]),
+            np.repeat(np.array([doc_id for _, doc_id, _ in waiting], np.int64), sizes),
+            np.repeat(np.array([n for *_, n in waiting], np.int32), sizes),
+            np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]),
+        ]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["key", "doc_id", "n", "at"])
+
+    def meet(batches):
+        """Pairs (a, b) of small buckets; of others the members (a, key, block i, block j)."""
+        for table in whole_runs(batches, 1):
+            key, doc, n, at = (table.column(k).to_numpy() for k in range(4))
+            start, sizes = runs_of(key)
+            small = np.repeat((sizes > 1) & (sizes <= SMALL_CELL), sizes)
+            for d in range(1, min(SMALL_CELL, int(sizes.max()))):
+                i = np.flatnonzero((key[:-d] == key[d:]) & small[:-d])
+                i = i[may_pass(n[i], at[i], n[i + d], at[i + d], least) & (doc[i] != doc[i + d])]
+                yield pairs_of(doc[i], doc[i + d])
+            for s, m in zip(start[sizes > SMALL_CELL].tolist(), sizes[sizes > SMALL_CELL].tolist()):
+                if m <= PAIRED:
+                    k, p, x = n[s : s + m], at[s : s + m], doc[s : s + m]
+                    i, j = np.nonzero(np.triu(may_pass(k[:, None], p[:, None], k, p, least) & (x[:, None] != x), 1))
+                    if len(i) <= PAIRS * m:
+                        yield pairs_of(x[i], x[j])
+                        continue
+                blocks = 1 + int(n[s : s + m].sum(dtype=np.int64)) // BLOCK_SHINGLES
+                mine = np.arange(m) % blocks
+                for to in range(blocks):
+                    take = np.arange(m)[mine != to] if blocks > 1 else np.arange(m)
+                    own = mine[take]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(doc[s + take]), pa.nulls(len(take), pa.int64()), pa.array(np.full(len(take), key[s])), pa.array(np.minimum(own, to).astype(np.int32)), pa.array(np.maximum(own, to).astype(np.int32))],
+                        ["a", "b", "key", "i", "j"],
+                    )
+
+    def pairs_of(a, b):
+        none = pa.nulls(len(a), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, none], ["a", "b", "key", "i", "j"])
+
+    postings = ids.mapInArrow(post, _POSTING).repartition("key").sortWithinPartitions("key")
+    met = cut(postings.mapInArrow(meet, "a long, b long, key int, i int, j int"))
+    pairs = cut(met.where("b IS NOT NULL").select("a", "b").distinct())
+    crowds = met.where("b IS NULL").select(F.col("a").alias("doc_id"), "key", "i", "j")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowds.select("doc_id")).distinct()
 
     def sets(batches):
         for batch in batches:
@@ -233,26 +356,33 @@ def near_copy_edges(docs: DataFrame, least: float, shingle: int, families: int,
                 p, q = np.frombuffer(p.as_py(), np.int32), np.frombuffer(q.as_py(), np.int32)
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(both >= least * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    met = pairs.join(shingles.select(F.col("doc_id").alias("a"), F.col("shingles").alias("p")), "a")
-    met = met.join(shingles.select(F.col("doc_id").alias("b"), F.col("shingles").alias("q")), "b").select("a", "b", "p", "q")
-    return met.mapInArrow(verify, "a long, b long")
-
-
-def drop_near_copies(
-    docs: DataFrame, least: float = 0.8, shingle: int = 5, families: int = 4, max_bits: int = MAX_BITS, groups: int = GROUPS
-) -> DataFrame:
+    def search(batches):
+        for table in whole_runs(batches, 3):
+            key, i, j, doc = (table.column(k).to_numpy() for k in range(4))
+            for s, m in zip(*(x.tolist() for x in runs_of(key, i, j))):
+                links = spanning([np.frombuffer(x.as_py(), np.int32) for x in table.column(4).slice(s, m)], least)
+                if links:
+                    a, b = doc[s + np.array(links)].T
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    both = pairs.join(shingles.select(F.col("doc_id").alias("a"), F.col("shingles").alias("p")), "a")
+    both = both.join(shingles.select(F.col("doc_id").alias("b"), F.col("shingles").alias("q")), "b").select("a", "b", "p", "q")
+    crowded = crowds.join(shingles, "doc_id").select("key", "i", "j", "doc_id", "shingles")
+    crowded = crowded.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return both.mapInArrow(verify, "a long, b long").unionByName(crowded.mapInArrow(search, "a long, b long"))
+
+
+def drop_near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
     """``docs`` with one document, of the smallest doc_id, of each group of near copies.
 
-    Near copies share at least ``least`` of their ``shingle``-word shingles.  Four-bit links of the text
-    fingerprint above miss most such pairs, so candidates come from ``families`` independent fingerprints
-    over distinct words: pairs at the threshold differ in about 2 % of their words, so in about 4 bits, and
-    are met with a chance of about 0.95, closer ones nearly always.  Candidates are then verified exactly on
-    their shingles.  In cells above SMALL_CELL members only the links of the spanning forest are verified.
+    Near copies share at least ``least`` of their ``shingle``-word shingles, as sets of 32-bit hashes; groups
+    are the components of all such pairs.  No pair is left out: candidates meet in their prefixes and are
+    verified exactly.
     Rows whose doc_id is null stay; rows that share a doc_id stay or go together.
     """
     known = docs.where("doc_id IS NOT NULL")
-    joined = components(near_copy_edges(known, least, shingle, families, max_bits, groups))
+    joined = components(near_copy_edges(known, least, shingle))
     gone = joined.where("node <> root").select(F.col("node").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -187,3 +187,45 @@ def test_near_copies_share_shingles(spark):
 def test_rows_without_id_stay(spark):
     d = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     assert sorted(str(r["doc_id"]) for r in simhash.drop_near_copies(d).collect()) == ["1", "None", "None"]
+
+
+def plain_kept(data, least=0.8, shingle=5):
+    """Ids that stay if all pairs of shingle sets are compared."""
+    sets = []
+    for _, t in data:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))})
+    root = list(range(len(data)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, p in enumerate(sets):
+        for j in range(i):
+            if len(p & sets[j]) >= least * len(p | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {data[i][0] for i in range(len(data)) if root[i] == i}
+
+
+def test_near_copies_of_a_hot_text(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(9000)}" for _ in range(150)]
+    data = []
+    for k in range(300):
+        edited = list(base)
+        for at in rng.sample(range(4), 1):
+            for x in range(at * 9, 150, 50):
+                edited[x] = f"e{k}"
+        for x in rng.sample(range(150), 2):
+            edited[x] = f"f{k}"
+        data.append((k, " ".join(edited)))
+    data.append((300, " ".join(base)))
+    data += [(301 + k, " ".join(base[:20] + [f"x{k}_{i}" for i in range(60)])) for k in range(40)]
+    expected = plain_kept(data)
+    d = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    assert {r["doc_id"] for r in simhash.drop_near_copies(d).collect()} == expected
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 5000)
+    assert {r["doc_id"] for r in simhash.drop_near_copies(d).collect()} == expected
