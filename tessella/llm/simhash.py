@@ -181,7 +181,9 @@ def near_groups(docs: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS,
 #: One document in so many is counted to find frequent shingles, which are looked at last; at most so many are kept.
 SAMPLE, FREQUENT = 16, 100_000
 #: Buckets up to this size may become pairs, if those are at most PAIRS a member; others are searched with their sets.
-PAIRED, PAIRS = 1024, 8
+PAIRED, PAIRS = 1024, 32
+#: Bits of the map of candidates; documents outside it need no sets for verification.
+MAP_BITS = 1 << 25
 #: Shingles of a block; larger buckets are searched by each two of their blocks.
 BLOCK_SHINGLES = 1 << 21
 _POSTING = "key int, doc_id long, n int, at int"
@@ -316,19 +318,22 @@ def near_copy_edges(docs: DataFrame, least: float, shingle: int) -> DataFrame:
                 i = i[may_pass(n[i], at[i], n[i + d], at[i + d], least) & (doc[i] != doc[i + d])]
                 yield pairs_of(doc[i], doc[i + d])
             for s, m in zip(start[sizes > SMALL_CELL].tolist(), sizes[sizes > SMALL_CELL].tolist()):
+                own = np.arange(s, s + m)
                 if m <= PAIRED:
-                    k, p, x = n[s : s + m], at[s : s + m], doc[s : s + m]
+                    k, p, x = n[own], at[own], doc[own]
                     i, j = np.nonzero(np.triu(may_pass(k[:, None], p[:, None], k, p, least) & (x[:, None] != x), 1))
                     if len(i) <= PAIRS * m:
                         yield pairs_of(x[i], x[j])
                         continue
-                blocks = 1 + int(n[s : s + m].sum(dtype=np.int64)) // BLOCK_SHINGLES
+                    own = own[np.union1d(i, j)]
+                    m = len(own)
+                blocks = 1 + int(n[own].sum(dtype=np.int64)) // BLOCK_SHINGLES
                 mine = np.arange(m) % blocks
                 for to in range(blocks):
                     take = np.arange(m)[mine != to] if blocks > 1 else np.arange(m)
-                    own = mine[take]
+                    block = mine[take]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc[s + take]), pa.nulls(len(take), pa.int64()), pa.array(np.full(len(take), key[s])), pa.array(np.minimum(own, to).astype(np.int32)), pa.array(np.maximum(own, to).astype(np.int32))],
+                        [pa.array(doc[own[take]]), pa.nulls(len(take), pa.int64()), pa.array(np.full(len(take), key[s])), pa.array(np.minimum(block, to).astype(np.int32)), pa.array(np.maximum(block, to).astype(np.int32))],
                         ["a", "b", "key", "i", "j"],
                     )
 
@@ -340,14 +345,21 @@ def near_copy_edges(docs: DataFrame, least: float, shingle: int) -> DataFrame:
     met = cut(postings.mapInArrow(meet, "a long, b long, key int, i int, j int"))
     pairs = cut(met.where("b IS NOT NULL").select("a", "b").distinct())
     crowds = met.where("b IS NULL").select(F.col("a").alias("doc_id"), "key", "i", "j")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowds.select("doc_id")).distinct()
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowds.select("doc_id"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+    words = involved.select(place.alias("place")).groupBy((F.col("place") / 64).cast("int").alias("word"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 AS int))")).alias("bits")).toArrow()
+    bits = np.zeros(MAP_BITS // 64, np.uint64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
 
     def sets(batches):
         for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1))
             found = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "shingles"])
 
-    shingles = cut(ids.join(involved, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles binary"))
+    shingles = cut(ids.select("doc_id", "text", place).mapInArrow(sets, "doc_id long, shingles binary"))
 
     def verify(batches):
         for batch in batches:

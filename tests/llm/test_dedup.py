@@ -229,3 +229,22 @@ def test_near_copies_of_a_hot_text(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.drop_near_copies(d).collect()} == expected
     monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 5000)
     assert {r["doc_id"] for r in simhash.drop_near_copies(d).collect()} == expected
+
+
+def test_near_copies_of_every_kind(spark):
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(6000)}" for _ in range(n)]
+    texts = ["", None, "one", "one two", "One  two"]
+    for n in (6, 9, 12, 20, 30, 60, 120, 400):
+        for _ in range(12):
+            t, k, at = words(n), max(1, n * rng.randrange(5, 25) // 100), rng.randrange(n)
+            texts.append(" ".join(t))
+            texts.append(" ".join(t + words(k)))
+            texts.append(" ".join(t[: n - k]))
+            texts.append(" ".join(t[:at] + words(k) + t[at + k :]))
+            texts.append(" ".join(words(k) + t))
+    data = list(enumerate(texts))
+    expected = plain_kept(data)
+    assert len(data) - len(expected) > 80
+    d = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    assert {r["doc_id"] for r in simhash.drop_near_copies(d).collect()} == expected
