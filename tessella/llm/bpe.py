@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkedEncoder, Chunks, pieces
+from .chunks import LONG, ColumnEncoder, Recent, steps
 
 #: What a worker remembers: transducer states (and four times as many token pairs), and chunks of each kind.
 MAX_STATES, MAX_CHUNKS = 250_000, 600_000
@@ -37,6 +37,10 @@ MAX_STATES, MAX_CHUNKS = 250_000, 600_000
 FEW_STATES, FEW_CHUNKS = 60_000, 150_000
 
 
+#: Marks that never join letters.
+_MARKS = frozenset(".,;:!?")
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -220,6 +224,16 @@ class StreamDecoder:
             raise ValueError("the text ends inside a character")
 
 
+def pieces(chunk: str, split) -> list[str]:
+    """A chunk's pieces by ``split``, which words and words with a mark after them don't need."""
+    word = chunk.removeprefix(" ")
+    if word.isalpha():
+        return [chunk]
+    if word[-1:] in _MARKS and word[:-1].isalpha():
+        return [chunk[:-1], chunk[-1]]
+    return split(chunk)
+
+
 class ByteBpe:
     """A rank file's vocabulary with the pattern that splits text before the merges."""
 
@@ -230,19 +244,26 @@ class ByteBpe:
         self.tokens = [ids.get(i, b"") for i in range(max(ids) + 1)]
         self.after = Utf8Machine().over(self.tokens)
         self.rows_after = self.after.tolist()
-        self.encode_bytes = ChunkedEncoder(self._chunk, chunks)
-        self.pieces = Chunks(self._piece, most=chunks)
-
-    def _chunk(self, chunk: str) -> bytes:
-        found = pieces(chunk, self.split.findall)
-        return self._piece(chunk) if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.machine.encode(piece.encode("utf-8", "replace"))
-        return struct.pack(f"<{len(ids)}I", *ids)
+        self.encoder, self.pieces = ColumnEncoder(self._chunks, chunks), Recent(chunks)
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        self.pieces.age()
+        cuts = [pieces(c, self.split.findall) for c in chunks]
+        unseen = self.pieces.lacks({p for found in cuts for p in found})
+        made, known = {}, self.pieces.new
+        for p in unseen:
+            ids = self.machine.encode(p.encode("utf-8", "replace"))
+            made[p] = struct.pack(f"<{len(ids)}I", *ids)
+        joined = {p for found in cuts if len(found) > 1 for p in found if len(p) <= LONG}  # other pieces are chunks themselves
+        known.update((p, made[p]) for p in joined & unseen)
+        return [b"".join([made[p] if p in made else known[p] for p in found]) for found in cuts]
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.encode_bytes(text), "<u4")
+        return np.frombuffer(self.encoder.text(text), "<u4")
+
+    def texts(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        return [np.frombuffer(x, "<u4") for x in self.encoder.texts(column.to_pylist())]
 
     def decode(self, ids: np.ndarray, part: int = 1 << 16) -> bytes:
         """The UTF-8 bytes of a text's ids."""
@@ -261,7 +282,8 @@ def codec(path: str, pattern: str, states: int = MAX_STATES, chunks: int = MAX_C
 def _per_text(docs: DataFrame, schema: str, names: list[str], rows) -> DataFrame:
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *rows(batch.column(1))], names)
+            for part in steps(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), *rows(part.column(1))], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
@@ -271,7 +293,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def rows(texts):
         bpe = codec(path, pattern)
-        return [pa.array([bpe.encode_bytes(t.as_py()) for t in texts], pa.binary())]
+        return [pa.array([ids.tobytes() for ids in bpe.texts(texts)], pa.binary())]
 
     return _per_text(docs, "doc_id long, ids binary", ["doc_id", "ids"], rows)
 
@@ -296,11 +318,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, states: int = MAX_STATE
 
     def rows(texts):
         bpe, n, of_ids, of_text = codec(path, pattern, states, chunks), [], [], []
-        for t in texts:
-            raw = bpe.encode_bytes(t.as_py())
-            n.append(len(raw) // 4)
-            of_ids.append(hashlib.sha256(raw).hexdigest())
-            of_text.append(hashlib.sha256(bpe.decode(np.frombuffer(raw, "<u4"))).hexdigest())
+        for ids in bpe.texts(texts):
+            n.append(len(ids))
+            of_ids.append(hashlib.sha256(ids.tobytes()).hexdigest())
+            of_text.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
         return [pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)]
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

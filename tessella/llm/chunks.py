@@ -1,66 +1,103 @@
-"""Byte-level BPE by memoised chunks.
+"""Byte-level BPE of whole Arrow columns, by remembered chunks.
 
 The split pattern of the public byte-level vocabularies never lets a match run from a
 non-whitespace character into whitespace, and lets at most one leading space join a match.  So a
 text falls into chunks, each either whitespace or an optional space and a run of other characters,
-that encode independently of each other.  Frequent chunks are encoded once per worker.
+that encode independently of each other.
+
+Texts are encoded some megabytes at a time: the parts between their spaces that are not remembered
+yet are encoded together, then every text is looked up part by part.  Texts in which white space
+meets a space, or that begin or end with it, are cut into chunks one by one.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Unicode White_Space (fixed values), as the split pattern's \s has it.
-_WS = "\t-\r \x85\xa0  -     　"
+_WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: Marks that never join letters.
-_MARKS = frozenset(".,;:!?")
-#: Entries a cache may hold before it starts anew: bounds a worker's memory (about 200 bytes each).
-CACHE = 150_000
 #: Longer chunks are not remembered.
 LONG = 64
+#: Bytes of texts that are encoded together: bounds a worker's memory.
+STEP = 1 << 23
+
 
+class Recent:
+    """Remembers about ``most`` entries; when half as many are new, those not asked for since the last time go."""
 
-def pieces(chunk: str, split) -> list[str]:
-    """A chunk's pieces by ``split``, which words and words with a mark after them don't need."""
-    word = chunk[1:] if chunk[0] == " " else chunk
-    if word.isalpha():
-        return [chunk]
-    if word[-1:] in _MARKS and word[:-1].isalpha():
-        return [chunk[:-1], chunk[-1]]
-    return split(chunk)
+    def __init__(self, most: int):
+        self.most, self.new, self.old = max(1, most // 2), {}, {}
 
+    def age(self) -> None:
+        if len(self.new) >= self.most:
+            self.new, self.old = {}, self.new
 
-class Chunks(dict):
-    """chunk -> value, made by ``make`` at first sight and kept within bounds."""
+    def lacks(self, keys: set[str]) -> set[str]:
+        """The keys that it doesn't know; the others are in ``new`` afterwards."""
+        lacking = keys.difference(self.new)
+        found = lacking.intersection(self.old)
+        self.new.update((k, self.old[k]) for k in found)
+        return lacking - found
 
-    def __init__(self, make, prefix: str = "", most: int = CACHE):
-        super().__init__()
-        self.make, self.prefix, self.most = make, prefix, most
 
-    def __missing__(self, chunk: str):
-        value = self.make(self.prefix + chunk)
-        if len(chunk) <= LONG:
-            if len(self) >= self.most:
-                self.clear()
-            self[chunk] = value
-        return value
+class ColumnEncoder:
+    """Ids of texts (little-endian unsigned 32-bit integers in bytes).
 
+    ``encode(chunks)`` gives the ids of each chunk; ``most`` bounds what is remembered.
+    """
 
-class ChunkedEncoder:
-    """Encodes texts piecewise with ``make(chunk) -> bytes``; the pieces are concatenated."""
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int):
+        self.encode, self.memory = encode, Recent(most)
 
-    def __init__(self, make, most: int = CACHE):
-        self.bare, self.spaced, self.newline = Chunks(make, "", most), Chunks(make, " ", most), make("\n")
+    def _parts(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts that have no white space at their ends, but may have a space at the front."""
+        inside = {p: _CHUNK.findall(p) for p in parts if len(p.split()) > 1}
+        chunks = list({p for p in parts if p not in inside}.union(*inside.values()))
+        made = dict(zip(chunks, self.encode(chunks)))
+        made.update((p, b"".join([made[c] for c in found])) for p, found in inside.items())
+        return made
 
-    def __call__(self, text: str | None) -> bytes:
+    def text(self, text: str | None) -> bytes:
+        """Ids of one text."""
+        found = _CHUNK.findall(text or "")
+        chunks = list(set(found))
+        made = dict(zip(chunks, self.encode(chunks)))
+        return b"".join([made[c] for c in found])
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text."""
+        self.memory.age()
+        parts = [(t or "").split(" ") for t in texts]
+        firsts, new, known = [p[0] for p in parts], set(), self.memory.new
+        for p in parts:
+            del p[0]
+            new.update(set(p).difference(known))
+        new = [p for p in self.memory.lacks(new) if p and p.strip() == p]
+        made = self._parts([" " + p for p in new])
+        known.update((p, made[" " + p]) for p in new)
+        bare = self._parts([p for p in firsts if p and p.strip() == p])
         out = []
-        for line in (text or "").split("\n"):
-            parts = line.split(" ")
-            if parts != line.split():  # empty, or whitespace other than single spaces
-                return b"".join(map(self.bare.__getitem__, _CHUNK.findall(text or "")))
-            out.append(self.bare[parts[0]])
-            out.extend(map(self.spaced.__getitem__, parts[1:]))
-            out.append(self.newline)
-        out.pop()
-        return b"".join(out)
+        for text, first, rest in zip(texts, firsts, parts):
+            try:
+                out.append(b"".join([bare[first], *map(known.__getitem__, rest)]))
+            except KeyError:  # white space meets a space or an end
+                out.append(self.text(text))
+        for p in new:
+            if len(p) > LONG or not p.isprintable():
+                del known[p]
+        return out
+
+
+def steps(batch: pa.RecordBatch, text: int, most: int = STEP) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of about ``most`` bytes in its column ``text``."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64)) // most
+    bounds = [0, *(np.flatnonzero(size[1:] != size[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(bounds, bounds[1:]):
+        if a < b:
+            yield batch.slice(a, b - a)

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import steps
 from .shared import cut
 from .token_files import encoder
 
@@ -25,9 +26,10 @@ def lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
     """length of every document."""
 
     def run(batches):
-        encode = encoder(tokenizer).encode_bytes
+        encode = encoder(tokenizer).texts
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(encode(t)) // 4 for t in batch.column(0).to_pylist()], pa.int64())], ["length"])
+            for part in steps(batch, 0):
+                yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in encode(part.column(0).to_pylist())], pa.int64())], ["length"])
 
     return docs.select("text").mapInArrow(run, "length long")
 

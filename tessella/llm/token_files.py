@@ -2,22 +2,24 @@
 
 File format (Parquet as the container, uncompressed).  ``ranks/``: one row, the ids by falling corpus
 frequency, little-endian unsigned 32-bit integers.  ``ids/``: one row for each run of documents, with
-``run`` (a number of its own), ``bucket``, ``doc_ids``, ``counts`` (ids of each document), and two binaries.  ``control`` has two bits
-for each id, four ids a byte from the low bits up: the bytes of its rank less one.  ``data`` has the
-ranks' bytes, lowest first, without gaps.  Ranks below 256 take one byte, so frequent ids are short.
-Reading looks a control byte up in tables of its four lengths and needs no branch an id.
-
-Documents lie in ascending order of doc_id: buckets are ranges of doc_id, and runs ascend in a bucket.
-
-Defined results: null and empty texts consist of the end id alone; a null doc_id comes before all
-others; documents that share a doc_id lie side by side, ordered by their ids; an empty table gives an
-empty result; other columns are ignored.
+``start`` (ids of all documents before it), ``doc_ids``, ``counts`` (ids of each document), ``n`` (their sum),
+and two binaries.  ``control`` has two bits for each id, four ids a byte from the low bits up: the bytes of its
+rank less one.  ``data`` has the ranks' bytes, lowest first, without gaps.  Ranks below 256 take one byte, so
+frequent ids are short.  Reading looks a control byte up in tables of its four lengths and needs no branch an id.
+
+Documents lie in ascending order of doc_id: part files are ranges of doc_id in the order of their names, and
+rows ascend in a file.
+
+Defined results: null and empty texts consist of the end id alone; very long texts are runs of their own; a
+null doc_id comes before all others; documents that share a doc_id lie side by side, in an order that their
+ids settle, so that repeated rows change nothing; a doc_id with a large part of all rows is dealt to as many part
+files as it fills; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
-import struct
+import os
 import zlib
 from functools import lru_cache
 
@@ -25,24 +27,22 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-from .chunks import ChunkedEncoder, Chunks, pieces
+from .chunks import ColumnEncoder, steps
 from .shared import cut, shared_path
 
 END = 2
-#: Documents in a bucket, about, and ids in a run, at least (but for a bucket's last).
+#: Documents in a part file, about, and ids in a run, at least (but for a file's last).
 BUCKET, RUN = 8_192, 1 << 18
-#: Buckets become larger beyond this many.
-MOST_BUCKETS = 10_000
-#: Runs whose starts (24 bytes each) may be broadcast.
-MOST_STARTS = 1_000_000
-#: Chunks that a worker remembers.
-CACHE = 350_000
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Part files become larger beyond this many.
+MOST_BUCKETS = 32_768
+#: Chunks that a worker remembers, and pieces that the library gets at a time.
+CACHE, CALL = 800_000, 2_000
+#: Stands for a null doc_id where rows are ordered.
+FIRST = -(1 << 63)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,36 +52,57 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-class Encoder:
+class Encoder(ColumnEncoder):
     """Ids of whole texts by the ``tokenizers`` library; special tokens are ordinary text.
 
-    Chunks (see ``chunks``) are split by the vocabulary's pattern, and the library's model encodes each
-    piece; pieces are remembered too.  A tokenizer with any other processing is refused.
+    Chunks (see ``chunks``) are split by the vocabulary's pattern, many at once, and the library's model
+    encodes the pieces in one call.  A tokenizer with any other processing is refused.
     """
 
+    #: A byte that UTF-8 doesn't have parts the pieces of a call; its place is taken by a line feed, which is no letter.
+    _GAP = 0xFF
+
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives each task a core
         with open(path) as f:
             made = json.load(f)
         splits = made["pre_tokenizer"]
         if splits["type"] != "ByteLevel" or splits["add_prefix_space"] or not splits.get("use_regex", True) or made["normalizer"]:
             raise ValueError("only a plain byte-level tokenizer can be encoded chunk by chunk")
         tokenizer = Tokenizer.from_file(path)
-        self.model, self.splitter, self.letters = tokenizer.model, tokenizer.pre_tokenizer, _byte_letters()
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.pieces, self.encode_bytes = Chunks(self._piece, most=CACHE), ChunkedEncoder(self._chunk, most=CACHE)
-
-    def _chunk(self, chunk: str) -> bytes:
-        if not chunk.isascii() and max(chunk) > "\u024f":  # beyond Latin, letters depend on the library's own tables
-            return b"".join(self._encoded(piece) for piece, _ in self.splitter.pre_tokenize_str(chunk))
-        found = pieces(chunk, self.split)
-        return self._piece(chunk) if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
-
-    def _encoded(self, letters: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(letters)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _piece(self, piece: str) -> bytes:
-        return self._encoded(piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters))
+        self.splitter, self.letters = tokenizer.pre_tokenizer, _byte_letters() | {self._GAP: "\n"}
+        self.pattern = regex.compile(public_tokenizers.PATTERN).findall
+        self.model = Tokenizer(tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+        super().__init__(self._encode, CACHE)
+
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        # the pattern parts words at the same places, whatever line of a text they are; beyond Latin, letters depend
+        # on the library's own tables, and white space has line feeds of its own
+        words = [c for c in chunks if (c.isascii() or max(c) <= "\u024f") and not c.isspace()]
+        made = {}
+        for at in range(0, len(words), CALL):
+            some = words[at : at + CALL]
+            made.update(zip(some, self._pieces([p for p in self.pattern("\n".join(some)) if p != "\n"], some)))
+        for c in chunks:
+            if c not in made:
+                found = [c[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(c)]
+                made[c] = self._pieces(found, [c])[0]
+        return [made[c] for c in chunks]
+
+    def _pieces(self, pieces: list[str], chunks: list[str]) -> list[bytes]:
+        """The ids of chunks that consist of ``pieces``."""
+        raw = bytes([self._GAP]).join([p.encode("utf-8", "replace") for p in pieces])
+        ids = np.array(self.model.encode_batch_fast([raw.decode("latin-1").translate(self.letters)], add_special_tokens=False)[0].ids, "<u4")
+        # a token has as many letters as bytes, so the chunks' lengths tell where their ids end
+        lengths = np.fromiter((len(c.encode("utf-8", "replace")) for c in chunks), np.int64, len(chunks))
+        ends = 4 * (1 + np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(lengths)))
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
 
 @lru_cache(maxsize=4)
@@ -90,26 +111,28 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _encoded(docs: DataFrame, path: str, end: int, bounds: list[int]) -> DataFrame:
-    """doc_id, bucket (the bounds that are not above doc_id; 0 for null), width (bytes an id), ids."""
+def _encoded(docs: DataFrame, path: str, end: int, bounds: list[int], width: int) -> DataFrame:
+    """doc_id, bucket, ids (``width`` bytes each).
+
+    A bucket is the number of bounds that are not above doc_id.  Where several bounds are equal that doc_id has
+    a large part of all rows, and its rows are dealt to the buckets around them by a hash of their ids.
+    """
     limits = np.array(bounds, np.int64)
+    names = ["doc_id", "bucket", "ids"]
 
     def run(batches):
-        encode, last = encoder(path).encode_bytes, np.array([end], "<u4").tobytes()
+        encode, last = encoder(path).texts, np.array([end], "<u4").tobytes()
         for batch in batches:
-            key = batch.column(0)
-            bucket = np.searchsorted(limits, key.fill_null(0).to_numpy(), side="right")
-            bucket = np.where(key.is_null().to_numpy(zero_copy_only=False), 0, bucket).astype(np.int32)
-            width, raw = [], []
-            for text in batch.column(1):
-                ids = np.frombuffer(encode(text.as_py()) + last, "<u4")
-                width.append(2 if int(ids.max()) < 1 << 16 else 4)  # two bytes an id where they do: these bytes travel
-                raw.append(ids.astype("<u2").tobytes() if width[-1] == 2 else ids.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [key, pa.array(bucket), pa.array(width, pa.int8()), pa.array(raw, pa.binary())], ["doc_id", "bucket", "width", "ids"]
-            )
+            for part in steps(batch, 1):
+                raw = [np.frombuffer(x + last, "<u4").astype(f"<u{width}").tobytes() for x in encode(part.column(1).to_pylist())]
+                key = part.column(0).fill_null(FIRST).to_numpy()
+                low, high = np.searchsorted(limits, key, "left"), np.searchsorted(limits, key, "right")
+                bucket = high.astype(np.int32)
+                for k in np.flatnonzero(high - low > 1).tolist():
+                    bucket[k] = low[k] + zlib.crc32(raw[k]) % (high[k] - low[k] + 1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bucket), pa.array(raw, pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, bucket int, width byte, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, bucket int, ids binary")
 
 
 def compress(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -143,92 +166,80 @@ def expand(control: bytes, data: bytes, n: int) -> np.ndarray:
     return ranks
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def _bounds(docs: DataFrame, bucket: int) -> list[int]:
+    """The doc_ids that part the rows into buckets of about ``bucket``, from that column alone."""
+    n = docs.count()
+    parts = max(1, min(MOST_BUCKETS, -(-n // bucket)))
+    if parts == 1:
+        return []
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).cast("double")
+    found = docs.select(place.alias("d")).approxQuantile("d", [k / parts for k in range(1, parts)], 0.1 / parts)
+    return sorted(max(FIRST, min(-FIRST - 1, int(b))) for b in found)
 
 
-def _ids(width: int, raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if width == 2 else "<u4").astype(np.uint32)
+def _nulls_first(doc_id: str = "doc_id") -> Column:
+    return F.asc_nulls_first(doc_id)
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, end: int = END, bucket: int = BUCKET) -> None:
     """Encodes ``docs`` and writes the files under ``path``."""
     spark = docs.sparkSession
-    n = docs.count()
-    parts = max(1, min(MOST_BUCKETS, -(-n // bucket)))
-    quantiles = [k / parts for k in range(1, parts)]
-    bounds = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", quantiles, 0.1 / parts) if quantiles else []
-    ordered = _encoded(docs, tokenizer, end, sorted({int(b) for b in bounds}))
-    ordered = ordered.repartition(parts, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")  # the shuffle's files go when the sorted ids are written
-    try:
-        ordered.write.option("compression", "zstd").parquet(f"{path}/sorted")
-    finally:
-        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    by_id = spark.read.parquet(f"{path}/sorted")
+    bounds = _bounds(docs, bucket)
+    width = 2 if max(end, len(encoder(tokenizer).width) - 1) < 1 << 16 else 4  # these bytes travel
+    kind = np.dtype(f"<u{width}")
+    dealt = _encoded(docs, tokenizer, end, bounds, width).repartitionById(len(bounds) + 1, "bucket")
+    by_id = cut(dealt.sortWithinPartitions(_nulls_first(), "ids"))
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            ids = [_ids(w, raw) for w, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            seen = np.bincount(np.concatenate(ids)) if ids else total[:0]
-            if len(seen) > len(total):
-                total = np.concatenate((total, np.zeros(len(seen) - len(total), np.int64)))
-            total[: len(seen)] += seen
+            seen = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=len(total))
+            seen[: len(total)] += total
+            total = seen
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    counted = by_id.select("width", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = by_id.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = np.array([r["id"] for r in counted.orderBy(F.desc("n"), "id").collect()], "<u4")  # bounded by the vocabulary
     rank_of = np.zeros(int(ranked.max(initial=0)) + 1, np.uint32)
     rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
-    shared_rank = spark.sparkContext.broadcast(rank_of)
+    sizes = by_id.groupBy("bucket").agg(F.sum(F.octet_length("ids")).alias("n")).collect()  # a row a part file: bounded
+    before = np.zeros(len(bounds) + 2, np.int64)
+    for r in sizes:
+        before[r["bucket"] + 1] = r["n"] // width
+    given = spark.sparkContext.broadcast((rank_of, np.cumsum(before)))
 
     def runs(batches):
-        schema = pa.schema([("run", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("n", pa.int64()), ("control", pa.binary()), ("data", pa.binary())])
-        ids, docs_, at, have, made = [], [], None, 0, TaskContext.get().partitionId() << 32
+        schema = pa.schema([("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("n", pa.int64()), ("control", pa.binary()), ("data", pa.binary())])
+        rank, starts = given.value
+        raw, docs_, have, start = [], [], 0, -1
 
         def row():
-            control, data = compress(shared_rank.value[np.concatenate(ids)])
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((made, at, docs_, [len(x) for x in ids], have, control, data), schema.types)], schema=schema)
+            control, data = compress(rank[np.frombuffer(b"".join(raw), kind)])
+            values = (start, docs_, [len(x) // width for x in raw], have, control, data)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, schema.types)], schema=schema)
 
         for batch in batches:
-            for b, d, w, raw in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if ids and (b != at or have >= RUN):
+            for at, doc, ids in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                start = int(starts[at]) if start < 0 else start  # a partition is a bucket
+                raw.append(ids)
+                docs_.append(doc)
+                have += len(ids) // width
+                if have >= RUN:
                     yield row()
-                    ids, docs_, have, made = [], [], 0, made + 1
-                at = b
-                ids.append(_ids(w, raw))
-                docs_.append(d)
-                have += len(ids[-1])
-        if ids:
+                    raw, docs_, have, start = [], [], 0, start + have
+        if raw:
             yield row()
 
     spark.createDataFrame([(ranked.tobytes(),)], "ids binary").coalesce(1).write.option("compression", "none").parquet(f"{path}/ranks")
-    coded = by_id.select("bucket", "doc_id", "width", "ids").mapInArrow(runs, "run long, bucket int, doc_ids array<long>, counts array<int>, n long, control binary, data binary")
+    coded = by_id.select("bucket", "doc_id", "ids").mapInArrow(runs, "start long, doc_ids array<long>, counts array<long>, n long, control binary, data binary")
     coded.write.option("compression", "none").parquet(f"{path}/ids")
-    _remove(spark, f"{path}/sorted")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit integers) from the files."""
     ranked = np.frombuffer(spark.read.parquet(f"{path}/ranks").first()[0], "<u4")  # bounded by the vocabulary
     shared = spark.sparkContext.broadcast(ranked)
-    files = spark.read.parquet(f"{path}/ids")
-    total = files.groupBy("bucket").agg(F.sum("n").alias("n"))
-    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
-    base = total.select("bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    first, last = F.element_at("doc_ids", 1), F.element_at("doc_ids", -1)
-    runs = files.select("bucket", "run", "n", first.alias("first"), last.alias("last"))
-    order = [F.asc_nulls_first("first"), F.asc_nulls_first("last"), F.asc("run")]
-    inside = Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    starts = runs.select("bucket", "run", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("inside"))
-    starts = starts.join(base, "bucket").select("run", (F.col("base") + F.col("inside")).alias("start"))
-    starts = cut(starts)
-    small = starts.count() <= MOST_STARTS  # a row for RUN ids: some 24 bytes for a quarter of a million ids
-    whole = files.join(F.broadcast(starts) if small else starts, "run").select("start", "doc_ids", "counts", "n", "control", "data")
 
     def unpack(batches):
         for batch in batches:
@@ -241,7 +252,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return whole.mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids binary")
+    files = spark.read.parquet(f"{path}/ids").select("start", "doc_ids", "counts", "n", "control", "data")
+    return files.mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def write_and_read(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:

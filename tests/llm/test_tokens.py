@@ -28,7 +28,7 @@ CASES = [(7, "Hello world"), (3, None), (3, ""), (None, "no id"), (None, "no id"
 def test_encoding_equals_the_libraries(text):
     ids = CODEC.encode(text).tolist()
     assert ids == LIBRARY.encode_ordinary(text)
-    assert np.frombuffer(token_files.encoder(TOKENIZER).encode_bytes(text), "<u4").tolist() == OTHER.encode(text, add_special_tokens=False).ids == ids
+    assert np.frombuffer(token_files.encoder(TOKENIZER).text(text), "<u4").tolist() == OTHER.encode(text, add_special_tokens=False).ids == ids
 
 
 @pytest.mark.parametrize("text", ["a" * 3000, " " * 700, "-" * 900, "\n" * 50 + "x", "The" * 500, "".join(random.Random(1).choices("etaoin", k=5000))])
@@ -125,3 +125,19 @@ def test_histogram(spark, docs):
     for q in (0.1, 0.5, 0.9, 1.0):
         assert token_counts.quantile(hist, q) == sorted(lengths)[max(0, int(np.ceil(q * len(lengths))) - 1)]
     assert token_counts.histogram(token_counts.lengths(docs.limit(0), TOKENIZER)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [None, 77])
+def test_part_files_ascend_without_overlap(spark, hot):
+    """Half of the rows share a doc_id; they fill several files."""
+    rows = [(hot if i % 2 else i, f"text {i % 37} of {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    docs = docs.withColumns({"ids": F.lit("x"), "bucket": F.lit(1), "start": F.lit(2)})
+    path = token_files.shared_path(spark, "ascending")
+    token_files.write(docs, TOKENIZER, path, bucket=40)
+    files = spark.read.parquet(f"{path}/ids").select(F.input_file_name().alias("f"), "start", "doc_ids").collect()
+    parts = [[x for r in sorted(files, key=lambda r: r["start"]) if r["f"] == f for x in r["doc_ids"]] for f in sorted({r["f"] for r in files})]
+    flat = [-1 if x is None else x for p in parts for x in p]
+    assert flat == sorted(-1 if x is None else x for x, _ in rows)
+    assert len(parts) >= 8 and max(map(len, parts)) < 120
+    assert token_files.read(spark, path).agg(F.max(F.col("start") + F.col("n_tokens")), F.sum("n_tokens")).first()[0] == token_files.read(spark, path).agg(F.sum("n_tokens")).first()[0]
