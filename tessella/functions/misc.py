@@ -37,17 +37,20 @@ def status(x: Column, known: tuple[str, ...]) -> Column:
     return F.when(cleaned.isin(*known), cleaned)
 
 
-def http_class(code: Column) -> Column:
-    """ok, redirect, blocked, missing, throttled, retry or failed."""
-    return (
-        F.when(code.between(200, 299), "ok")
-        .when(code.between(300, 399), "redirect")
-        .when(code.isin(401, 403), "blocked")
-        .when(code.isin(404, 410), "missing")
-        .when(code == 429, "throttled")
-        .when(code.between(500, 599) | (code == 408), "retry")
-        .otherwise("failed")
-    )
+#: First digits of status codes and the standard's names for them (fixed values).
+HTTP_CATEGORIES = ("informational", "successful", "redirection", "client_error", "server_error")
+#: Client errors that later attempts may not meet (own choice); server errors may pass too, unless the method isn't implemented.
+TRANSIENT, LASTING = (408, 421, 425, 429), (501, 505)
+
+
+def http_category(code: Column) -> Column:
+    """The standard's category of a status code; null outside 100 to 599."""
+    return F.when(code.between(100, 599), F.element_at(F.array(*map(F.lit, HTTP_CATEGORIES)), F.floor(code / 100).cast("int")))
+
+
+def http_transient(code: Column) -> Column:
+    """Whether another attempt may succeed."""
+    return code.isin(*TRANSIENT) | (code.between(500, 599) & ~code.isin(*LASTING))
 
 
 def codes(cases: list[tuple[str, Column]]) -> Column:

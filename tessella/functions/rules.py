@@ -12,92 +12,89 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """Counts whole-token occurrences of ``terms`` in a scope and weighs them.
-
-    A damped rule weighs a quarter (rounded half to even) where the text is thin.
-    """
+    """Weighs how densely ``terms`` (whole words of ASCII letters and digits) stand in a scope, title or text."""
 
     name: str
     terms: tuple[str, ...]
     weight: int
-    scope: str = "either"  # title, text or either
-    damped: bool = False
+    scope: str = "text"
 
 
 @dataclass(frozen=True)
 class ScoreModel:
+    """Own parameters: occurrences count in a thousand words, and rows may have attributes that earn points."""
+
     rules: tuple[Rule, ...]
-    cap: int = 5  # occurrences that count at most
-    thin: int = 200  # characters below which a text is thin
-    long: int = 800  # characters from which a text earns long_bonus
-    long_bonus: int = 2
-    labels: tuple[tuple[str, int], ...] = ()  # label -> points
-    bands: tuple[tuple[str, float], ...] = ()  # band -> multiplier
-    nudges: tuple[tuple[str, int], ...] = ()  # band -> points
+    floor_words: int = 50  # a scope with fewer words is measured as if it had so many
+    ceiling: int = 60  # occurrences in a thousand words that count at most
+    attributes: tuple[tuple[str, str, int], ...] = ()  # column, value, points
+    bands: tuple[tuple[str, int, int], ...] = ()  # band, percent of the points, points after that
 
 
-def _quarter(weight: int) -> int:
-    return round(weight * 0.25)
+def bound(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """``rows`` with columns that are computed once, whatever filters and expressions use them later.
 
+    They come out of a generator, through which Catalyst neither pushes predicates nor folds projections.
+    """
+    made = F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()])))
+    return rows.select("*", made.alias(*values))
 
-def score(rows: DataFrame, model: ScoreModel, title: str, text: str, label: str | None = None, band: str | None = None) -> DataFrame:
-    """``rows`` with base_score, heuristic_score, final_score and score_hits.
 
-    The token arrays and counts are bound as columns before the arithmetic, so each text is tokenised
-    and counted once.  Hits are ordered by absolute points, ties in the rules' order.
+def score(rows: DataFrame, model: ScoreModel, title: str, text: str, band: str | None = None) -> DataFrame:
+    """``rows`` with raw_score, adjusted_score, final_score and score_hits (rule, count, points).
+
+    One scan of each scope finds all rules' terms.  Hits are ordered by absolute points, ties in the rules' order.
     """
-    tokens = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
-    bound = rows.withColumns({"_title": tokens(title), "_text": tokens(text)})
-    scopes = {"title": F.col("_title"), "text": F.col("_text"), "either": F.concat("_title", "_text")}
-    counts = {
-        f"_c{i}": F.least(F.lit(model.cap), _hits(scopes[r.scope], r.terms)) for i, r in enumerate(model.rules)
-    }
-    bound = bound.withColumns(counts)
-    thin = F.length(F.coalesce(F.col(text), F.lit(""))) < model.thin
+    low = {"title": F.lower(F.coalesce(F.col(title), F.lit(""))), "text": F.lower(F.coalesce(F.col(text), F.lit("")))}
+    values = {}
+    for scope in sorted({r.scope for r in model.rules}):
+        terms = "|".join(sorted({t for r in model.rules if r.scope == scope for t in r.terms}))
+        values[f"_{scope}"] = F.regexp_extract_all(low[scope], F.lit(f"(?<![a-z0-9])({terms})(?![a-z0-9])"), F.lit(1))
+        values[f"_{scope}_words"] = F.regexp_count(low[scope], F.lit("[a-z0-9]+"))
+    found = bound(rows, values)
+    counts = {f"_c{i}": _among(F.col(f"_{r.scope}"), r.terms) for i, r in enumerate(model.rules)}
+    found = bound(found, counts)
     hits = []
     for i, r in enumerate(model.rules):
-        weight = F.when(thin, _quarter(r.weight)).otherwise(r.weight) if r.damped else F.lit(r.weight)
-        hits.append((r.name, F.col(f"_c{i}"), (weight * F.col(f"_c{i}")).cast("int")))
-    if label:
-        hits += [(f"label_{k}", (F.coalesce(F.col(label).cast("string"), F.lit("")) == k).cast("int"), F.when(F.col(label).cast("string") == k, v).otherwise(0)) for k, v in model.labels]
-    is_long = F.length(F.coalesce(F.col(text), F.lit(""))) >= model.long
-    hits.append(("long_text", is_long.cast("int"), F.when(is_long, model.long_bonus).otherwise(0)))
-    structs = [
-        F.struct((-F.abs(points)).alias("o"), F.lit(i).alias("i"), F.lit(name).alias("rule"), n.alias("count"), points.alias("delta"))
-        for i, (name, n, points) in enumerate(hits)
-    ]
+        words = F.greatest(F.col(f"_{r.scope}_words"), F.lit(model.floor_words))
+        dense = F.least(F.lit(model.ceiling), F.floor(F.col(f"_c{i}") * 1000 / words))
+        hits.append((r.name, F.col(f"_c{i}"), (r.weight * dense).cast("int")))
+    for column, value, points in model.attributes:
+        has = F.coalesce(F.col(column).cast("string") == value, F.lit(False)).cast("int")
+        hits.append((f"{column}={value}", has, has * points))
+    structs = [F.struct((-F.abs(p)).alias("o"), F.lit(i).alias("i"), F.lit(name).alias("rule"), n.alias("count"), p.alias("points")) for i, (name, n, p) in enumerate(hits)]
     ordered = F.array_sort(F.filter(F.array(*structs), lambda h: h["count"] > 0))
-    base = reduce(add, [points for *_, points in hits])
-    bound = bound.withColumns({"base_score": base.cast("int"), "score_hits": F.transform(ordered, lambda h: F.struct(h["rule"], h["count"], h["delta"]))})
-    factor, nudge = F.lit(1.0), F.lit(0)
-    if band:
-        for k, v in model.bands:
-            factor = F.when(F.col(band) == k, v).otherwise(factor)
-        for k, v in model.nudges:
-            nudge = F.when(F.col(band) == k, v).otherwise(nudge)
-    heuristic = F.bround((F.col("base_score") + nudge) * factor, 0).cast("int")
-    bound = bound.withColumn("heuristic_score", heuristic)
-    return bound.withColumn("final_score", clamp(F.col("heuristic_score"))).drop("_title", "_text", *counts)
+    raw = reduce(add, [points for *_, points in hits]).cast("int")
+    percent, after = F.lit(100), F.lit(0)
+    for name, share, points in model.bands if band else ():
+        percent, after = F.when(F.col(band) == name, share).otherwise(percent), F.when(F.col(band) == name, points).otherwise(after)
+    scored = found.withColumns({"raw_score": raw, "score_hits": F.transform(ordered, lambda h: F.struct(h["rule"], h["count"], h["points"]))})
+    scored = scored.withColumn("adjusted_score", (F.floor(F.col("raw_score") * percent / 100) + after).cast("int"))
+    return scored.withColumn("final_score", clamp(F.col("adjusted_score"))).drop(*values, *counts)
 
 
-def _hits(tokens: Column, terms: tuple[str, ...]) -> Column:
-    return F.size(F.filter(tokens, lambda t: t.isin(*terms)))
+def _among(found: Column, terms: tuple[str, ...]) -> Column:
+    return F.size(F.filter(found, lambda t: t.isin(*terms)))
 
 
 def clamp(x: Column, low: int = 0, high: int = 100) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x)).cast("int")
 
 
-def blend(heuristic: Column, other: Column, weight: float, floor: int | None = None, most: int | None = None) -> Column:
-    """A convex mix of two scores, half to even: the first is floored, the other's effect is capped both ways.
+def pull(score: Column, other: Column, gain: float) -> Column:
+    """``score`` moved toward a second score by ``gain`` times the root of their distance, never past it.
 
-    Where ``other`` is null the first stands as it is.
+    Small disagreements are settled, large ones are trusted less and less.  Where ``other`` is null nothing moves.
     """
-    base = heuristic if floor is None else F.greatest(heuristic, F.lit(floor))
-    mixed = F.bround((1 - weight) * base + weight * other, 0).cast("int")
-    if most is not None:
-        mixed = F.greatest(base - most, F.least(base + most, mixed))
-    return F.when(other.isNull(), heuristic).otherwise(mixed).cast("int")
+    apart = other - score
+    step = F.least(F.abs(apart), F.floor(gain * F.sqrt(F.abs(apart))))
+    return F.when(other.isNull(), score).otherwise(score + F.signum(apart) * step).cast("int")
+
+
+def with_aliases(terms: Column, aliases: dict[str, tuple[str, ...]]) -> Column:
+    """``terms`` and, for every alias among them, the terms that it stands for."""
+    meant = [F.when(F.array_contains(terms, a), F.array(*map(F.lit, of))).otherwise(F.array().cast("array<string>")) for a, of in sorted(aliases.items())]
+    return F.array_distinct(F.concat(terms, *meant))
 
 
 def first_match(x: Column, cases: list[tuple[str, str]], default: str) -> Column:
@@ -122,4 +119,4 @@ def points_class(x: Column, rejects: list[str], tiers: list[tuple[str, int]], hi
 
 def explain(hits: Column, k: int = 3) -> Column:
     """The top ``k`` hits as text."""
-    return F.array_join(F.transform(F.slice(hits, 1, k), lambda h: F.format_string("%s x%d (%d)", h["rule"], h["count"], h["delta"])), "; ")
+    return F.array_join(F.transform(F.slice(hits, 1, k), lambda h: F.format_string("%s x%d (%d)", h["rule"], h["count"], h["points"])), "; ")

@@ -1,38 +1,43 @@
-"""Hashed embeddings and similarity as column expressions."""
+"""Hashed embeddings and similarity."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import normalise, tokens
 
-DIM = 256
+#: Slots of a hashed bag of words.
+SLOTS = 1024
 
 
-def _bound(x: Column, f) -> Column:
-    """``f(x)`` with ``x`` computed once, though lambdas inside ``f`` use it often."""
-    return F.transform(F.array(x), f)[0]
+def _slot(token: Column) -> Column:
+    """struct(slot, sign): the first five hexadecimal digits of a token's SHA-256 give the slot, the sixth's parity the sign."""
+    h = F.sha2(token, 256)
+    digit = lambda start, n: F.conv(F.substring(h, start, n), 16, 10).cast("int")
+    return F.struct((digit(1, 5) % SLOTS).alias("slot"), F.when(digit(6, 1) % 2 == 0, 1).otherwise(-1).alias("sign"))
 
 
-def token_hash(x: Column) -> Column:
-    """256 counts: each token adds one at the last byte of its MD5."""
-    last_bytes = F.transform(tokens(x), lambda t: F.concat(F.lit(" "), F.substring(F.md5(t), 31, 2)))
+def bag(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, slot, n): signed token counts by hashed slot, as rows; collisions cancel out in the mean."""
+    words = rows.select(key, F.explode(tokens(F.col(text))).alias("__t")).groupBy(key, "__t").agg(F.count("*").alias("__n"))
+    placed = words.select(key, "__n", _slot(F.col("__t")).alias("__s"))
+    summed = placed.groupBy(key, F.col("__s.slot").alias("slot")).agg(F.sum(F.col("__n") * F.col("__s.sign")).alias("n"))
+    return summed.where("n <> 0")
 
-    def count(slots: Column, i: Column) -> Column:
-        """How often the byte occurs, by what the text of bytes loses without it; three characters each."""
-        name = F.concat(F.lit(" "), F.lower(F.lpad(F.hex(i), 2, "0")))
-        return (F.length(slots) - F.length(F.replace(slots, name, F.lit("")))) / 3
 
-    counts = lambda slots: F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: count(slots, i))
-    return _bound(F.array_join(last_bytes, ""), counts)
+def bag_cosine(rows: DataFrame, profile: DataFrame, key: str) -> DataFrame:
+    """(key, similarity) of bags to one profile's ``(slot, m)``, which has SLOTS rows at most and is broadcast."""
+    norm = profile.agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("__q"))
+    met = rows.join(F.broadcast(profile), "slot", "left").join(F.broadcast(norm))
+    sums = met.groupBy(key).agg(F.sum(F.col("n") * F.coalesce("m", F.lit(0))).alias("__d"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("__n"), F.first("__q").alias("__q"))
+    return sums.select(key, F.coalesce(F.col("__d") / (F.col("__n") * F.col("__q")), F.lit(0.0)).alias("similarity"))
 
 
-def text_hash(x: Column, dim: int = 24) -> Column:
-    """A vector from the SHA-256 of the whole normalised text: two-byte windows that wrap, in [-1, 1]."""
-    window = lambda h, i: F.conv(F.substr(h, (2 * (i * 2 % 32) + 1).cast("int"), F.lit(4)), 16, 10).cast("double")
-    windows = lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.round(window(h, i) / 32767.5 - 1, 8))
-    return _bound(F.sha2(normalise(x), 256), windows)
+def text_vector(x: Column, dim: int = 12) -> Column:
+    """A repeatable vector of a whole normalised text: component i, in [0, 1), comes from its digest hashed with i."""
+    part = lambda h, i: F.conv(F.substring(F.md5(F.concat_ws("/", h, i)), 1, 6), 16, 10).cast("double") / (1 << 24)
+    return F.transform(F.array(F.md5(normalise(x))), lambda h: F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: part(h, i)))[0]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -48,4 +53,4 @@ def cosine(a: Column, b: Column) -> Column:
 
 def boost(similarity: Column, threshold: float, most: float) -> Column:
     """Nothing up to the threshold, then a straight line that reaches ``most`` at 1."""
-    return F.when(similarity <= threshold, 0.0).otherwise(F.least(F.lit(most), (similarity - threshold) / (1 - threshold) * most))
+    return most * F.greatest(F.lit(0.0), similarity - threshold) / (1 - threshold)

@@ -72,13 +72,27 @@ def pair_duplicates(before: DataFrame, after: DataFrame, key: str, order: list[s
 
 
 def identity_churn(before: DataFrame, after: DataFrame, key: str, content: str) -> DataFrame:
-    """(content, old_key, new_key) where equal content goes by other keys than before.
+    """(content, key, side): keys that left content or came to it, where the content goes by other keys too.
 
-    Content is matched by its smallest key on each side, so a group of equal rows gives one pair.
+    A row for each key, not for each pair of an old and a new key: content that many keys share stays linear.
     """
-    a = before.groupBy(content).agg(F.min(key).alias("old_key"))
-    b = after.groupBy(content).agg(F.min(key).alias("new_key"))
-    return a.join(b, content).where("old_key <> new_key")
+    sides = before.select(content, key, F.lit(1).alias("__a"), F.lit(0).alias("__b")).unionByName(after.select(content, key, F.lit(0).alias("__a"), F.lit(1).alias("__b")))
+    keys = sides.groupBy(content, key).agg(F.max("__a").alias("__a"), F.max("__b").alias("__b"))
+    side = F.when(F.col("__b") == 0, "left").when(F.col("__a") == 0, "came").otherwise("stayed")
+    keys = keys.select(content, key, side.alias("side"))
+    kinds = keys.groupBy(content).agg(F.count_if(F.col("side") == "left").alias("__l"), F.count_if(F.col("side") == "came").alias("__c"), F.count("*").alias("__n"))
+    moved = kinds.where("(__l > 0 AND __n > __l) OR (__c > 0 AND __n > __c)").select(content)
+    return keys.where("side <> 'stayed'").join(moved, content, "left_semi")
+
+
+def content_fingerprint(rows: DataFrame, digest: str) -> DataFrame:
+    """One row: ``fingerprint`` of all rows' hexadecimal digests, whatever their order; repeated rows count.
+
+    Four sums of 32-bit parts and the count combine before the shuffle, so no task sees all digests.
+    """
+    parts = [F.sum(F.conv(F.substring(digest, k, 8), 16, 10).cast("long")).alias(f"p{k}") for k in (1, 9, 17, 25)]
+    sums = rows.agg(F.count("*").alias("n"), *parts)
+    return sums.select(F.sha2(F.concat_ws("\u001f", "n", "p1", "p9", "p17", "p25"), 256).alias("fingerprint"))
 
 
 def completeness(rows: DataFrame, fields: list[str]) -> DataFrame:

@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import clamp
-from ..functions.vectors import boost, cosine, token_hash
+from ..functions.vectors import bag, bag_cosine, boost
 from ..operators.ranking import top
 
 
 def boosted(rows: DataFrame, key: str, score: str, text: str, profile: str, k: int, threshold: float, most: float) -> DataFrame:
-    """key, evaluated, similarity, boosted_score.
+    """key, evaluated, reason, similarity, boosted_score: evidence for every row.
 
     A distributed top-k picks the rows that are embedded; ``k`` bounds them, so they may be broadcast to
     the rest.  Rows beyond it keep their score and have no similarity.
     """
-    first = top(rows, [F.desc(score), F.asc(key)], k)
-    vectors = first.select(F.col(key).alias("__k"), token_hash(F.col(text)).alias("__v"), token_hash(F.lit(profile)).alias("__p"))
-    measured = vectors.select("__k", F.round(cosine(F.col("__v"), F.col("__p")), 6).alias("similarity"))
+    spark = rows.sparkSession
+    first = top(rows.select(key, score, text), [F.desc(score), F.asc(key)], k).select(key, text)
+    wanted = bag(spark.createDataFrame([(0, profile)], "p int, t string"), "p", "t").select("slot", F.col("n").alias("m"))
+    measured = first.select(key).join(bag_cosine(bag(first, key, text), wanted, key), key, "left")  # texts without words have no bag
+    measured = measured.select(F.col(key).alias("__k"), F.round(F.coalesce("similarity", F.lit(0.0)), 6).alias("similarity"))
     joined = rows.select(key, score).join(F.broadcast(measured), F.col(key) == F.col("__k"), "left")
+    seen = F.col("__k").isNotNull()
     lift = F.coalesce(boost(F.col("similarity"), threshold, most), F.lit(0.0))
-    final = clamp(F.bround(F.col(score) + lift, 0))
-    return joined.select(key, F.col("__k").isNotNull().alias("evaluated"), "similarity", final.alias("boosted_score"))
+    reason = F.when(~seen, "beyond_top").when(lift > 0, "boosted").otherwise("below_threshold")
+    return joined.select(key, seen.alias("evaluated"), reason.alias("reason"), "similarity", clamp(F.bround(F.col(score) + lift, 0)).alias("boosted_score"))

@@ -178,13 +178,17 @@ def safety_diff_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "safety_diff_churn",
-    f"""WITH {_LINES}, x AS (SELECT flag || ':' || qty || ':' || line AS content, min(id) AS old_key FROM a GROUP BY 1), y AS (SELECT flag || ':' || qty || ':' || line AS content, min(id) AS new_key FROM b GROUP BY 1)
-SELECT sha256(content) AS content, old_key, new_key FROM x JOIN y USING (content) WHERE old_key <> new_key""",
+    f"""WITH {_LINES}, x AS (SELECT DISTINCT flag || ':' || qty || ':' || line AS content, id FROM a), y AS (SELECT DISTINCT flag || ':' || qty || ':' || line AS content, id FROM b),
+j AS (SELECT coalesce(x.content, y.content) AS content, coalesce(x.id, y.id) AS id, CASE WHEN y.id IS NULL THEN 'left' WHEN x.id IS NULL THEN 'came' ELSE 'stayed' END AS side
+  FROM x FULL JOIN y ON x.content = y.content AND x.id = y.id),
+c AS (SELECT content, bool_or(side = 'left') AND bool_or(side <> 'left') OR bool_or(side = 'came') AND bool_or(side <> 'came') AS moved FROM j GROUP BY content)
+SELECT sha256(j.content) AS content, j.id AS key, j.side FROM j JOIN c USING (content) WHERE c.moved AND j.side <> 'stayed'""",
 )
 def safety_diff_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key that left or took up content which goes by other keys too."""
     content = F.sha2(F.concat_ws(":", "flag", "qty", "line"), 256)
     a, b = (s.withColumn("content", content) for s in line_snapshots(spark, sf_dir))
-    return diff.identity_churn(a, b, "id", "content")
+    return diff.identity_churn(a, b, "id", "content").withColumnRenamed("id", "key")
 
 
 @query(
@@ -248,10 +252,22 @@ def ordered_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_brand", F.array_join(F.array_distinct(lists), ",").alias("tags"))
 
 
-@query("unchanged_inputs", f"WITH {_SNAPSHOTS}, h AS (SELECT 'a' AS side, sha256(string_agg(sha256(concat_ws(chr(31), id, lower(trim(status)))), '' ORDER BY id)) AS f FROM a WHERE id < 500) SELECT side, f AS fingerprint FROM h")
+_PART = "sum(CAST('0x' || substr(h, {0}, 8) AS BIGINT))::BIGINT"
+
+
+@query(
+    "unchanged_inputs",
+    f"""WITH {_SNAPSHOTS}, r AS (SELECT 'a' AS side, sha256(concat_ws(chr(31), id, lower(trim(status)))) AS h FROM a UNION ALL SELECT 'b', sha256(concat_ws(chr(31), id, lower(trim(status)))) FROM b),
+s AS (SELECT side, count(*) AS n, {", ".join(f"{_PART.format(k)} AS p{k}" for k in (1, 9, 17, 25))} FROM r GROUP BY side),
+f AS (SELECT side, sha256(concat_ws(chr(31), n, p1, p9, p17, p25)) AS fingerprint FROM s)
+SELECT side, fingerprint, count(*) OVER (PARTITION BY fingerprint) > 1 AS skip FROM f""",
+)
 def unchanged_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fingerprint of a bounded input list, by which a run may be skipped."""
-    a, _ = snapshots(spark, sf_dir)
-    row = F.struct("id", digest(F.col("id"), normalise(F.col("status"))).alias("h"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["h"]), "")
-    return a.where("id < 500").agg(F.sha2(joined, 256).alias("fingerprint")).select(F.lit("a").alias("side"), "fingerprint")
+    """Fingerprints of whole inputs, and whether a run over the second may be skipped because the first had the same."""
+    from pyspark.sql import Window
+
+    both = None
+    for side, rows in zip("ab", snapshots(spark, sf_dir)):
+        f = diff.content_fingerprint(rows.select(digest(F.col("id"), normalise(F.col("status"))).alias("h")), "h").select(F.lit(side).alias("side"), "fingerprint")
+        both = f if both is None else both.unionByName(f)
+    return both.withColumn("skip", F.count("*").over(Window.partitionBy("fingerprint")) > 1)  # one row an input

@@ -124,14 +124,20 @@ def audit_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "failure_codes",
-    """WITH e AS (SELECT event_id, CAST(100 + (event_id * 37) % 500 AS INT) AS code, value FROM events), c AS (SELECT *, CASE WHEN code BETWEEN 200 AND 299 THEN 'ok' WHEN code BETWEEN 300 AND 399 THEN 'redirect'
-  WHEN code IN (401, 403) THEN 'blocked' WHEN code IN (404, 410) THEN 'missing' WHEN code = 429 THEN 'throttled' WHEN code BETWEEN 500 AND 599 OR code = 408 THEN 'retry' ELSE 'failed' END AS class FROM e)
-SELECT class, count(*) AS n, count(*) FILTER (value < 5 AND class <> 'ok') AS slow_failures FROM c GROUP BY class""",
+    """WITH e AS (SELECT CAST(80 + (event_id * 37) % 560 AS INT) AS code, value FROM events),
+c AS (SELECT *, CASE WHEN code BETWEEN 100 AND 599 THEN ['informational', 'successful', 'redirection', 'client_error', 'server_error'][code // 100] END AS category,
+  code IN (408, 421, 425, 429) OR (code BETWEEN 500 AND 599 AND code NOT IN (501, 505)) AS transient FROM e),
+k AS (SELECT *, array_to_string(list_sort(list_filter([CASE WHEN category IS NULL THEN 'invalid_code' END, CASE WHEN category IN ('client_error', 'server_error') THEN 'http' END,
+  CASE WHEN value < 5 AND coalesce(category, '') <> 'successful' THEN 'low_value' END], lambda x: x IS NOT NULL)), ',') AS codes FROM c)
+SELECT coalesce(category, 'none') AS category, transient, codes, count(*) AS n FROM k GROUP BY ALL""",
 )
 def failure_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = (100 + (F.col("event_id") * 37) % 500).cast("int")
-    e = table(spark, sf_dir, "events").select(misc.http_class(code).alias("class"), "value")
-    return e.groupBy("class").agg(F.count("*").alias("n"), F.count_if((F.col("value") < 5) & (F.col("class") != "ok")).alias("slow_failures"))
+    """Responses by category, by whether another attempt may help, and by their sorted failure codes."""
+    code = (80 + (F.col("event_id") * 37) % 560).cast("int")
+    e = table(spark, sf_dir, "events").select(misc.http_category(code).alias("category"), misc.http_transient(code).alias("transient"), "value")
+    kind = F.coalesce("category", F.lit("none"))
+    failed = misc.codes([("invalid_code", kind == "none"), ("http", kind.isin("client_error", "server_error")), ("low_value", (F.col("value") < 5) & (kind != "successful"))])
+    return e.groupBy(kind.alias("category"), "transient", F.array_join(failed, ",").alias("codes")).agg(F.count("*").alias("n"))
 
 
 @query(

@@ -11,35 +11,33 @@ from ..registry import query, table
 
 MODEL = rules.ScoreModel(
     rules=(
-        rules.Rule("english", ("the", "and", "of"), 2),
-        rules.Rule("opening", ("with", "this", "for"), 5, "title"),
-        rules.Rule("german", ("und", "der", "die"), 3, "text"),
-        rules.Rule("french", ("les", "des", "une"), 3, "text"),
-        rules.Rule("spanish", ("que", "los", "una"), 3, "text"),
-        rules.Rule("past", ("was", "were"), -3, "either", damped=True),
-        rules.Rule("insult", ("idiot", "stupid", "trash", "scum"), -15, "text", damped=True),
+        rules.Rule("english", ("the", "and", "of"), 1),
+        rules.Rule("opening", ("with", "this", "for"), 1, "title"),
+        rules.Rule("german", ("und", "der", "die"), 1),
+        rules.Rule("french", ("les", "des", "une"), 1),
+        rules.Rule("spanish", ("que", "los", "una"), 1),
+        rules.Rule("past", ("was", "were"), -1),
+        rules.Rule("insult", ("idiot", "stupid", "trash", "scum"), -4),
     ),
-    labels=(("1", 10), ("0", -5)),
-    bands=(("core", 1.25), ("near", 1.1), ("far", 0.85)),
-    nudges=(("core", 6), ("near", 2)),
+    attributes=(("label", "1", 12), ("label", "0", -8)),
+    bands=(("core", 120, 4), ("near", 105, 1), ("far", 80, 0)),
 )
 _BAND = [("core", "^src[0-4]$"), ("near", "^src[5-9]$"), ("far", "^src1[5-9]$")]
 
 
 def _rule_sql() -> str:
     tokens = "regexp_extract_all(lower(coalesce({0}, '')), '([a-z0-9]+)', 1)"
-    scope = {"title": "tt", "text": "tx", "either": "list_concat(tt, tx)"}
+    scope = {"title": "tt", "text": "tx"}
     counts, hits = [], []
     for i, r in enumerate(MODEL.rules):
         terms = ", ".join(f"'{t}'" for t in r.terms)
-        counts.append(f"least({MODEL.cap}, len(list_filter({scope[r.scope]}, lambda t: t IN ({terms})))) AS c{i}")
-        weight = f"(CASE WHEN n_chars < {MODEL.thin} THEN {round(r.weight * .25)} ELSE {r.weight} END)" if r.damped else f"({r.weight})"
-        hits.append((r.name, f"c{i}", f"{weight} * c{i}"))
-    for k, v in MODEL.labels:
-        hits.append((f"label_{k}", f"CASE WHEN label = '{k}' THEN 1 ELSE 0 END", f"CASE WHEN label = '{k}' THEN {v} ELSE 0 END"))
-    hits.append(("long_text", f"CASE WHEN n_chars >= {MODEL.long} THEN 1 ELSE 0 END", f"CASE WHEN n_chars >= {MODEL.long} THEN {MODEL.long_bonus} ELSE 0 END"))
-    rows = ", ".join(f"{{'o': -abs({d}), 'i': {i}, 'rule': '{n}', 'count': {c}, 'delta': {d}}}" for i, (n, c, d) in enumerate(hits))
+        counts.append(f"len(list_filter({scope[r.scope]}, lambda t: t IN ({terms}))) AS c{i}")
+        hits.append((r.name, f"c{i}", f"{r.weight} * least({MODEL.ceiling}, c{i} * 1000 // greatest(len({scope[r.scope]}), {MODEL.floor_words}))"))
+    for column, value, points in MODEL.attributes:
+        hits.append((f"{column}={value}", f"CASE WHEN {column} = '{value}' THEN 1 ELSE 0 END", f"CASE WHEN {column} = '{value}' THEN {points} ELSE 0 END"))
+    rows = ", ".join(f"{{'o': -abs({d}), 'i': {i}, 'rule': '{n}', 'count': {c}, 'points': {d}}}" for i, (n, c, d) in enumerate(hits))
     base = " + ".join(f"({d})" for *_, d in hits)
+    percent, after = (" ".join(f"WHEN '{n}' THEN {v}" for n, v in ((b[0], b[k]) for b in MODEL.bands)) for k in (1, 2))
     return f"""
 d AS (SELECT doc_id, lang, source, text, split_part(text, '.', 1) AS title, length(text) AS n_chars, l.label,
         CASE WHEN regexp_matches(source, '^src[0-4]$') THEN 'core' WHEN regexp_matches(source, '^src[5-9]$') THEN 'near'
@@ -47,10 +45,9 @@ d AS (SELECT doc_id, lang, source, text, split_part(text, '.', 1) AS title, leng
       FROM documents LEFT JOIN (SELECT doc_id, CAST(quality AS VARCHAR) AS label FROM labels) l USING (doc_id)),
 t AS (SELECT *, {tokens.format('title')} AS tt, {tokens.format('text')} AS tx FROM d),
 n AS (SELECT *, {', '.join(counts)} FROM t),
-b AS (SELECT *, {base} AS base_score, list_sort(list_filter([{rows}], lambda h: h.count > 0)) AS hits FROM n),
-s AS (SELECT *, CAST(round_even((base_score + CASE band WHEN 'core' THEN 6 WHEN 'near' THEN 2 ELSE 0 END)
-        * CASE band WHEN 'core' THEN 1.25::DOUBLE WHEN 'near' THEN 1.1::DOUBLE WHEN 'far' THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END, 0) AS INT) AS heuristic_score FROM b),
-f AS (SELECT *, greatest(0, least(100, heuristic_score)) AS final_score FROM s)
+b AS (SELECT *, {base} AS raw_score, list_sort(list_filter([{rows}], lambda h: h.count > 0)) AS hits FROM n),
+s AS (SELECT *, CAST(floor(raw_score * CASE band {percent} ELSE 100 END / 100.0::DOUBLE) + CASE band {after} ELSE 0 END AS INT) AS adjusted_score FROM b),
+f AS (SELECT *, greatest(0, least(100, adjusted_score)) AS final_score FROM s)
 """
 
 
@@ -62,18 +59,18 @@ def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
     d = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
     d = d.withColumns({"title": F.split_part("text", F.lit("."), F.lit(1)), "band": rules.first_match(F.col("source"), _BAND, "other")})
-    return rules.score(d, MODEL, "title", "text", "label", "band")
+    return rules.score(d, MODEL, "title", "text", "band")
 
 
-@query("rule_score", f"WITH {_SCORED} SELECT doc_id, CAST(base_score AS INT) AS base_score, heuristic_score, CAST(final_score AS INT) AS final_score FROM f")
+@query("rule_score", f"WITH {_SCORED} SELECT doc_id, CAST(raw_score AS INT) AS raw_score, adjusted_score, CAST(final_score AS INT) AS final_score FROM f")
 def rule_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_documents(spark, sf_dir).select("doc_id", "base_score", "heuristic_score", "final_score")
+    return scored_documents(spark, sf_dir).select("doc_id", "raw_score", "adjusted_score", "final_score")
 
 
 @query(
     "rule_hits_top3",
     f"""WITH {_SCORED} SELECT doc_id,
-  array_to_string(list_transform(hits[1:3], lambda h: h.rule || ' x' || h.count || ' (' || h.delta || ')'), '; ') AS top_hits, len(hits) AS n_hits FROM f""",
+  array_to_string(list_transform(hits[1:3], lambda h: h.rule || ' x' || h.count || ' (' || h.points || ')'), '; ') AS top_hits, len(hits) AS n_hits FROM f""",
 )
 def rule_hits_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored_documents(spark, sf_dir)
@@ -116,15 +113,15 @@ def canonical_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "blend_score",
-    f"""WITH {_SCORED}, o AS (SELECT doc_id, CASE WHEN quality IS NOT NULL THEN quality * 70 + toxic * 10 END AS other FROM labels),
-j AS (SELECT f.doc_id, final_score, other, greatest(final_score, 20) AS base FROM f LEFT JOIN o USING (doc_id)),
-m AS (SELECT *, CAST(round_even((1 - 0.4::DOUBLE) * base + 0.4::DOUBLE * other, 0) AS INT) AS mixed FROM j)
-SELECT doc_id, CAST(CASE WHEN other IS NULL THEN final_score ELSE greatest(base - 15, least(base + 15, mixed)) END AS INT) AS blended FROM m""",
+    f"""WITH {_SCORED}, o AS (SELECT doc_id, quality * 64 + toxic * 9 AS other FROM labels),
+j AS (SELECT f.doc_id, final_score, other, abs(other - final_score) AS apart FROM f LEFT JOIN o USING (doc_id))
+SELECT doc_id, CAST(CASE WHEN other IS NULL THEN final_score ELSE final_score + sign(other - final_score) * least(apart, floor(1.5::DOUBLE * sqrt(apart))) END AS INT) AS blended FROM j""",
 )
 def blend_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule scores mixed with a second score where there is one."""
-    other = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 70 + F.col("toxic") * 10).alias("other"))
-    return scored_documents(spark, sf_dir).select("doc_id", "final_score").join(other, "doc_id", "left").select("doc_id", rules.blend(F.col("final_score"), F.col("other"), 0.4, floor=20, most=15).alias("blended"))
+    """Rule scores pulled toward a second score where there is one."""
+    other = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 64 + F.col("toxic") * 9).alias("other"))
+    mixed = scored_documents(spark, sf_dir).select("doc_id", "final_score").join(other, "doc_id", "left")
+    return mixed.select("doc_id", rules.pull(F.col("final_score"), F.col("other"), 1.5).alias("blended"))
 
 
 _CASES = [("brass", "BRASS|Brass"), ("steel", "STEEL|Steel"), ("copper", "COPPER|Copper")]
@@ -219,18 +216,16 @@ def reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "shortlist_user_state",
-    f"""WITH {_SCORED}, u AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'ignored' WHEN quality = 0 THEN 'deprioritized' ELSE 'saved' END AS user_status FROM labels),
-k AS (SELECT f.doc_id, final_score, CASE WHEN u.user_status = 'deprioritized' THEN 1 ELSE 0 END AS later FROM f LEFT JOIN u USING (doc_id)
-      WHERE final_score >= 30 AND coalesce(u.user_status, '') <> 'ignored' AND n_chars > 100)
-SELECT doc_id, final_score, later, CAST(row_number() OVER (ORDER BY later, final_score DESC, doc_id) AS INT) AS rank FROM k QUALIFY rank <= 200""",
+    f"""WITH {_SCORED}, u AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'ignored' WHEN quality = 0 THEN 'deprioritized' ELSE 'saved' END AS user_status FROM labels)
+SELECT f.doc_id, final_score, CASE WHEN u.user_status = 'deprioritized' THEN 1 ELSE 0 END AS later FROM f LEFT JOIN u USING (doc_id)
+WHERE final_score >= 30 AND coalesce(u.user_status, '') <> 'ignored' AND n_chars > 100""",
 )
 def shortlist_user_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows above a score whose user state doesn't hide them; deprioritised ones last; the first 200."""
+    """All rows above a score whose user state doesn't hide them; ``later`` marks the deprioritised ones, which come last."""
     t = F.when(F.col("toxic") == 1, "ignored").when(F.col("quality") == 0, "deprioritized").otherwise("saved")
     state = table(spark, sf_dir, "labels").select("doc_id", t.alias("user_status"))
     s = scored_documents(spark, sf_dir).select("doc_id", "final_score", F.when(F.length("text") <= 100, "unavailable").otherwise("ok").alias("status"))
-    kept = filters.shortlist(s, state, "doc_id", 30, "final_score").select("doc_id", "final_score", "later")
-    return ranking.top(kept, [F.asc("later"), F.desc("final_score"), F.asc("doc_id")], 200)
+    return filters.shortlist(s, state, "doc_id", 30, "final_score").select("doc_id", "final_score", "later")
 
 
 @query(
@@ -265,17 +260,26 @@ def greedy_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.greedy_budget(d, "source", "doc_id", "cost", 5000)
 
 
+#: Terms that stand for others: one may stand for several.
+_ALIASES = {"y": ("und", "que"), "avec": ("with",), "ces": ("this",)}
+
+
 @query(
     "match_coverage",
     """WITH want AS (SELECT ['the', 'and', 'of', 'und', 'que', 'les'] AS req, ['with', 'this', 'der', 'los'] AS pref),
-d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9]+)', 1)) AS t FROM documents),
-c AS (SELECT doc_id, len(list_intersect(req, t)) / 6.0::DOUBLE AS r, len(list_intersect(pref, t)) / 4.0::DOUBLE AS p FROM d, want)
-SELECT doc_id, CAST(greatest(0, least(100, round_even(70 * r + 30 * p + CASE WHEN r = 1 THEN 5 ELSE 0 END, 0))) AS INT) AS match_score, round(r, 4) AS required_share FROM c""",
+w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9]+)', 1)) AS t FROM documents),
+d AS (SELECT doc_id, list_distinct(list_concat(t, CASE WHEN list_contains(t, 'y') THEN ['und', 'que'] ELSE [] END, CASE WHEN list_contains(t, 'avec') THEN ['with'] ELSE [] END,
+  CASE WHEN list_contains(t, 'ces') THEN ['this'] ELSE [] END)) AS t FROM w),
+c AS (SELECT doc_id, len(list_intersect(req, t)) AS r, len(list_intersect(pref, t)) AS p FROM d, want)
+SELECT doc_id, CAST((2 * r + p) * 100 // 16 AS INT) AS match_score, round(r / 6.0::DOUBLE, 4) AS required_share FROM c""",
 )
 def match_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted coverage of required and preferred terms, after aliases (``y`` means ``und``)."""
-    t = F.array_distinct(text.tokens(F.col("text")))
-    share = lambda want: F.size(F.array_intersect(F.array(*map(F.lit, want)), t)) / F.lit(float(len(want)))
-    r, p = share(["the", "and", "of", "und", "que", "les"]), share(["with", "this", "der", "los"])
-    points = F.bround(70 * r + 30 * p + F.when(r == 1, 5).otherwise(0), 0)
-    return table(spark, sf_dir, "documents").select("doc_id", rules.clamp(points).alias("match_score"), F.round(r, 4).alias("required_share"))
+    """Coverage of required terms, which count twice, and preferred ones; aliases stand for the terms they mean."""
+    req, pref = ["the", "and", "of", "und", "que", "les"], ["with", "this", "der", "los"]
+    wanted = "|".join(sorted({*req, *pref, *_ALIASES}))
+    said = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"(?<![a-z0-9])({wanted})(?![a-z0-9])"), F.lit(1))
+    d = rules.bound(table(spark, sf_dir, "documents").select("doc_id", "text"), {"t": rules.with_aliases(F.array_distinct(said), _ALIASES)})
+    hits = lambda want: F.size(F.array_intersect(F.array(*map(F.lit, want)), "t"))
+    d = rules.bound(d, {"r": hits(req), "p": hits(pref)})
+    score = F.floor((2 * F.col("r") + F.col("p")) * 100 / (2 * len(req) + len(pref))).cast("int")
+    return d.select("doc_id", score.alias("match_score"), F.round(F.col("r") / float(len(req)), 4).alias("required_share"))

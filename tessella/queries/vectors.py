@@ -15,28 +15,27 @@ from .scoring import _SCORED, scored_documents
 _NORM = r"lower(trim(regexp_replace(coalesce({0}, ''), '[ \t\r\n]+', ' ', 'g')))"
 
 
+_SLOT = "CAST(CAST('0x' || substr(sha256({0}), 1, 5) AS INT) % 1024 AS INT) AS slot, CASE WHEN CAST('0x' || substr(sha256({0}), 6, 1) AS INT) % 2 = 0 THEN 1 ELSE -1 END AS sign"
+
+
 @query(
     "token_hash_embed",
-    """WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9]+)', 1)) AS w FROM benchmark),
-s AS (SELECT item_id, CAST('0x' || right(md5(w), 2) AS INT) AS slot, count(*) AS n FROM t GROUP BY ALL)
-SELECT item_id, string_agg(slot || ':' || n, ',' ORDER BY slot) AS slots, round(sqrt(sum(n * n)), 6) AS norm FROM s GROUP BY item_id""",
+    f"""WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9]+)', 1)) AS w FROM benchmark), p AS (SELECT item_id, {_SLOT.format('w')} FROM t)
+SELECT item_id, slot, CAST(sum(sign) AS BIGINT) AS n FROM p GROUP BY ALL HAVING sum(sign) <> 0""",
 )
 def token_hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select("item_id", vectors.token_hash(F.col("text")).alias("v"))
-    filled = F.filter(F.transform("v", lambda x, i: F.struct(i.alias("i"), x.cast("long").alias("n"))), lambda p: p["n"] > 0)
-    slots = F.array_join(F.transform(filled, lambda p: F.concat_ws(":", p["i"], p["n"])), ",")
-    return b.select("item_id", slots.alias("slots"), F.round(F.sqrt(vectors.dot(F.col("v"), F.col("v"))), 6).alias("norm")).where("slots <> ''")
+    """Signed hashed bags of words, a row for each filled slot."""
+    return vectors.bag(table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
 @query(
     "text_hash_embed",
-    f"""WITH d AS (SELECT doc_id, sha256({_NORM.format('text')}) || sha256({_NORM.format('text')}) AS h FROM documents)
-SELECT doc_id, round(CAST('0x' || substr(h, 1, 4) AS INT) / 32767.5 - 1, 8) AS first, round(CAST('0x' || substr(h, 45, 4) AS INT) / 32767.5 - 1, 8) AS twelfth,
-  round(CAST('0x' || substr(h, 29, 4) AS INT) / 32767.5 - 1, 8) AS last FROM d""",
+    f"""WITH d AS (SELECT doc_id, md5({_NORM.format('text')}) AS h FROM documents)
+SELECT doc_id, CAST('0x' || substr(md5(h || '/1'), 1, 6) AS INT) / 16777216.0::DOUBLE AS first, CAST('0x' || substr(md5(h || '/12'), 1, 6) AS INT) / 16777216.0::DOUBLE AS last FROM d""",
 )
 def text_hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", vectors.text_hash(F.col("text")).alias("v"))
-    return d.select("doc_id", F.element_at("v", 1).alias("first"), F.element_at("v", 12).alias("twelfth"), F.element_at("v", 24).alias("last"))
+    d = table(spark, sf_dir, "documents").select("doc_id", vectors.text_vector(F.col("text")).alias("v"))
+    return d.select("doc_id", F.element_at("v", 1).alias("first"), F.element_at("v", -1).alias("last"))
 
 
 @query(
@@ -58,16 +57,18 @@ _PROFILE = "the and of with this for that"
     "semantic_boost",
     f"""WITH {_SCORED}, g AS (SELECT doc_id, final_score, text, row_number() OVER (ORDER BY final_score DESC, doc_id) AS rank FROM f),
 w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9]+)', 1)) AS w FROM g WHERE rank <= 100),
-v AS (SELECT doc_id, CAST('0x' || right(md5(w), 2) AS INT) AS slot, count(*)::DOUBLE AS n FROM w GROUP BY ALL),
-q AS (SELECT CAST('0x' || right(md5(t), 2) AS INT) AS slot, count(*)::DOUBLE AS m FROM (SELECT unnest(string_split('{_PROFILE}', ' ')) AS t) GROUP BY 1),
+v AS (SELECT doc_id, slot, sum(sign)::DOUBLE AS n FROM (SELECT doc_id, {_SLOT.format('w')} FROM w) GROUP BY ALL),
+q AS (SELECT slot, sum(sign)::DOUBLE AS m FROM (SELECT {_SLOT.format('t')} FROM (SELECT unnest(string_split('{_PROFILE}', ' ')) AS t)) GROUP BY 1),
 y AS (SELECT v.doc_id, sum(n * coalesce(m, 0)) / (sqrt(sum(n * n)) * (SELECT sqrt(sum(m * m)) FROM q)) AS sim FROM v LEFT JOIN q USING (slot) GROUP BY v.doc_id),
-z AS (SELECT g.doc_id, final_score, rank <= 100 AS evaluated, CASE WHEN rank <= 100 THEN round(coalesce(sim, 0), 6) END AS similarity FROM g LEFT JOIN y USING (doc_id))
-SELECT doc_id, evaluated, similarity, CAST(greatest(0, least(100, round_even(final_score + coalesce(CASE WHEN similarity <= 0.3 THEN 0 ELSE least(5.0::DOUBLE, (similarity - 0.3::DOUBLE) / (1 - 0.3::DOUBLE) * 5) END, 0), 0))) AS INT) AS boosted_score FROM z""",
+z AS (SELECT g.doc_id, final_score, rank <= 100 AS evaluated, CASE WHEN rank <= 100 THEN round(coalesce(sim, 0), 6) END AS similarity FROM g LEFT JOIN y USING (doc_id)),
+l AS (SELECT *, coalesce(8.0::DOUBLE * greatest(0.0::DOUBLE, similarity - 0.25::DOUBLE) / (1 - 0.25::DOUBLE), 0) AS lift FROM z)
+SELECT doc_id, evaluated, CASE WHEN NOT evaluated THEN 'beyond_top' WHEN lift > 0 THEN 'boosted' ELSE 'below_threshold' END AS reason, similarity,
+  CAST(greatest(0, least(100, round_even(final_score + lift, 0))) AS INT) AS boosted_score FROM l""",
 )
 def semantic_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the first 100 rows are embedded; their score rises by 5 at most."""
+    """Only the first 100 rows are embedded; their score rises by 8 at most, and every row says why."""
     rows = scored_documents(spark, sf_dir).select("doc_id", "final_score", "text")
-    return boosted(rows, "doc_id", "final_score", "text", _PROFILE, k=100, threshold=0.3, most=5.0)
+    return boosted(rows, "doc_id", "final_score", "text", _PROFILE, k=100, threshold=0.25, most=8.0)
 
 
 @query(

@@ -1,20 +1,19 @@
 """Records embedded in web pages.
 
-Script blocks are found, and balanced data after an assignment is cut out, in Arrow batches: HTML needs
-a parser and braces need a counter.  What they hold is then walked and read as columns.
+Script blocks are found, and data after an assignment is read, in Arrow batches: HTML and JSON need
+parsers.  What they hold is then walked and read as columns.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Deeper JSON is not walked: bounds the work a page can ask for.
-MAX_DEPTH = 64
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _CONTAINERS = {"main", "article", "section", "div"}
 
@@ -85,28 +84,26 @@ def main_content(html: str | None, wanted: tuple[str, ...] = ("main", "article")
     return longest if len(longest) >= least else " ".join("".join(page.text).split())
 
 
-def objects(value, depth: int = 0):
+def objects(value):
     """All objects in parsed JSON, outer ones first."""
-    if depth > MAX_DEPTH:
-        return
-    if isinstance(value, dict):
-        yield value
-        value = list(value.values())
-    if isinstance(value, list):
-        for item in value:
-            yield from objects(item, depth + 1)
-
-
-def balanced(text: str, after: str) -> str | None:
-    """The braces after ``after``, up to where they balance; quotes are not looked at."""
-    start = text.find(after)
-    start = text.find("{", start + len(after)) if start >= 0 else -1
-    depth = 0
-    for at in range(start, len(text)) if start >= 0 else ():
-        depth += {"{": 1, "}": -1}.get(text[at], 0)
-        if depth == 0:
-            return text[start : at + 1]
-    return None
+    waiting = [value]
+    while waiting:
+        value = waiting.pop()
+        if isinstance(value, dict):
+            yield value
+            value = list(value.values())
+        if isinstance(value, list):
+            waiting += reversed(value)
+
+
+def assigned(text: str, after: str):
+    """The first JSON object or array after ``after``; None if there is none."""
+    at = text.find(after)
+    start = re.compile(r"[\[{]").search(text, at + len(after)) if at >= 0 else None
+    try:
+        return json.JSONDecoder().raw_decode(text, start.start())[0] if start else None
+    except ValueError:
+        return None
 
 
 def _parse(text: str | None):
@@ -149,7 +146,7 @@ def embedded_json(pages: DataFrame, key: str, html: str, node_type: str | None =
         elif script_id:
             blocks, wanted = [_parse(body) for _, id_, body in scripts if id_ == script_id], lambda o: True
         else:
-            blocks, wanted = [_parse(balanced(page or "", assignment))], lambda o: True
+            blocks, wanted = [assigned(page or "", assignment)], lambda o: True
         for block in blocks:
             found += [o for o in objects(block) if wanted(o)]
         return [(i, json.dumps(o, sort_keys=True, ensure_ascii=False)) for i, o in enumerate(found)]

@@ -64,40 +64,55 @@ def test_identities(spark):
     assert of(s="A", i="12", u=None, t="") != of(s="B", i="12", u=None, t="")
 
 
-@pytest.mark.parametrize("heuristic, other, expected", [(50, 100, 65), (50, None, 50), (0, 0, 12), (90, 0, 75), (49, 52, 50)])
-def test_blend(spark, heuristic, other, expected):
-    c = rules.blend(F.lit(heuristic), F.lit(other).cast("int"), 0.4, floor=20, most=15)
-    assert one(spark, c, a=1)[0] == expected
+@pytest.mark.parametrize("score, other, expected", [(50, 99, 60), (50, None, 50), (0, 0, 0), (90, 9, 77), (49, 50, 50), (52, 50, 50)])
+def test_pull(spark, score, other, expected):
+    assert one(spark, rules.pull(F.lit(score), F.lit(other).cast("int"), 1.5), a=1)[0] == expected
 
 
-def test_scores_round_half_to_even_and_order_hits(spark):
+def test_scores_by_density(spark):
     model = rules.ScoreModel(
-        rules=(rules.Rule("up", ("good",), 5), rules.Rule("down", ("bad",), -5), rules.Rule("quarter", ("thin",), 10, damped=True)), bands=(("b", 0.5),), long=10_000
-    )
-    rows = spark.createDataFrame([("good", "bad good good", "b"), ("", "thin", "b"), (None, None, None)], "t string, x string, b string")
+        rules=(rules.Rule("up", ("good",), 2), rules.Rule("down", ("bad",), -1), rules.Rule("head", ("good",), 1, "title")), floor_words=10, ceiling=200,
+        attributes=(("k", "1", 7),), bands=(("b", 50, 3),),
+    )
+    rows = spark.createDataFrame([("good", "bad good good", "b", 1), ("", "a " * 20 + "bad", None, None), (None, None, None, 2), ("", "Good? goods good_good x", None, None)], "t string, x string, b string, k int")
     got = rules.score(rows, model, "t", "x", band="b").collect()
-    assert (got[0]["base_score"], got[0]["heuristic_score"]) == (10, 5) and [h.rule for h in got[0]["score_hits"]] == ["up", "down"]
-    assert (got[1]["base_score"], got[1]["heuristic_score"]) == (2, 1)  # 10 / 4 rounds to 2
+    # a title of one word and a text of three count as ten words; 2 * 200 - 100 + 100 + 7, then half and 3
+    assert (got[0]["raw_score"], got[0]["adjusted_score"], got[0]["final_score"]) == (407, 206, 100)
+    assert [(h.rule, h["count"], h.points) for h in got[0]["score_hits"]] == [("up", 2, 400), ("down", 1, -100), ("head", 1, 100), ("k=1", 1, 7)]
+    assert (got[1]["raw_score"], got[1]["final_score"]) == (-47, 0)  # one of 21
     assert got[2]["final_score"] == 0 and got[2]["score_hits"] == []
+    assert got[3]["score_hits"][0]["count"] == 3
 
 
-def test_counts_are_capped_and_clamped(spark):
-    model = rules.ScoreModel(rules=(rules.Rule("r", ("x",), 50),), cap=5, long=10_000)
-    got = rules.score(spark.createDataFrame([("x " * 9, "")], "t string, x string"), model, "t", "x").first()
-    assert got["base_score"] == 250 and got["final_score"] == 100
+def test_bound_columns_are_computed_once(spark):
+    rows = rules.bound(spark.range(3).select(F.col("id").cast("string").alias("x")), {"n": F.regexp_count("x", F.lit("1"))})
+    plan = rows.where("n > 0").withColumn("m", F.col("n") + F.col("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_count") + plan.count("regexp_extract_all") == 1 and rows.where("n > 0").count() == 1
 
 
 def test_vectors(spark):
     words = [random.Random(1).choice(["aa", "bb", "cc", "dd"]) for _ in range(50)]
-    v = one(spark, vectors.token_hash(F.col("a")).alias("v"), a=" ".join(words))["v"]
-    assert sum(v) == 50 and len(v) == 256
-    same = one(spark, vectors.cosine(vectors.token_hash(F.col("a")), vectors.token_hash(F.col("b"))), a="x y z", b="z  Y x")[0]
-    assert same == pytest.approx(1)
-    assert one(spark, vectors.cosine(F.array().cast("array<double>"), vectors.token_hash(F.col("a"))), a="x")[0] == 0
+    rows = spark.createDataFrame([(1, " ".join(words)), (2, "z  Y x"), (3, ""), (4, None), (5, "x y z x y z")], "k int, t string")
+    bags = vectors.bag(rows, "k", "t")
+    got = bags.groupBy("k").agg(F.sum(F.abs("n")).alias("n")).collect()
+    assert {r["k"]: r["n"] for r in got} == {1: 50, 2: 3, 5: 6}
+    profile = vectors.bag(spark.createDataFrame([(0, "x y z")], "k int, t string"), "k", "t").select("slot", F.col("n").alias("m"))
+    near = {r["k"]: r["similarity"] for r in vectors.bag_cosine(bags, profile, "k").collect()}
+    assert near[2] == pytest.approx(1) and near[5] == pytest.approx(1) and near[1] < 0.9
+    a, b = (one(spark, vectors.text_vector(F.col("a")).alias("v"), a=x)["v"] for x in ("Some  text", "some text "))
+    assert a == b and len(a) == 12 and all(0 <= x < 1 for x in a)
+    assert one(spark, vectors.cosine(F.array().cast("array<double>"), F.array(F.lit(1.0))), a="x")[0] == 0
     b = [one(spark, vectors.boost(F.lit(s), 0.5, 4.0), a=1)[0] for s in (0.2, 0.5, 0.75, 1.0)]
     assert b == [0, 0, 2, 4]
 
 
+def test_status_codes(spark):
+    codes = [99, 100, 204, 301, 404, 429, 500, 501, 599, 600, None]
+    got = spark.createDataFrame([(c,) for c in codes], "c int").select(misc.http_category(F.col("c")), misc.http_transient(F.col("c"))).collect()
+    assert [r[0] for r in got] == [None, "informational", "successful", "redirection", "client_error", "client_error", "server_error", "server_error", "server_error", None, None]
+    assert [bool(r[1]) for r in got] == [False, False, False, False, False, True, True, False, True, False, False]
+
+
 def test_misc(spark):
     r = one(
         spark, misc.iso_week(F.lit("2027-01-01").cast("date")).alias("w"), misc.cost(F.lit(1), "0.0125").alias("c"), misc.token_estimate(F.col("a")).alias("t"),

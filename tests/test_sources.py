@@ -29,7 +29,7 @@ def test_linked_data(pages):
 def test_script_data_and_assignments(pages):
     found = [json.loads(r["node"]) for r in html.embedded_json(pages, "page_id", "html", script_id="data").collect()]
     assert found == [{"a": {"b": [1, {"c": 2}]}}, {"b": [1, {"c": 2}]}, {"c": 2}]
-    assert html.balanced('x = {"a": {"b": 1}} + {', "x =") == '{"a": {"b": 1}}' and html.balanced("x = {", "x =") is None and html.balanced("", "x =") is None
+    assert html.assigned('x = {"a": {"b": "}{"}} + {', "x =") == {"a": {"b": "}{"}} and html.assigned("x = {", "x =") is None and html.assigned("", "x =") is None
 
 
 def test_links_and_content(pages):
