@@ -184,6 +184,8 @@ SAMPLE, FREQUENT = 16, 100_000
 PAIRED, PAIRS = 1024, 32
 #: Bits of the map of candidates; documents outside it need no sets for verification.
 MAP_BITS = 1 << 25
+#: Pairs that are verified in one task, about.
+TASK_PAIRS = 2048
 #: Shingles of a block; larger buckets are searched by each two of their blocks.
 BLOCK_SHINGLES = 1 << 21
 _POSTING = "key int, doc_id long, n int, at int"
@@ -359,31 +361,49 @@ def near_copy_edges(docs: DataFrame, least: float, shingle: int) -> DataFrame:
             found = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "shingles"])
 
-    shingles = cut(ids.select("doc_id", "text", place).mapInArrow(sets, "doc_id long, shingles binary"))
+    shingles = ids.select("doc_id", "text", place).mapInArrow(sets, "doc_id long, shingles binary")
+
+    # tasks: pairs go where the least neighbour of their two documents sends them, so that a group's sets meet once
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least_of = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
+    keyed = pairs.join(least_of.withColumnRenamed("m", "ma"), "a").join(least_of.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b")
+    keyed = keyed.select(F.least("ma", "mb").alias("task"), "a", "b")
+    crowd = keyed.groupBy("task").agg(F.ceil(F.count("*") / TASK_PAIRS).alias("blocks"))
+    keyed = keyed.join(crowd, "task").select("task", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("i"), F.lit(-1).alias("j"), "a", "b")
+    keyed = cut(keyed)
+    wanted = keyed.select("task", "i", "j", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = wanted.unionByName(crowds.select(F.col("key").cast("long").alias("task"), "i", "j", "doc_id"))
+    given = wanted.join(shingles, "doc_id").select("task", "i", "j", F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+    work = given.unionByName(keyed.select("task", "i", "j", "a", "b", F.lit(None).cast("binary").alias("shingles")))
+    work = work.repartition("task", "i", "j").sortWithinPartitions("task", "i", "j")
 
     def verify(batches):
-        for batch in batches:
-            keep = []
-            for p, q in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(p.as_py(), np.int32), np.frombuffer(q.as_py(), np.int32)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= least * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def search(batches):
+        """Pairs of a task that pass; in a task without pairs, pairs that span all those that pass."""
         for table in whole_runs(batches, 3):
-            key, i, j, doc = (table.column(k).to_numpy() for k in range(4))
-            for s, m in zip(*(x.tolist() for x in runs_of(key, i, j))):
-                links = spanning([np.frombuffer(x.as_py(), np.int32) for x in table.column(4).slice(s, m)], least)
+            task, i, j, doc = (table.column(k).to_numpy() for k in range(4))
+            for s, m in zip(*(x.tolist() for x in runs_of(task, i, j))):
+                rows = table.slice(s, m)
+                is_set = rows.column(5).is_valid().to_numpy()
+                ids, found = doc[s : s + m][is_set], [np.frombuffer(x.as_py(), np.int32) for x in rows.column(5) if x.is_valid]
+                if j[s] < 0:
+                    at: dict[int, list] = {}
+                    for k, x in zip(ids.tolist(), found):
+                        at.setdefault(k, []).append(x)  # rows may share a doc_id
+                    asked = zip(doc[s : s + m][~is_set].tolist(), rows.column(4).drop_null().to_pylist())
+                    links = [(a, b) for a, b in asked if any(similar(p, q, least) for p in at[a] for q in at[b])]
+                else:
+                    links = ids[np.array(spanning(found, least), int).reshape(-1, 2)].tolist()
                 if links:
-                    a, b = doc[s + np.array(links)].T
+                    a, b = np.array(links, np.int64).T
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    both = pairs.join(shingles.select(F.col("doc_id").alias("a"), F.col("shingles").alias("p")), "a")
-    both = both.join(shingles.select(F.col("doc_id").alias("b"), F.col("shingles").alias("q")), "b").select("a", "b", "p", "q")
-    crowded = crowds.join(shingles, "doc_id").select("key", "i", "j", "doc_id", "shingles")
-    crowded = crowded.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return both.mapInArrow(verify, "a long, b long").unionByName(crowded.mapInArrow(search, "a long, b long"))
+    return work.mapInArrow(verify, "a long, b long")
+
+
+def similar(p: np.ndarray, q: np.ndarray, least: float) -> bool:
+    """Whether two sets of distinct shingles share ``least`` of their union."""
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both >= least * (len(p) + len(q) - both)
 
 
 def drop_near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
