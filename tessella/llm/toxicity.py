@@ -5,14 +5,18 @@ letters, each as a 64-bit hash.  The machine scores ``w0 + sum w_i x_i + sum_{i<
 with ``x_i`` 1 for the terms present, so a pair of terms can weigh more than both alone.
 
 Fitting uses a bounded sample: at most about ``SAMPLE`` labelled documents of each class, chosen by a
-hash of doc_id.  Terms are selected by a z-test of their document frequencies in the two classes (a
-term that only a pair makes telling, and that is as frequent in both classes, is not selected);
-collisions are avoided by keeping the selected hashes themselves.  Scoring reads whole texts.
-
-Defined results: null and empty texts score as texts without terms; documents with a null doc_id are
+hash of doc_id.  A term enters the machine if its document frequencies in the two classes differ, or if
+it is part of a pair whose effect is more than the sum of its terms' (the contrast of log odds with both,
+either and none of them), so that terms which only a pair makes telling are in; all pairs of terms that
+are each in ``PAIR_SHARE`` of the sample are tested (rarer ones seldom meet by chance, and where they
+meet for a reason their own frequencies differ).  Nothing caps the number of terms; collisions are avoided
+by keeping the selected hashes themselves.  Scoring reads whole texts.
+
+Defined results: null and empty texts score as texts without terms; very long texts count each term once;
+repeated rows score alike and their text counts once in the fit; documents with a null doc_id are
 scored and never fitted on; several labels of one document count as toxic if any is; labels without
-both classes give every text the score of the class there is (0 if there is none); other columns are
-ignored.
+both classes (or none at all) give every text the score of the class there is (0 if there is none); other
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,8 +37,12 @@ from .shared import cut
 
 #: Labelled documents of each class that are fitted on, about.
 SAMPLE = 4_000
-#: Terms that the machine knows at most, and the least z of their class difference.
-TERMS, LEAST_Z, LEAST_DF = 4_096, 4.0, 4
+#: The least z of a term's class difference, and its documents in the sample.
+LEAST_Z, LEAST_DF = 4.0, 4
+#: The least z of a pair's contrast, and the documents of either term: a number, and a share of the sample.
+PAIR_Z, PAIR_DF, PAIR_SHARE = 6.0, 24, 1 / 40
+#: Terms whose pairs with all others are tested at a time: bounds the driver's memory.
+PAIR_STEP = 256
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 30, 64, 0.1, 1e-4
 #: Steps that a fit takes at least: small samples are gone through more often.
 STEPS = 4_000
@@ -70,24 +79,35 @@ class Terms(dict):
         return sorted(found)
 
 
+def segment_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of ``values[starts[i]:starts[i + 1]]``, along the first axis."""
+    sums = np.concatenate((np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0)))
+    return sums[starts[1:]] - sums[starts[:-1]]
+
+
 @dataclass(frozen=True)
 class Machine:
-    """A fitted model; small enough to travel with a task (TERMS x (FACTORS + 2) numbers)."""
+    """A fitted model; small enough to travel with a task: the sample bounds its terms."""
 
     terms: np.ndarray
     w0: float
     w: np.ndarray
     v: np.ndarray
 
+    def logits(self, rows: list[list[int]]) -> np.ndarray:
+        """Of many texts at once, each given by the places of its terms."""
+        starts = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
+        flat = np.fromiter(chain.from_iterable(rows), np.int64, int(starts[-1]))
+        v = self.v[flat]
+        pairs = (segment_sums(v, starts) ** 2 - segment_sums(v**2, starts)).sum(1)
+        return self.w0 + segment_sums(self.w[flat], starts) + 0.5 * pairs
+
     def logit(self, present: list[int]) -> float:
-        if not present:
-            return self.w0
-        v = self.v[present]
-        return self.w0 + self.w[present].sum() + 0.5 * (v.sum(0) ** 2 - (v**2).sum(0)).sum()
+        return float(self.logits([present])[0])
 
 
 def fit(rows: list[list[int]], y: np.ndarray, n_terms: int, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """AdaGrad on the logistic loss; the two classes weigh the same."""
+    """AdaGrad on the logistic loss; the two classes weigh the same.  ``rows``: places of each text's terms."""
     rng = np.random.default_rng(seed)
     w0, w, v = 0.0, np.zeros(n_terms), rng.normal(0, 0.1, (n_terms, FACTORS))
     g0, gw, gv = 1e-8, np.full(n_terms, 1e-8), np.full((n_terms, FACTORS), 1e-8)
@@ -122,6 +142,36 @@ def fit(rows: list[list[int]], y: np.ndarray, n_terms: int, seed: int = 7) -> tu
     return w0, w, v
 
 
+def telling_pairs(rows: list[np.ndarray], y: np.ndarray, n_terms: int, candidates: np.ndarray, least: float = PAIR_Z) -> np.ndarray:
+    """The terms of all pairs of ``candidates`` whose joint effect isn't the sum of their own.
+
+    The effect is the log odds of class 1 with both terms, less those with either alone, plus those with
+    neither; its z comes from the counts of the eight cells, each a half larger.
+    """
+    at = np.full(n_terms, -1)
+    at[candidates] = np.arange(len(candidates))
+    has = np.zeros((len(rows), len(candidates)), np.float32)
+    for k, r in enumerate(rows):
+        mine = at[r]
+        has[k, mine[mine >= 0]] = 1
+    sides = [has[y == c] for c in (0, 1)]
+    del has
+    found = np.zeros(len(candidates), bool)
+    for k in range(0, len(candidates), PAIR_STEP):
+        effect, spread = 0.0, 0.0
+        for sign, x in zip((-1, 1), sides):
+            both, own = x[:, k : k + PAIR_STEP].T @ x, x.sum(0)
+            first, second = own[k : k + PAIR_STEP, None] - both, own[None] - both
+            for s, cell in ((1, both), (-1, first), (-1, second), (1, len(x) - both - first - second)):
+                effect = effect + sign * s * np.log(cell + 0.5)
+                spread = spread + 1 / (cell + 0.5)
+        z = np.abs(effect) / np.sqrt(spread)
+        z[np.arange(len(z)), k + np.arange(len(z))] = 0
+        found |= (z >= least).any(0)
+        found[k : k + PAIR_STEP] |= (z >= least).any(1)
+    return candidates[found]
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents never fitted on."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
@@ -156,24 +206,29 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     )
     pooled = (F.col("t") + F.col("c")) / (n1 + n0)
     z = F.abs(F.col("t") / n1 - F.col("c") / n0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
-    picked = (
-        df.where(F.col("t") + F.col("c") >= LEAST_DF)
-        .select("term", z.alias("z"))
-        .where(F.col("z") >= LEAST_Z)
-        .orderBy(F.desc("z"), "term")
-        .limit(TERMS)
-        .collect()
-    )
-    terms = np.array(sorted(r["term"] for r in picked), np.int64)
-    index = {int(h): i for i, h in enumerate(terms)}
-    # only selected terms travel, of a bounded number of documents
-    keep = F.filter("terms", lambda x: x.isin(*map(int, terms))) if len(terms) <= 512 else F.array_intersect(
-        "terms", F.lit([int(x) for x in terms])
-    )
-    rows = bags.select("toxic", F.array_sort(keep).alias("terms") if len(terms) else F.array().cast("array<long>").alias("terms"))
-    rows = sorted((r["toxic"], [index[h] for h in r["terms"]]) for r in rows.toLocalIterator())
-    y = np.array([t for t, _ in rows], float)
-    return Machine(terms, *fit([x for _, x in rows], y, len(terms)))
+    seen = df.where(F.col("t") + F.col("c") >= LEAST_DF).select("term", (z >= LEAST_Z).alias("alone"), (F.col("t") + F.col("c") >= max(PAIR_DF, PAIR_SHARE * (n1 + n0))).alias("often"))
+    seen = seen.where("alone OR often").orderBy("term").toArrow()  # the sample bounds them
+    known, alone, often = (seen[c].to_numpy() for c in ("term", "alone", "often"))
+
+    def to_places(batches):
+        """Terms as places in ``known``; those outside it go."""
+        for batch in batches:
+            found = []
+            for terms in batch.column(1):
+                h = np.array(terms.as_py(), np.int64)
+                at = np.searchsorted(known, h).clip(max=max(0, len(known) - 1))
+                found.append(np.unique(at[known[at] == h]) if len(known) else at[:0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["toxic", "places"])
+
+    sample_rows = bags.mapInArrow(to_places, "toxic int, places array<long>").toArrow().to_pydict()  # of a bounded sample
+    order = sorted(range(len(sample_rows["toxic"])), key=lambda k: (sample_rows["toxic"][k], sample_rows["places"][k]))
+    y = np.array([sample_rows["toxic"][k] for k in order], float)
+    places = [np.array(sample_rows["places"][k], np.int64) for k in order]
+    picked = np.union1d(np.flatnonzero(alone), telling_pairs(places, y, len(known), np.flatnonzero(often)))
+    new = np.full(len(known), -1)
+    new[picked] = np.arange(len(picked))
+    rows = [x[x >= 0].tolist() for x in (new[p] for p in places)]
+    return Machine(known[picked], *fit(rows, y, len(picked)))
 
 
 @lru_cache(maxsize=2)
@@ -189,7 +244,7 @@ def score(text: Column, machine: Machine) -> Column:
     @F.pandas_udf("double")
     def toxic(texts: pd.Series) -> pd.Series:
         terms = _worker_terms(raw)
-        logits = np.array([machine.logit(terms(t)) for t in texts], float)
+        logits = machine.logits([terms(t) for t in texts])
         return pd.Series(1 / (1 + np.exp(-np.clip(logits, -30, 30))))
 
     return toxic(text)

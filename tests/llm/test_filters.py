@@ -55,6 +55,43 @@ def test_pairs_are_learnt():
     assert m.logit([0, 1]) > 0 > max(m.logit([0]), m.logit([1]), m.logit([]))
 
 
+def test_pairs_are_found_in_texts(spark):
+    """The class depends on whether two words come together; each alone is as frequent in both classes."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(1500):
+        text = [f"word{rng.randrange(300)}" for _ in range(rng.randrange(5, 60))]
+        for w in ([], ["alpha"], ["beta"], ["alpha", "beta"])[i % 4]:
+            text.insert(rng.randrange(len(text)), w)
+        rows.append((i, " ".join(text), int(i % 4 in (0, 3))))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = toxicity.judge(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")).where("held_out").collect()
+    assert np.mean([r["predicted"] == rows[r["doc_id"]][2] for r in got]) >= 0.95
+
+
+def test_scores_match_brute_force():
+    rng = np.random.default_rng(5)
+    m = toxicity.Machine(np.arange(30), 0.3, rng.normal(size=30), rng.normal(size=(30, 4)))
+    rows = [sorted(rng.choice(30, rng.integers(0, 30), replace=False).tolist()) for _ in range(40)] + [[]]
+    plain = [m.w0 + sum(m.w[i] for i in r) + sum(m.v[i] @ m.v[j] for k, i in enumerate(r) for j in r[:k]) for r in rows]
+    assert m.logits(rows) == pytest.approx(plain) and m.logit(rows[0]) == pytest.approx(plain[0])
+
+
+def test_telling_pairs_match_brute_force():
+    rng = np.random.default_rng(6)
+    x = rng.random((300, 12)) < 0.4
+    y = (x[:, 2] == x[:, 7]).astype(float)
+    rows = [np.flatnonzero(r) for r in x]
+    expected = set()
+    for a in range(12):
+        for b in range(a):
+            cells = np.array([[[((x[:, a] == p) & (x[:, b] == q) & (y == c)).sum() + 0.5 for c in (0, 1)] for q in (0, 1)] for p in (0, 1)])
+            odds = np.log(cells[:, :, 1] / cells[:, :, 0])
+            if abs(odds[1, 1] - odds[1, 0] - odds[0, 1] + odds[0, 0]) / np.sqrt((1 / cells).sum()) >= 3:
+                expected |= {a, b}
+    assert {2, 7} <= expected and set(toxicity.telling_pairs(rows, y, 12, np.arange(12), 3).tolist()) == expected
+
+
 def test_held_out_labels_change_nothing(spark, labelled):
     docs, labels, _ = labelled
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
@@ -79,6 +116,9 @@ def test_without_labels(spark, labelled):
     assert {r["predicted"] for r in toxicity.judge(docs.limit(5), labels.limit(0)).collect()} == {0}
     assert {r["predicted"] for r in toxicity.judge(docs.limit(5), labels.where("toxic = 1")).collect()} == {1}
     kept = toxicity.drop_toxic(docs, labels)
+    assert toxicity.drop_toxic(docs.limit(0), labels).count() == 0 and toxicity.drop_toxic(docs.limit(5), labels.limit(0)).count() == 5
+    clashing = docs.withColumns({"score": F.lit(1), "terms": F.lit("x")}).unionByName(docs.limit(1).select(F.lit(None).cast("long").alias("doc_id"), F.lit("insult").alias("text"), "toxic", "predicted", F.lit(2).alias("score"), F.lit("y").alias("terms")))
+    assert toxicity.drop_toxic(clashing, labels).where("doc_id IS NULL").count() == 0
     assert kept.columns == docs.columns and np.mean([truth[r["doc_id"]] for r in kept.collect()]) < 0.05
 
 
