@@ -2,32 +2,42 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def canonical(rows: DataFrame, group: list[str], best: list[Column], provenance: str) -> DataFrame:
-    """One row a group, the smallest by ``best``, with ``duplicates``: the sorted ``provenance`` of the others.
+    """One row a group, the smallest by ``best``, with ``n_duplicates``, the number of the others.
 
     Equal keys are settled by ``provenance``, nulls last.  Both are aggregates that combine before the
-    shuffle, so a group with a large part of all rows moves one row and one list for each task.
+    shuffle, so a group with a large part of all rows moves one row for each task.
     """
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(best)], F.col(provenance).isNull().alias("n"), F.col(provenance).alias("p"))
-    found = rows.groupBy(*group).agg(
-        F.min_by(F.struct(*rows.columns), key).alias("__best"), F.sort_array(F.collect_list(provenance)).alias("__ids")
-    )
-    first = F.array_position("__ids", F.col(f"__best.{provenance}"))
-    others = F.filter("__ids", lambda _, i: F.coalesce(i != first - 1, F.lit(True)))
-    return found.select(*[F.col(f"__best.{c}").alias(c) for c in rows.columns], others.alias("duplicates"))
+    found = rows.groupBy(*group).agg(F.min_by(F.struct(*rows.columns), key).alias("__best"), (F.count("*") - 1).alias("n_duplicates"))
+    return found.select(*[F.col(f"__best.{c}").alias(c) for c in rows.columns], "n_duplicates")
 
 
-def families(rows: DataFrame, family: str, score: str, order: str) -> DataFrame:
-    """family, the best row's order and score, how many rows, and all rows' (score, order), best first; ties keep the first."""
-    ranked = F.struct(F.col(score).alias("score"), (-F.col(order)).alias("neg"))
-    variants = F.transform(F.reverse(F.array_sort(F.collect_list(ranked))), lambda v: F.struct((-v["neg"]).alias("id"), v["score"]))
-    return rows.groupBy(family).agg(F.max(ranked).alias("best"), F.count("*").alias("n"), variants.alias("variants")).select(
-        family, (-F.col("best.neg")).alias("best_id"), F.col("best.score").alias("best_score"), "n", "variants"
-    )
+def kept_rows(rows: DataFrame, group: list[str], best: list[Column], provenance: str) -> DataFrame:
+    """``rows`` with ``kept_<provenance>``: the one of their group that ``canonical`` keeps; no list of a group is made."""
+    one = canonical(rows, group, best, provenance).select(*[F.col(g).alias(f"__{g}") for g in group], F.col(provenance).alias(f"kept_{provenance}"))
+    same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group]
+    return rows.join(one, same).drop(*[f"__{g}" for g in group])
+
+
+def families(rows: DataFrame, family: str, score: str, order: str, first: int = 5) -> DataFrame:
+    """family, the best row's order and score, how many rows, and the ``first`` rows' (id, score), best first; ties keep the first.
+
+    Rows beyond the first are cut by rank, in every partition before the shuffle.
+    """
+    rank = F.row_number().over(Window.partitionBy(family).orderBy(F.desc(score), F.asc(order)))
+    top_rows = rows.select(family, score, order).withColumn("__r", rank).where(F.col("__r") <= first)
+    variant = F.struct(F.col("__r"), F.col(order).alias("id"), F.col(score).alias("score"))
+    heads = top_rows.groupBy(family).agg(F.array_sort(F.collect_list(variant)).alias("variants"))
+    counts = rows.groupBy(F.col(family).alias("__f")).agg(F.count("*").alias("n"))
+    joined = heads.join(counts, F.col(family).eqNullSafe(F.col("__f")))
+    listed = F.transform("variants", lambda v: F.struct(v["id"], v["score"]))
+    return joined.select(family, F.col("variants")[0]["id"].alias("best_id"), F.col("variants")[0]["score"].alias("best_score"), "n", listed.alias("variants"))
 
 
 def top(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
@@ -38,17 +48,26 @@ def top(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
 def greedy_budget(rows: DataFrame, group: str, order: str, cost: str, budget: int, free: str | None = None) -> DataFrame:
     """group, order, selected: in order, a row is taken if it still fits its group's budget, else passed over.
 
-    Rows marked ``free`` are taken and spend nothing.  Taking depends on all rows before, so a group is
-    folded in one task: keep groups small.
+    Rows marked ``free`` are taken and spend nothing; rows that alone exceed the budget are passed over where they
+    are.  Taking depends on all rows before, so the others of a group stream through one task in order, three
+    numbers a row and nothing kept but what is spent.
     """
-    item = F.struct(F.col(order).alias("o"), F.col(cost).cast("long").alias("c"), (F.col(free) if free else F.lit(False)).alias("free"))
-    empty = F.array().cast("array<struct<o:bigint,taken:boolean>>")
+    kinds = dict(rows.dtypes)
+    item = rows.select(group, order, F.col(cost).cast("long").alias("__c"), F.coalesce(F.col(free) if free else F.lit(False), F.lit(False)).alias("__free"))
+    item = item.withColumn("__sure", F.when(F.col("__free"), True).when(F.col("__c") > budget, False))
+    open_ = item.where("__sure IS NULL").repartition(group).sortWithinPartitions(group, order).select(group, order, "__c")
 
-    def step(state: Column, x: Column) -> Column:
-        fits = x["free"] | (state["spent"] + x["c"] <= budget)
-        spent = state["spent"] + F.when(fits & ~x["free"], x["c"]).otherwise(0)
-        return F.struct(spent.alias("spent"), F.concat(state["out"], F.array(F.struct(x["o"].cast("long").alias("o"), fits.alias("taken")))).alias("out"))
+    def run(batches):
+        at, spent = object(), 0
+        for batch in batches:
+            taken = []
+            for g, c in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if g != at:
+                    at, spent = g, 0
+                fits = spent + (c or 0) <= budget
+                spent += (c or 0) if fits else 0
+                taken.append(fits)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(taken, pa.bool_())], [group, order, "selected"])
 
-    start = F.struct(F.lit(0).cast("long").alias("spent"), empty.alias("out"))
-    folded = rows.groupBy(group).agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step, lambda s: s["out"]).alias("__out"))
-    return folded.select(group, F.explode("__out").alias("__x")).select(group, F.col("__x.o").alias(order), F.col("__x.taken").alias("selected"))
+    streamed = open_.mapInArrow(run, f"`{group}` {kinds[group]}, `{order}` {kinds[order]}, selected boolean")
+    return streamed.unionByName(item.where("__sure IS NOT NULL").select(group, order, F.col("__sure").alias("selected")))

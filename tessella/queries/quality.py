@@ -215,3 +215,30 @@ def enrichment_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     api, html = F.when(i % 3 == 0, F.col("html")), F.when(i % 4 != 1, F.substr("html", F.lit(1), (i * 5).cast("int")))
     state = enrichment(api, html, F.when(i % 5 == 0, F.lit("timeout")))
     return table(spark, sf_dir, "pages").select(state.alias("s")).select("s.*").groupBy("status", "reason", "needs_fallback").agg(F.count("*").alias("n"))
+
+
+@query(
+    "publish_plan",
+    """SELECT 'part-' || p_partkey AS source, 'runs/r1/part-' || p_partkey AS target FROM part UNION ALL SELECT 'part-' || p_partkey, 'latest/part-' || p_partkey FROM part WHERE p_partkey IN (1, 2)""",
+)
+def publish_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every artifact of a run goes; two of them are published as the latest, too."""
+    from ..sources import sinks
+
+    names = table(spark, sf_dir, "part").select(F.concat(F.lit("part-"), F.col("p_partkey")).alias("name"))
+    return sinks.publish_plan(names, "r1", ["part-1", "part-2"])
+
+
+@query(
+    "artifact_verification",
+    """SELECT 'f' || o_orderkey AS path, CASE WHEN o_orderkey % 5 = 0 THEN 'missing' WHEN o_orderkey % 7 = 0 THEN 'extra' ELSE 'changed' END AS problem FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0""",
+)
+def artifact_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of artifacts against those that were recorded."""
+    from ..sources import sinks
+
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("f"), k).alias("path"))
+    found = o.where(k % 5 != 0).select("path", F.sha2(F.when((k % 11 == 0) & (k % 7 != 0), "other").otherwise(F.col("path")), 256).alias("sha256"))
+    expected = o.where((k % 7 != 0) | (k % 5 == 0)).select("path", F.sha2("path", 256).alias("sha256"))
+    return sinks.verify(found, expected)

@@ -81,7 +81,7 @@ def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical documents by falling score: of equal normalised texts the one with the largest original stays."""
     scored = scored_documents(spark, sf_dir).select("doc_id", "source", "final_score", "n_chars", F.sha2(text.normalise(F.col("text")), 256).alias("text_hash"))
     one = ranking.canonical(scored, ["text_hash"], [-F.col("n_chars"), -F.col("final_score")], "doc_id")
-    return ranking.top(one.select("doc_id", "source", "final_score", F.size("duplicates").alias("n_duplicates")), [F.desc("final_score"), F.asc("doc_id")], 100)
+    return ranking.top(one.select("doc_id", "source", "final_score", F.col("n_duplicates").cast("int").alias("n_duplicates")), [F.desc("final_score"), F.asc("doc_id")], 100)
 
 
 _NORM = r"lower(trim(regexp_replace(coalesce(text, ''), '[ \t\r\n]+', ' ', 'g')))"
@@ -99,16 +99,13 @@ def top_n_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "canonical_dedupe",
-    f"""WITH r AS (SELECT doc_id, sha256({_NORM}) AS text_hash, row_number() OVER w AS k, FROM documents
-    WINDOW w AS (PARTITION BY {_NORM} ORDER BY length(text) DESC, coalesce(source, '') = '', doc_id))
-SELECT min(doc_id) FILTER (k = 1) AS doc_id, text_hash, array_to_string(list_sort(list(doc_id) FILTER (k > 1)), ',') AS duplicates FROM r GROUP BY text_hash""",
+    f"""SELECT doc_id, sha256({_NORM}) AS text_hash, first_value(doc_id) OVER (PARTITION BY {_NORM} ORDER BY length(text) DESC, coalesce(source, '') = '', doc_id) AS kept_doc_id FROM documents""",
 )
 def canonical_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best row of each group of equal normalised texts: longest, with a source, first."""
+    """Every row with the best of its group of equal normalised texts: longest, with a source, first."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n"), F.sha2(text.normalise(F.col("text")), 256).alias("text_hash"))
-    one = ranking.canonical(d, ["text_hash"], [-F.col("n"), F.coalesce("source", F.lit("")) == ""], "doc_id")
-    joined = F.array_join(F.col("duplicates").cast("array<string>"), ",")
-    return one.select("doc_id", "text_hash", F.when(F.size("duplicates") > 0, joined).alias("duplicates"))
+    one = ranking.kept_rows(d, ["text_hash"], [-F.col("n"), F.coalesce("source", F.lit("")) == ""], "doc_id")
+    return one.select("doc_id", "text_hash", "kept_doc_id")
 
 
 @query(
@@ -240,7 +237,7 @@ def family_best_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", F.regexp_replace("p_type", " [^ ]+$", "").alias("family"), F.bround("p_retailprice", 0).cast("int").alias("score")
     )
     f = ranking.families(p, "family", "score", "p_partkey")
-    first = F.array_join(F.transform(F.slice("variants", 1, 5), lambda v: v["id"].cast("string")), ",")
+    first = F.array_join(F.transform("variants", lambda v: v["id"].cast("string")), ",")
     return f.select("family", "best_id", "best_score", "n", first.alias("top_variants"))
 
 

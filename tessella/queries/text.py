@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity, text, urls
+from ..operators.ranking import kept_rows
 from ..registry import query, table
+from ..sources import html
 
 _NORM = r"lower(trim(regexp_replace(coalesce({0}, ''), '[ \t\r\n]+', ' ', 'g')))"
 
@@ -49,16 +51,104 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "url_identity_dedupe",
     f"""WITH {_CANONICAL}
-SELECT sha256(concat_ws(chr(31), 'pages', 'url', url_canonical)) AS identity, min(page_id) AS first_page, count(*) AS n,
-       array_to_string(list_sort(list(page_id)), ',') AS pages FROM c GROUP BY url_canonical""",
+SELECT page_id, sha256(concat_ws(chr(31), 'pages', 'url', url_canonical)) AS identity, min(page_id) OVER w AS kept_page_id FROM c WINDOW w AS (PARTITION BY url_canonical)""",
 )
 def url_identity_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that share a canonical URL; the first one stands for them."""
+    """Every page with the first one that shares its canonical URL."""
     key = identity.source_identity(F.lit("pages"), [F.lit(None).cast("string")], [F.col("url")], [])
-    rows = table(spark, sf_dir, "pages").select(key.alias("identity"), "page_id")
-    return rows.groupBy("identity").agg(
-        F.min("page_id").alias("first_page"), F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("page_id")).cast("array<string>"), ",").alias("pages")
-    )
+    rows = table(spark, sf_dir, "pages").select("page_id", key.alias("identity"))
+    return kept_rows(rows, ["identity"], [F.col("page_id")], "page_id")
+
+
+@query(
+    "identity_modes",
+    """WITH r AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'REQ-' || (1000 + p_partkey) WHEN 1 THEN ' ' WHEN 2 THEN 'https://x.org/' || p_partkey ELSE NULL END AS ref,
+  CASE WHEN p_partkey % 3 = 0 THEN 'HTTP://Jobs.Example.org/' || p_partkey || '/?b=1&a=2#top' END AS url, lower(trim(p_name)) AS name FROM part),
+c AS (SELECT *, 'http://jobs.example.org/' || p_partkey || '?a=2&b=1' AS clean FROM r)
+SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN ref END AS requisition,
+  CASE WHEN trim(coalesce(ref, '')) <> '' THEN ref WHEN url IS NOT NULL THEN clean ELSE sha256(name) END AS record_id,
+  'parts:' || CASE WHEN trim(coalesce(ref, '')) <> '' THEN ref WHEN url IS NOT NULL THEN clean ELSE sha256(name) END AS delta_id,
+  sha256(concat_ws(chr(31), 'parts', CASE WHEN p_partkey % 4 = 0 THEN 'id' WHEN url IS NOT NULL THEN 'url' ELSE 'text' END,
+    CASE WHEN p_partkey % 4 = 0 THEN ref WHEN url IS NOT NULL THEN clean ELSE name END)) AS source_identity FROM c""",
+)
+def identity_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requisition numbers, record ids, delta ids and identities within a source, by id, URL or description."""
+    k = F.col("p_partkey")
+    ref = F.when(k % 4 == 0, F.concat(F.lit("REQ-"), k + 1000)).when(k % 4 == 1, " ").when(k % 4 == 2, F.concat(F.lit("https://x.org/"), k))
+    url = F.when(k % 3 == 0, F.concat(F.lit("HTTP://Jobs.Example.org/"), k, F.lit("/?b=1&a=2#top")))
+    p = table(spark, sf_dir, "part").select("p_partkey", ref.alias("ref"), url.alias("url"), "p_name")
+    given = [F.col("ref")], [F.col("url")], [F.col("p_name")]
+    return p.select(
+        "p_partkey", identity.requisition(F.col("ref")).alias("requisition"), identity.record_id(*given).alias("record_id"),
+        identity.delta_id(F.lit(" Parts"), *given).alias("delta_id"), identity.source_identity(F.lit("Parts "), *given).alias("source_identity"),
+    )
+
+
+@query(
+    "safe_names",
+    """WITH n AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'run-' || event_id WHEN 1 THEN '../' || event_id WHEN 2 THEN 'a/' || event_id WHEN 3 THEN 'a..' || event_id ELSE '.' || event_id END AS name FROM events)
+SELECT event_id, event_id % 5 = 0 AS safe FROM n""",
+)
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which names may become folders."""
+    i = F.col("event_id")
+    forms = [F.concat(F.lit(p), i) for p in ("run-", "../", "a/", "a..", ".")]
+    name = F.when(i % 5 == 0, forms[0]).when(i % 5 == 1, forms[1]).when(i % 5 == 2, forms[2]).when(i % 5 == 3, forms[3]).otherwise(forms[4])
+    return table(spark, sf_dir, "events").select("event_id", identity.path_safe(name).alias("safe"))
+
+
+@query(
+    "relative_links",
+    """WITH b AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS s, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS h,
+  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM pages WHERE regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://')),
+d AS (SELECT *, lower(s) || '://' || lower(h) AS root, regexp_extract(p, '^(.*/)', 1) AS folder FROM b)
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://other.org/x' WHEN 1 THEN lower(s) || '://cdn.org/y' WHEN 2 THEN root || '/top' ELSE root || CASE WHEN folder = '' THEN '/' ELSE folder END || 'next' END AS link FROM d""",
+)
+def relative_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absolute, protocol-relative, rooted and relative links, as seen from their page."""
+    i = F.col("page_id") % 4
+    link = F.when(i == 0, "https://other.org/x").when(i == 1, "//cdn.org/y").when(i == 2, "/top").otherwise("next")
+    pages = table(spark, sf_dir, "pages").where(F.col("url").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"))
+    return pages.select("page_id", urls.resolve(F.col("url"), link).alias("link"))
+
+
+def _postings_html() -> Column:
+    """Pages that carry a linked-data record of a part, in one of three forms, and two links."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    place = F.when(k % 3 == 0, '"Lyon"').when(k % 3 == 1, '{"address": {"addressLocality": "Bonn", "addressCountry": "DE"}}').otherwise('[{"name": "Remote"}, "x"]')
+    record = F.format_string('{"@graph": [{"@type": "JobPosting", "title": "%s", "url": "http://p.org/%d", "hiringOrganization": {"name": "B } Co"}, "jobLocation": %s}]}', name, k, place)
+    data = F.format_string('<script>var x = 1; window.__DATA = {"size": %d, "note": "a } brace", "inner": {"brand": "%s"}};</script>', F.col("p_size"), F.col("p_brand"))
+    links = F.format_string('<a href="/item/%d">Item %d</a><a href="/empty"></a>', k, k)
+    return F.concat(F.lit("<html><body>"), data, F.lit('<script type="application/ld+json">'), record, F.lit("</script>"), links, F.lit("</body></html>"))
+
+
+def _part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", _postings_html().alias("html"))
+
+
+@query(
+    "linked_data_postings",
+    """SELECT p_partkey, 'http://p.org/' || p_partkey AS url, trim(p_name) AS title, 'B } Co' AS organisation,
+  CASE p_partkey % 3 WHEN 0 THEN 'Lyon' WHEN 1 THEN 'Bonn, DE' ELSE 'Remote' END AS location FROM part""",
+)
+def linked_data_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a type, from the linked data in pages; location is text, an address or a list."""
+    nodes = html.embedded_json(_part_pages(spark, sf_dir), "p_partkey", "html", node_type="JobPosting")
+    return html.postings(nodes, "p_partkey").select("p_partkey", "url", "title", "organisation", "location")
+
+
+@query("assigned_data", "SELECT p_partkey, 0 AS n, p_size::BIGINT AS size, NULL AS brand FROM part UNION ALL SELECT p_partkey, 1, NULL, p_brand FROM part")
+def assigned_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects in data that a script assigns; braces inside its strings don't end it."""
+    nodes = html.embedded_json(_part_pages(spark, sf_dir), "p_partkey", "html", assignment="window.__DATA =")
+    v = F.parse_json("node")
+    return nodes.select("p_partkey", F.col("_ord").alias("n"), F.try_variant_get(v, "$.size", "long").alias("size"), F.try_variant_get(v, "$.brand", "string").alias("brand"))
+
+
+@query("page_links", "SELECT p_partkey, '/item/' || p_partkey AS href, 'Item ' || p_partkey AS title FROM part")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors with text."""
+    return html.links(_part_pages(spark, sf_dir), "p_partkey", "html").select("p_partkey", "href", "title")
 
 
 _HTML = (

@@ -17,8 +17,10 @@ def test_canonical_row_ignores_input_order(spark):
         random.Random(seed).shuffle(data)
         d = spark.createDataFrame(data, "g string, id int, n int, s string")
         one = ranking.canonical(d, ["g"], [-F.col("n"), F.coalesce("s", F.lit("")) == ""], "id")
-        seen.add(str(rows(one, "g", "id", "duplicates")))
-    assert seen == {"[('g', 3, [1, 2, 5]), ('h', 4, [])]"}
+        seen.add(str(rows(one, "g", "id", "n_duplicates")))
+        every = ranking.kept_rows(d, ["g"], [-F.col("n"), F.coalesce("s", F.lit("")) == ""], "id")
+        assert rows(every, "id", "kept_id") == [(1, 3), (2, 3), (3, 3), (4, 4), (5, 3)]
+    assert seen == {"[('g', 3, 3), ('h', 4, 0)]"}
 
 
 def test_families_keep_the_first_of_equals(spark):
@@ -33,6 +35,19 @@ def test_greedy_budget_passes_over_what_does_not_fit(spark):
     assert got == {1: True, 2: False, 3: True, 4: True, 5: False}
 
 
+def test_hot_groups(spark):
+    """One group holds half of the rows."""
+    d = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("g"), F.col("id").alias("o"), (F.col("id") % 10 + 1).alias("c"))
+    f = {r["g"]: r for r in ranking.families(d, "g", "c", "o", 3).where("g = 'hot'").collect()}["hot"]
+    assert f["n"] == 2000 and [v["id"] for v in f["variants"]] == [8, 18, 28]
+    spent, expected = 0, set()
+    for i in range(0, 4000, 2):
+        if spent + i % 10 + 1 <= 100:
+            spent, expected = spent + i % 10 + 1, expected | {i}
+    taken = ranking.greedy_budget(d, "g", "o", "c", 100).where("selected").collect()
+    assert {r["o"] for r in taken if r["g"] == "hot"} == expected and len(taken) == 2000 + len(expected)
+
+
 def test_top_ranks_the_first_k(spark):
     d = spark.createDataFrame([(i, i % 4) for i in range(12)], "id int, s int")
     got = ranking.top(d, [F.desc("s"), F.asc("id")], 5)
