@@ -8,7 +8,8 @@ grows with a longer list.  What passes goes to an exact hash join with the rules
 hits; the longest rule wins.
 
 Defined results: null urls and urls without ``://`` have an empty host and path, and fit no rule;
-pages that no rule fits get ``DEFAULT``; repeated pages are judged each; equal rules must agree on
+pages that no rule fits get ``DEFAULT``; very long urls are read whole; repeated pages, and pages without a
+page_id, are judged each; an empty table gives an empty result; equal rules must agree on
 their verdict, else the smaller verdict in code point order holds; other columns are ignored.
 """
 
@@ -52,15 +53,11 @@ class BlockedBloom:
         self.blocks = 1
         while self.blocks * 64 * WORDS < n * BITS and self.blocks < MOST_BLOCKS:
             self.blocks *= 2
-        bit = lambda h, k: F.shiftright(h, 6 * k).bitwiseAND(F.lit(63)).cast("int")
-        words = keys.select(F.xxhash64("key").alias("h")).select(
-            self._block(F.col("h")).alias("block"),
-            F.posexplode(F.array(*[F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("h"), k)) for k in range(WORDS)])).alias("word", "mask"),
-        )
+        bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("h", 6 * k).bitwiseAND(F.lit(63)).cast("int"))
+        words = keys.select(F.xxhash64("key").alias("h")).groupBy(self._block(F.col("h")).alias("block")).agg(*[F.bit_or(bit(k)).alias(f"w{k}") for k in range(WORDS)])
+        made = words.toArrow()  # executors merge the keys of a block; one row a block, so MOST_BLOCKS bounds them
         self.table = np.zeros((self.blocks, WORDS), np.int64)
-        # at most blocks * WORDS rows: bounded by MOST_BLOCKS
-        for row in words.groupBy("block", "word").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
-            self.table[row["block"], row["word"]] = row["mask"]
+        self.table[made["block"].to_numpy()] = np.column_stack([made[f"w{k}"].to_numpy() for k in range(WORDS)])
 
     def _block(self, h: Column) -> Column:
         return F.shiftrightunsigned(h, 48).bitwiseXOR(F.shiftrightunsigned(h, 28)).bitwiseAND(F.lit(self.blocks - 1)).cast("int")
@@ -94,15 +91,14 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     shapes = sorted(tuple(r) for r in listed.select(_labels(F.col("host")), F.length("path")).distinct().collect())
     bloom = BlockedBloom(listed, listed.count())
     page_host, page_path = F.col("host"), F.col("path")
-    forms = F.array(
-        *[
-            F.when(
-                (_labels(page_host) >= labels) & (F.length(page_path) >= length) & (page_host != ""),
-                F.concat(F.substring_index(page_host, ".", -labels), F.substring(page_path, 1, length)),
-            )
-            for labels, length in shapes
-        ]
-    ) if shapes else F.array().cast("array<string>")
+    numbers = lambda k: F.split(F.lit(",".join(str(x[k]) for x in shapes)), ",").cast("array<int>")  # noqa: E731  constants, one expression for all shapes
+
+    def form(labels: Column, length: Column) -> Column:
+        fits = (_labels(page_host) >= labels) & (F.length(page_path) >= length)
+        return F.when(fits, F.concat(F.call_function("substring_index", page_host, F.lit("."), -labels), F.substr(page_path, F.lit(1), length)))
+
+    forms = F.when(page_host != "", F.zip_with(numbers(0), numbers(1), form)) if shapes else F.lit(None)
+    forms = F.coalesce(forms, F.array().cast("array<string>"))
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     places = parsed.select("host", "path").distinct().withColumn("keys", F.filter(forms, lambda k: k.isNotNull()))
     tested = places.withColumn("hits", bloom.test(spark, F.transform("keys", lambda k: F.xxhash64(k))))
@@ -110,7 +106,7 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
         "host", "path", F.explode(F.filter(F.arrays_zip("keys", "hits"), lambda x: x["hits"])["keys"]).alias("key")
     )
     best = (
-        passed.join(listed.select("key", "verdict"), "key")
+        passed.join(listed.select("key", "verdict").hint("shuffle_hash"), "key")
         .groupBy("host", "path")
         .agg(F.max_by(F.struct("key", "verdict"), F.length("key")).alias("best"))
     )

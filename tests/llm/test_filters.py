@@ -169,6 +169,21 @@ def test_false_hits_are_removed(spark, monkeypatch):
     assert {r["page_id"] for r in url_filter.judge(pages, rules).where("verdict = 'block'").collect()} == set(range(1990, 2000))
 
 
+def test_many_rules_of_many_shapes(spark):
+    """100,000 rules of some 1,000 shapes; rules that are equal but for the verdict give the smaller one; null ids are judged."""
+    rng = random.Random(6)
+    rules = [(f"{'s.' * (i % 10)}h{i}.com", "/" + "p" * (i % 100), rng.choice(["allow", "block"])) for i in range(100_000)] + [("h1.com", "/", "allow"), ("h1.com", "/", "block")]
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    urls = [f"http://x.{rules[i][0]}{rules[i][1]}q" for i in range(0, 100_000, 2003)] + ["http://h1.com/", "http://none.com/p"]
+    pages = spark.createDataFrame([(None if i % 2 else i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    by_key = {}
+    for h, p, v in rules:
+        by_key[h + p] = min(v, by_key.get(h + p, v))
+    expected = [[h + p, by_key[h + p]] for h, p, _ in (rules[i] for i in range(0, 100_000, 2003))] + [["h1.com/", "allow"], ["None", "allow"]]
+    got = url_filter.judge(pages, table).collect()
+    assert sorted([str(r["rule"]), r["verdict"]] for r in got) == sorted(expected)
+
+
 # --- secrets ---------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
