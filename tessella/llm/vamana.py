@@ -13,7 +13,7 @@ exact inner products in double precision and the shards' best are merged.
 
 Defined results: rows whose vec_id or vector is null, and vectors that are empty, zero, hold null or
 non-finite components, or have another length than most, take no part; of rows that share a vec_id the
-one with the smallest vector counts; other columns are ignored; an empty table gives an empty result.
+one with the smallest vector counts; of equal products the smaller vec_id comes first; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ DEGREE, BUILD_BEAM, BEAM, WIDTH, ALPHA = 32, 64, 128, 4, 1.2
 SHARD, QUERIES, SHARD_BYTES = 16_384, 8_192, 64 << 20
 #: Queries searched at a time: bounds memory.
 STEP = 512
-SALTS = 64
 
 
 class Graph:
@@ -166,13 +165,14 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, shard: int = SH
         return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d, m = most["d"], float(most["m"])
     rows = rows.where(F.size("v") == d)
-    # equal vectors: one node with its k + 1 smallest ids, gathered over salts first
-    some = rows.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).alias("salt")).agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
-    nodes = some.groupBy("v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
+    # equal vectors: one node with its k + 1 smallest ids; the others are cut by rank in every partition before the shuffle
+    few = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    nodes = few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     nodes = cut(nodes.withColumn("key", F.xxhash64("v")))
     shards = max(1, -(-nodes.count() // min(shard, max(1_024, SHARD_BYTES // (8 * d)))))
-    asked = rows.where(F.col("vec_id") % every == 0).withColumn("key", F.xxhash64("v"))
-    questions = cut(asked.select("key", "v").distinct())
+    asked = rows.where(F.col("vec_id") % every == 0)
+    questions = cut(asked.groupBy("v").agg(F.min("vec_id").alias("key")))  # queries with equal vectors are searched once
+    asked = asked.join(questions, "v").select("vec_id", "key")
     groups = max(1, -(-questions.count() // QUERIES))
 
     def lift(x: np.ndarray) -> np.ndarray:
@@ -210,7 +210,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, shard: int = SH
         return pa.table({"key": pa.array(key_out, pa.int64()), "vec_id": pa.array(id_out, pa.int64()), "score": pa.array(score_out, pa.float64())})
 
     to_all = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    by_group = questions.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int")).select("*", to_all.alias("shard"))
+    by_group = questions.select("key", "v").withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int")).select("*", to_all.alias("shard"))
     copies = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
     met = copies.groupBy("shard", "group").cogroup(by_group.groupBy("shard", "group")).applyInArrow(search, "key long, vec_id long, score double")
     order = [F.desc("score"), F.asc("vec_id")]
