@@ -18,12 +18,16 @@ def _slot(token: Column) -> Column:
     return F.struct((digit(1, 5) % SLOTS).alias("slot"), F.when(digit(6, 1) % 2 == 0, 1).otherwise(-1).alias("sign"))
 
 
-def bag(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, slot, n): signed token counts by hashed slot, as rows; collisions cancel out in the mean."""
-    words = rows.select(key, F.explode(tokens(F.col(text))).alias("__t")).groupBy(key, "__t").agg(F.count("*").alias("__n"))
+def bag(rows: DataFrame, key: str, text: str, every: bool = False) -> DataFrame:
+    """(key, slot, n): signed token counts by hashed slot, as rows; collisions cancel out in the mean.
+
+    With ``every`` no key is lost: texts without words have a null slot, and slots of 0 stay.
+    """
+    unnest = F.explode_outer if every else F.explode
+    words = rows.select(key, unnest(tokens(F.col(text))).alias("__t")).groupBy(key, "__t").agg(F.count("*").alias("__n"))
     placed = words.select(key, "__n", _slot(F.col("__t")).alias("__s"))
     summed = placed.groupBy(key, F.col("__s.slot").alias("slot")).agg(F.sum(F.col("__n") * F.col("__s.sign")).alias("n"))
-    return summed.where("n <> 0")
+    return summed if every else summed.where("n <> 0")
 
 
 def bag_cosine(rows: DataFrame, profile: DataFrame, key: str) -> DataFrame:
@@ -31,7 +35,7 @@ def bag_cosine(rows: DataFrame, profile: DataFrame, key: str) -> DataFrame:
     norm = profile.agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("__q"))
     met = rows.join(F.broadcast(profile), "slot", "left").join(F.broadcast(norm))
     sums = met.groupBy(key).agg(F.sum(F.col("n") * F.coalesce("m", F.lit(0))).alias("__d"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("__n"), F.first("__q").alias("__q"))
-    return sums.select(key, F.coalesce(F.col("__d") / (F.col("__n") * F.col("__q")), F.lit(0.0)).alias("similarity"))
+    return sums.select(key, F.coalesce(F.try_divide("__d", F.col("__n") * F.col("__q")), F.lit(0.0)).alias("similarity"))
 
 
 def text_vector(x: Column, dim: int = 12) -> Column:

@@ -19,8 +19,8 @@ def boosted(rows: DataFrame, key: str, score: str, text: str, profile: str, k: i
     spark = rows.sparkSession
     first = top(rows.select(key, score, text), [F.desc(score), F.asc(key)], k).select(key, text)
     wanted = bag(spark.createDataFrame([(0, profile)], "p int, t string"), "p", "t").select("slot", F.col("n").alias("m"))
-    measured = first.select(key).join(bag_cosine(bag(first, key, text), wanted, key), key, "left")  # texts without words have no bag
-    measured = measured.select(F.col(key).alias("__k"), F.round(F.coalesce("similarity", F.lit(0.0)), 6).alias("similarity"))
+    measured = bag_cosine(bag(first, key, text, every=True), wanted, key)
+    measured = measured.select(F.col(key).alias("__k"), F.round("similarity", 6).alias("similarity"))
     joined = rows.select(key, score).join(F.broadcast(measured), F.col(key) == F.col("__k"), "left")
     seen = F.col("__k").isNotNull()
     lift = F.coalesce(boost(F.col("similarity"), threshold, most), F.lit(0.0))
