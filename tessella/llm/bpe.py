@@ -13,7 +13,9 @@ shared afterwards; the table starts anew when it is full.
 Decoding.  A table gives, for each UTF-8 automaton state and token, the state after the token, so a
 stream of ids is decoded in parts that may split characters anywhere.
 
-Defined results: null and empty texts have no tokens; special tokens are ordinary text.
+Defined results: null and empty texts have no tokens; special tokens are ordinary text; very long texts, and
+pieces of any length, are encoded whole; each row has a row of the result, repeated ones and those with a null
+doc_id too; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

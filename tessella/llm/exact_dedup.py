@@ -6,7 +6,7 @@ are merged on the digest by a sort-based aggregate, so a digest has at most one
 many copies the text has, and only digests travel.  A digest entry is the SHA-256 together with the
 byte length and an independent 64-bit hash; entries merge only where all three agree, at every level.
 
-Defined results: a null text counts as empty; a null ``doc_id`` is smaller than any other; of rows with
+Defined results: a null text counts as empty; very long texts are digested whole; a null ``doc_id`` is smaller than any other; of rows with
 equal text *and* ``doc_id`` one arbitrary row stays; an empty table gives an empty result; other
 columns are ignored.
 """

@@ -13,7 +13,8 @@ Randomness comes from the document and a seed, so reruns agree.
 
 Defined results: a null text has size 0; documents of size 0 are taken by the whole part only and count
 nothing; a null source is a source of its own, ordered last; repeated rows are documents of their
-own; an empty table gives an empty result; other columns are ignored.
+own; a very long text is a document like any other, and its source misses the target by half of it at most; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

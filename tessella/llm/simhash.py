@@ -11,9 +11,11 @@ never all its pairs: small cells by shifted comparison, large ones by a search w
 shrinks.  Components are then joined over all cells, and over distinct fingerprints only, so exact
 copies cost one fingerprint.
 
-Defined results: null and empty texts have fingerprint 0, linked like any other; fewer words than a
-shingle: the whole sequence is hashed; an exact tie of a bit leaves it 0; a null ``doc_id`` never
-names a component unless all its members are null; an empty table gives an empty result.
+Defined results: null and empty texts have fingerprint 0, linked like any other; very long texts are read whole,
+their shingles hashed in blocks; repeated rows share a fingerprint and each has a row of the result; fewer words
+than a shingle: the whole sequence is hashed; an exact tie of a bit leaves it 0; a null ``doc_id`` never
+names a component unless all its members are null; other columns are ignored, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

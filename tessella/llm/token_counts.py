@@ -4,8 +4,9 @@ Documents are counted by encoded length, which is all that totals need.  Suffix
 give, for any context limit L, the tokens of texts cut at L: the tokens of the texts shorter than L and
 L for each of the others.
 
-Defined results: null and empty texts have length 0; an empty table gives an empty histogram; other
-columns and doc_id are ignored.
+Defined results: null and empty texts have length 0; very long texts are encoded whole and have a length of
+their own; repeated rows and rows of equal length are counted each; an empty table gives an empty histogram;
+doc_id, null or not, and other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

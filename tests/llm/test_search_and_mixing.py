@@ -170,3 +170,59 @@ def test_pipeline_stages(spark, small):
         assert (docs.columns == columns) == (k < 4)
     assert sizes[0] >= sizes[1] >= sizes[2] > 0 and sizes[3] == sizes[4]
     assert corpus_pipeline.run(spark, small).count() == sizes[4]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage on its own input, on a table with copies, near copies, nulls, long texts and clashing labels."""
+    import tiktoken
+
+    import corpus_pipeline
+    from tessella.llm import toxicity
+    from tessella.llm.queries import PATTERN, RANKS
+    from tests.llm.test_dedup import plain_kept
+
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(900)]
+    rows = []
+    for i in range(240):
+        text = rng.choices(words, k=rng.randrange(6, 120))
+        if i % 5 == 0:
+            text.insert(2, "idiotic")
+        rows.append((i, " ".join(text), "en", rng.choice(["a", "b", None]), 1))
+    rows += [(1000 + i, t, *rest) for i, (_, t, *rest) in enumerate(rows[:60])]  # exact copies
+    rows += [(2000 + i, t + " and more", *rest) for i, (_, t, *rest) in enumerate(rows[100:160])]  # near copies
+    rows += [(3000, None, "en", "a", 0), (3001, "", "en", "b", 0), (3002, "long " * 30_000, "en", "b", 0), (3002, "long " * 30_000, "en", "b", 0), (None, "no id here", "en", None, 0)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int("idiotic" in (t or ""))) for i, t, *_ in rows if i is not None and i < 240], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/stage-{k}")
+        docs = spark.read.parquet(f"{tmp_path}/stage-{k}")
+        seen.append([tuple(r) for r in docs.collect()])
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    given = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    machine = toxicity.train(given, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    scores = {r["text"]: r["s"] for r in given.select("text", toxicity.score(F.col("text"), machine).alias("s")).collect()}
+    assert sorted(seen[0], key=key) == sorted((r for r in rows if scores[r[1]] < 0.5), key=key) and len(seen[0]) < len(rows) - 60
+    best = {}
+    for r in seen[0]:
+        if (r[1] or "") not in best or (r[0] is not None and (best[r[1] or ""] is None or r[0] > best[r[1] or ""])):
+            best[r[1] or ""] = r[0]
+    assert sorted(((r[0], r[1] or "") for r in seen[1]), key=key) == sorted(((i, t) for t, i in best.items()), key=key)
+    kept = plain_kept([(r[0], r[1]) for r in seen[1] if r[0] is not None])
+    assert {r[0] for r in seen[2]} == kept | {None} and len(seen[2]) < len(seen[1]) - 20
+    copies = {}
+    for r in seen[3]:
+        copies[r] = copies.get(r, 0) + 1
+    assert set(copies) <= set(seen[2]) and max(copies.values()) <= 2
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=__import__("tessella.llm.bpe", fromlist=["bpe"]).read_ranks(RANKS), special_tokens={})
+    assert sorted((str(r[0]), r[1]) for r in seen[4]) == sorted((str(r[0]), len(library.encode_ordinary(r[1] or ""))) for r in seen[3])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
+
+
+def test_pipeline_without_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -125,6 +125,8 @@ def test_histogram(spark, docs):
     for q in (0.1, 0.5, 0.9, 1.0):
         assert token_counts.quantile(hist, q) == sorted(lengths)[max(0, int(np.ceil(q * len(lengths))) - 1)]
     assert token_counts.histogram(token_counts.lengths(docs.limit(0), TOKENIZER)).count() == 0
+    clashing = docs.withColumns({"length": F.lit("x"), "docs": F.lit(1), "tokens": F.lit(2)})
+    assert token_counts.histogram(token_counts.lengths(clashing, TOKENIZER)).agg(F.sum("docs")).first()[0] == len(CASES)
 
 
 @pytest.mark.parametrize("hot", [None, 77])
