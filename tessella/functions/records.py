@@ -42,6 +42,24 @@ def walk(rows: DataFrame, key: str, column: str, depth: int = DEPTH) -> DataFram
     return out
 
 
+def coerced(record: Column, texts: list[str], numbers: dict[str, tuple[int, int]], lists: list[str]) -> Column:
+    """struct of a JSON record's fields as the kinds they should have.
+
+    Texts are trimmed and null if blank; numbers may be text, are truncated and kept within their bounds; lists may be
+    one text with commas, and lose blank and repeated items.  What can't be read is null, or an empty list.
+    """
+    v = F.try_parse_json(record)
+    get = lambda name: F.trim(F.try_variant_get(v, f"$.{name}", "string"))
+    out = [F.nullif(get(n), F.lit("")).alias(n) for n in texts]
+    for n, (low, high) in numbers.items():
+        number = get(n).try_cast("double")
+        out.append(F.when(number.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), number)).cast("int")).alias(n))
+    for n in lists:
+        items = F.coalesce(F.try_variant_get(v, f"$.{n}", "array<string>"), F.split(get(n), ","), F.array().cast("array<string>"))
+        out.append(F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")).alias(n))
+    return F.struct(*out)
+
+
 def problems(record: Column, required: dict[str, str]) -> Column:
     """Paths that a JSON record lacks or that hold another kind: sorted ``path: problem``.
 

@@ -105,6 +105,15 @@ def first_match(x: Column, cases: list[tuple[str, str]], default: str) -> Column
     return out
 
 
+def cascade(x: Column, steps: list[tuple[str, str, str, str]], default: tuple[str, str, str]) -> Column:
+    """struct(norm, flag, reason) of the first step (pattern, norm, flag, reason) that ``x`` fits, else of ``default``."""
+    as_struct = lambda norm, flag, reason: F.struct(F.lit(norm).alias("norm"), F.lit(flag).alias("flag"), F.lit(reason).alias("reason"))
+    out = as_struct(*default)
+    for pattern, *rest in reversed(steps):
+        out = F.when(x.rlike(pattern), as_struct(*rest)).otherwise(out)
+    return out
+
+
 def all_matches(x: Column, cases: list[tuple[str, str]]) -> Column:
     """The sorted names of all patterns that ``x`` has."""
     return F.array_sort(F.filter(F.array(*[F.when(x.rlike(p), F.lit(name)) for name, p in cases]), lambda n: n.isNotNull()))

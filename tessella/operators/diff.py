@@ -102,6 +102,21 @@ def completeness(rows: DataFrame, fields: list[str]) -> DataFrame:
     return rows.agg(*filled).selectExpr(f"stack({len(fields)}, {pairs}) AS (field, share)").select("field", F.bround("share", 4).alias("share"))
 
 
+def completeness_delta(before: DataFrame, after: DataFrame, fields: list[str]) -> DataFrame:
+    """field, share_before, share_after, delta."""
+    a = completeness(before, fields).withColumnRenamed("share", "share_before")
+    b = completeness(after, fields).withColumnRenamed("share", "share_after")
+    return a.join(F.broadcast(b), "field").withColumn("delta", F.bround(F.col("share_after") - F.col("share_before"), 4))  # a row a field
+
+
+def worth_showing(found: DataFrame, scores: DataFrame, key: str, score: str, floor: int, n: int) -> DataFrame:
+    """The first ``n`` alerts by falling score and key, with their ``rank``; below ``floor`` only removed rows are shown."""
+    from .ranking import top
+
+    scored = found.join(scores.select(key, F.col(score).alias("score")), key, "left")
+    return top(scored.where((F.col("score") >= floor) | (F.col("kind") == "removed")), [F.desc_nulls_last("score"), F.asc(key), F.asc("kind")], n)
+
+
 def risk(measures: DataFrame, ladder: list[tuple[str, str, float, int]]) -> DataFrame:
     """risk_score and risk_reasons of one row of measures; ladder: reason, measure, threshold, points; at most 100."""
     on = {name: F.coalesce(F.col(m) >= t, F.lit(False)) for name, m, t, _ in ladder}

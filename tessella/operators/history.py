@@ -29,6 +29,17 @@ def latest_with_all(rows: DataFrame, run: str, kind: str, needed: list[str], ts:
     return runs.agg(F.max(F.struct(ts, run)).alias("m")).select(F.col(f"m.{run}").alias(run), F.col(f"m.{ts}").alias(ts))
 
 
+def first_found(rows: DataFrame, key: str, lookups: list[tuple[str, DataFrame, str]]) -> DataFrame:
+    """key, value, found_by: the first of several lookups (name, rows, column) that has a value, in their order."""
+    out, names = rows.select(key), []
+    for name, found, column in lookups:
+        out = out.join(found.select(key, F.col(column).alias(f"__{name}")), key, "left")
+        names.append(name)
+    value = F.coalesce(*[F.col(f"__{n}") for n in names])
+    by = F.coalesce(*[F.when(F.col(f"__{n}").isNotNull(), F.lit(n)) for n in names])
+    return out.select(key, value.alias("value"), F.coalesce(by, F.lit("none")).alias("found_by"))
+
+
 def last_n(rows: DataFrame, key: str | None, order: list[Column], n: int) -> DataFrame:
     """The ``n`` first rows by ``order`` of each key, with their number ``nth``."""
     window = Window.partitionBy(key) if key else Window.partitionBy()

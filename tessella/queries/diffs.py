@@ -271,3 +271,26 @@ def unchanged_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         f = diff.content_fingerprint(rows.select(digest(F.col("id"), normalise(F.col("status"))).alias("h")), "h").select(F.lit(side).alias("side"), "fingerprint")
         both = f if both is None else both.unionByName(f)
     return both.withColumn("skip", F.count("*").over(Window.partitionBy("fingerprint")) > 1)  # one row an input
+
+
+@query(
+    "completeness_delta",
+    f"""WITH {_SNAPSHOTS}, x AS (SELECT round_even(avg((status = 'F')::INT), 4) AS s, round_even(avg((score > 100)::INT), 4) AS c FROM a), y AS (SELECT round_even(avg((status = 'F')::INT), 4) AS s, round_even(avg((score > 100)::INT), 4) AS c FROM b)
+SELECT 'status' AS field, x.s AS share_before, y.s AS share_after, round_even(y.s - x.s, 4) AS delta FROM x, y UNION ALL SELECT 'score', x.c, y.c, round_even(y.c - x.c, 4) FROM x, y""",
+)
+def completeness_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much more often fields are filled than before."""
+    blank = lambda d: d.select(F.when(F.col("status") == "F", "F").alias("status"), F.when(F.col("score") > 100, F.col("score")).alias("score"))
+    return diff.completeness_delta(*map(blank, snapshots(spark, sf_dir)), ["status", "score"])
+
+
+@query(
+    "alerts_ranked",
+    f"""WITH {_SNAPSHOTS}, {_ALERTS}, v AS (SELECT r.*, coalesce(b.score, a.score) AS score FROM r LEFT JOIN a USING (id) LEFT JOIN b USING (id))
+SELECT id, kind, score, CAST(row_number() OVER (ORDER BY score DESC, id, kind) AS INT) AS rank FROM v WHERE score >= 150 OR kind = 'removed' QUALIFY rank <= 100""",
+)
+def alerts_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report's first 100 alerts: by score, with removed rows whatever their score."""
+    a, b = snapshots(spark, sf_dir)
+    gone = a.join(b.select("id"), "id", "left_anti").select("id", "score")
+    return diff.worth_showing(alerts(spark, sf_dir), b.select("id", "score").unionByName(gone), "id", "score", 150, 100).select("id", "kind", "score", "rank")

@@ -170,3 +170,31 @@ def stream_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = rows.select("user_id", "ts", F.floor("value").cast("int").alias("score"), F.col("event_type").alias("content"))
         follow(rows, "user_id", "ts", "score", "content", 10, f"{at}/state", f"{at}/alerts", f"{at}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{at}/alerts").select("batch", "user_id", "kind", "score_delta")
+
+
+@query(
+    "baseline_resolution",
+    """WITH u AS (SELECT DISTINCT user_id FROM events), p AS (SELECT user_id, max(event_id) AS v FROM events WHERE event_type = 'purchase' AND value > 95 GROUP BY 1),
+c AS (SELECT user_id, max(event_id) AS v FROM events WHERE event_type = 'click' AND value > 90 GROUP BY 1), l AS (SELECT user_id, max(event_id) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1)
+SELECT u.user_id, coalesce(p.v, c.v, l.v) AS value, CASE WHEN p.v IS NOT NULL THEN 'pointer' WHEN c.v IS NOT NULL THEN 'complete' WHEN l.v IS NOT NULL THEN 'latest' ELSE 'none' END AS found_by
+FROM u LEFT JOIN p USING (user_id) LEFT JOIN c USING (user_id) LEFT JOIN l USING (user_id)""",
+)
+def baseline_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run to compare with: what a pointer names, else the last complete run, else the latest one."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    last = lambda keep: e.where(keep).groupBy("user_id").agg(F.max("event_id").alias("v"))
+    lookups = [("pointer", last("event_type = 'purchase' AND value > 95"), "v"), ("complete", last("event_type = 'click' AND value > 90"), "v"), ("latest", last("event_id % 2 = 0"), "v")]
+    return history.first_found(e.select("user_id").distinct(), "user_id", lookups)
+
+
+@query(
+    "run_guards",
+    """WITH m AS (SELECT event_type, count(*) AS calls, CAST(sum(CAST(value AS DECIMAL(18, 6))) AS DECIMAL(18, 6)) AS spent, count(*) FILTER (value > 99) AS fresh FROM events GROUP BY 1)
+SELECT event_type, array_to_string(list_sort(list_filter([CASE WHEN calls > 1500 THEN 'too_many_calls' END, CASE WHEN spent > 60000 THEN 'over_budget' END], lambda x: x IS NOT NULL)), ',') AS guards,
+  fresh > 0 AND NOT (calls > 1500 OR spent > 60000) AS notify FROM m""",
+)
+def run_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits on a run's totals, and whether its news are sent: only if there are any and no guard holds."""
+    m = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("calls"), F.sum(F.col("value").cast("decimal(18,6)")).alias("spent"), F.count_if(F.col("value") > 99).alias("fresh"))
+    guards = misc.codes([("too_many_calls", F.col("calls") > 1500), ("over_budget", F.col("spent") > 60000)])
+    return m.select("event_type", F.array_join(guards, ",").alias("guards"), ((F.col("fresh") > 0) & (F.size(guards) == 0)).alias("notify"))

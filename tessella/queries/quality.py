@@ -242,3 +242,39 @@ def artifact_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = o.where(k % 5 != 0).select("path", F.sha2(F.when((k % 11 == 0) & (k % 7 != 0), "other").otherwise(F.col("path")), 256).alias("sha256"))
     expected = o.where((k % 7 != 0) | (k % 5 == 0)).select("path", F.sha2("path", 256).alias("sha256"))
     return sinks.verify(found, expected)
+
+
+@query(
+    "payload_coercion",
+    """SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN event_type END AS title,
+  CASE event_id % 3 WHEN 0 THEN 100 WHEN 1 THEN CAST(event_id % 90 AS INT) END AS score, CASE WHEN event_id % 2 = 0 THEN 'a|b' ELSE '' END AS tags FROM events""",
+)
+def payload_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, numbers and lists of loosely written JSON as the kinds they should have."""
+    from ..functions.records import coerced
+
+    i = F.col("event_id")
+    title = F.when(i % 4 == 0, '" "').otherwise(F.concat(F.lit('" '), F.col("event_type"), F.lit('"')))
+    score = F.when(i % 3 == 0, "250").when(i % 3 == 1, F.concat(F.lit('"'), i % 90, F.lit('.7"'))).otherwise('"many"')
+    tags = F.when(i % 4 == 0, '["a", " b", "a", ""]').when(i % 2 == 0, '"a, b,,a"').otherwise("null")
+    record = F.concat(F.lit('{"title": '), title, F.lit(', "score": '), score, F.lit(', "tags": '), tags, F.lit("}"))
+    found = table(spark, sf_dir, "events").select("event_id", coerced(record, ["title"], {"score": (0, 100)}, ["tags"]).alias("r"))
+    return found.select("event_id", "r.title", "r.score", F.array_join("r.tags", "|").alias("tags"))
+
+
+_PLACES = [("(?i)remote|anywhere", "Remote", "open", "says_remote"), ("(?i)(^|, )(de|germany)$", "Germany", "inside", "country"), ("(?i)^(bonn|kiel)", "Germany", "inside", "city"), ("^ *$", "Unknown", "unclear", "blank")]
+
+
+@query(
+    "location_cascade",
+    """WITH l AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'Remote - Bonn' WHEN 1 THEN 'Berlin, DE' WHEN 2 THEN 'kiel area' WHEN 3 THEN '  ' WHEN 4 THEN 'Lyon' ELSE 'Model, germany' END AS place FROM customer)
+SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'Remote' WHEN c_custkey % 6 IN (1, 2, 5) THEN 'Germany' WHEN c_custkey % 6 = 3 THEN 'Unknown' ELSE 'Other' END AS norm,
+  CASE WHEN c_custkey % 6 = 0 THEN 'open' WHEN c_custkey % 6 IN (1, 2, 5) THEN 'inside' WHEN c_custkey % 6 = 3 THEN 'unclear' ELSE 'outside' END AS flag,
+  CASE WHEN c_custkey % 6 = 0 THEN 'says_remote' WHEN c_custkey % 6 IN (1, 5) THEN 'country' WHEN c_custkey % 6 = 2 THEN 'city' WHEN c_custkey % 6 = 3 THEN 'blank' ELSE 'no_rule' END AS reason FROM l""",
+)
+def location_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places by the first rule they fit, with the reason."""
+    k = F.col("c_custkey") % 6
+    place = F.when(k == 0, "Remote - Bonn").when(k == 1, "Berlin, DE").when(k == 2, "kiel area").when(k == 3, "  ").when(k == 4, "Lyon").otherwise("Model, germany")
+    found = table(spark, sf_dir, "customer").select("c_custkey", rules.cascade(place, _PLACES, ("Other", "outside", "no_rule")).alias("p"))
+    return found.select("c_custkey", "p.norm", "p.flag", "p.reason")
