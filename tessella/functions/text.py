@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: Separates fields that are hashed together; it doesn't occur in text.
 UNIT = "\u001f"
-_SPACE = r"[ \t\r\n]+"
+#: Runs of Unicode White_Space (fixed values), in a form that Java and RE2 both read.
+SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
 def blank_to_null(x: Column) -> Column:
@@ -21,8 +22,8 @@ def first_filled(*xs: Column) -> Column:
 
 
 def collapse(x: Column) -> Column:
-    """White space runs become one space; the ends are trimmed."""
-    return F.trim(F.regexp_replace(x, _SPACE, " "))
+    """White space runs, of any Unicode kind, become one space; the ends are trimmed."""
+    return F.trim(F.regexp_replace(x, SPACE, " "))
 
 
 def normalise(x: Column) -> Column:

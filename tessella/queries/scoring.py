@@ -84,7 +84,7 @@ def ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top(one.select("doc_id", "source", "final_score", F.col("n_duplicates").cast("int").alias("n_duplicates")), [F.desc("final_score"), F.asc("doc_id")], 100)
 
 
-_NORM = r"lower(trim(regexp_replace(coalesce(text, ''), '[ \t\r\n]+', ' ', 'g')))"
+_NORM = "lower(trim(regexp_replace(coalesce(text, ''), '" + text.SPACE + "', ' ', 'g')))"
 
 
 @query(

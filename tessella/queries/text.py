@@ -10,7 +10,7 @@ from ..operators.ranking import kept_rows
 from ..registry import query, table
 from ..sources import html
 
-_NORM = r"lower(trim(regexp_replace(coalesce({0}, ''), '[ \t\r\n]+', ' ', 'g')))"
+_NORM = "lower(trim(regexp_replace(coalesce({0}, ''), '" + text.SPACE.replace("{", "{{").replace("}", "}}") + "', ' ', 'g')))"
 
 
 @query(
@@ -156,7 +156,7 @@ _HTML = (
     "regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), "
     "'(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), "
     "'&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), "
-    r"'[ \t\r\n]+', ' ', 'g'))"
+    f"'{text.SPACE}', ' ', 'g'))"
 )
 
 

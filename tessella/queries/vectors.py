@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..functions.text import normalise
+from ..functions.text import SPACE, normalise
 from ..operators import history
 from ..plans.semantic import boosted
 from ..registry import query, table
 from .scoring import _SCORED, scored_documents
 
-_NORM = r"lower(trim(regexp_replace(coalesce({0}, ''), '[ \t\r\n]+', ' ', 'g')))"
+_NORM = "lower(trim(regexp_replace(coalesce({0}, ''), '" + SPACE.replace("{", "{{").replace("}", "}}") + "', ' ', 'g')))"
 
 
 _SLOT = "CAST(CAST('0x' || substr(sha256({0}), 1, 5) AS INT) % 1024 AS INT) AS slot, CASE WHEN CAST('0x' || substr(sha256({0}), 6, 1) AS INT) % 2 = 0 THEN 1 ELSE -1 END AS sign"

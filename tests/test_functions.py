@@ -121,3 +121,8 @@ def test_misc(spark):
     assert r["w"] == "2026-W53" and str(r["c"]) == "0.000013" and r["t"] == 1 and r["r"] == "2026-01-02 03:04:05" and r["n"] is None
     safe = [one(spark, identity.path_safe(F.col("a")), a=x)[0] for x in ("run-1", "../x", "a/b", "", "a..b")]
     assert safe == [True, False, False, False, False]
+
+
+def test_unicode_white_space(spark):
+    spaces = "".join(map(chr, (0x09, 0x0B, 0x85, 0xA0, 0x1680, 0x2003, 0x2029, 0x202F, 0x3000)))
+    assert one(spark, text.normalise(F.col("a")), a=f"{spaces}A{spaces}b ")[0] == "a b"
