@@ -25,7 +25,7 @@ _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Longer chunks are not remembered.
 LONG = 64
 #: Bytes of texts that are encoded together: bounds a worker's memory.
-STEP = 1 << 23
+STEP = 1 << 21
 
 
 class Recent:

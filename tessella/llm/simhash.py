@@ -20,7 +20,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from itertools import combinations, repeat
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import steps
 from .components import components
 from .shared import cut
 
@@ -62,9 +63,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     """doc_id, fp (the fingerprint's bits as a signed long)."""
 
     def run(batches):
-        for batch in batches:
-            fps = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        for part in chain.from_iterable(map(steps, batches, repeat(1))):
+            fps = np.array([fingerprint(t, shingle, seed) for t in part.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
@@ -279,8 +280,8 @@ def near_copy_edges(docs: DataFrame, least: float, shingle: int) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def all_shingles(batches):
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
+        for part in chain.from_iterable(map(steps, batches, repeat(1))):
+            for text in part.column(1).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle))], ["key"])
 
     sample = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(all_shingles, "key int")
@@ -288,7 +289,7 @@ def near_copy_edges(docs: DataFrame, least: float, shingle: int) -> DataFrame:
     frequent, counts = often["key"].to_numpy(), often["n"].to_numpy()
 
     def post(batches):
-        for batch in batches:
+        for batch in chain.from_iterable(map(steps, batches, repeat(1))):
             waiting, total = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = shingle_set(text, shingle)
@@ -360,8 +361,9 @@ def near_copy_edges(docs: DataFrame, least: float, shingle: int) -> DataFrame:
         for batch in batches:
             at = batch.column(2).to_numpy()
             batch = batch.filter(pa.array(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 1))
-            found = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "shingles"])
+            for part in steps(batch, 1):
+                found = [shingle_set(t, shingle).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["doc_id", "shingles"])
 
     shingles = ids.select("doc_id", "text", place).mapInArrow(sets, "doc_id long, shingles binary")
 
