@@ -209,7 +209,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         if (r[1] or "") not in best or (r[0] is not None and (best[r[1] or ""] is None or r[0] > best[r[1] or ""])):
             best[r[1] or ""] = r[0]
     assert sorted(((r[0], r[1] or "") for r in seen[1]), key=key) == sorted(((i, t) for t, i in best.items()), key=key)
-    kept = plain_kept([(r[0], r[1]) for r in seen[1] if r[0] is not None])
+    kept = plain_kept(sorted((r[0], r[1]) for r in seen[1] if r[0] is not None))
     assert {r[0] for r in seen[2]} == kept | {None} and len(seen[2]) < len(seen[1]) - 20
     copies = {}
     for r in seen[3]:
