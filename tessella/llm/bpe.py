@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .chunks import LONG, ColumnEncoder, Recent, steps
 
-#: What a worker remembers: transducer states (and four times as many token pairs), and chunks of each kind.
-MAX_STATES, MAX_CHUNKS = 250_000, 600_000
+#: What a worker remembers: transducer states (and four times as many token pairs), and as many parts of texts as pieces.
+MAX_STATES, MAX_CHUNKS = 250_000, 1_000_000
 #: The same where executors are short of memory: slower, some 200 MB a worker less.
 FEW_STATES, FEW_CHUNKS = 60_000, 150_000
 
