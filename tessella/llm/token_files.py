@@ -40,7 +40,7 @@ BUCKET, RUN = 8_192, 1 << 18
 #: Part files become larger beyond this many.
 MOST_BUCKETS = 32_768
 #: Chunks that a worker remembers, and pieces that the library gets at a time.
-CACHE, CALL = 800_000, 2_000
+CACHE, CALL = 1_200_000, 2_000
 #: Stands for a null doc_id where rows are ordered.
 FIRST = -(1 << 63)
 
