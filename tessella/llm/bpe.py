@@ -31,18 +31,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import LONG, ColumnEncoder, Recent, steps
+from .chunks import TextEncoder, pieces, steps
 
-#: What a worker remembers: transducer states (and four times as many token pairs), and as many parts of texts as pieces.
-MAX_STATES, MAX_CHUNKS = 250_000, 1_000_000
+#: What a worker remembers: transducer states (and four times as many token pairs), words, and half as many pieces.
+MAX_STATES, MAX_CHUNKS = 250_000, 800_000
 #: The same where executors are short of memory: slower, some 200 MB a worker less.
 FEW_STATES, FEW_CHUNKS = 60_000, 150_000
 
 
-#: Marks that never join letters.
-_MARKS = frozenset(".,;:!?")
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -226,16 +222,6 @@ class StreamDecoder:
             raise ValueError("the text ends inside a character")
 
 
-def pieces(chunk: str, split) -> list[str]:
-    """A chunk's pieces by ``split``, which words and words with a mark after them don't need."""
-    word = chunk.removeprefix(" ")
-    if word.isalpha():
-        return [chunk]
-    if word[-1:] in _MARKS and word[:-1].isalpha():
-        return [chunk[:-1], chunk[-1]]
-    return split(chunk)
-
-
 class ByteBpe:
     """A rank file's vocabulary with the pattern that splits text before the merges."""
 
@@ -246,19 +232,11 @@ class ByteBpe:
         self.tokens = [ids.get(i, b"") for i in range(max(ids) + 1)]
         self.after = Utf8Machine().over(self.tokens)
         self.rows_after = self.after.tolist()
-        self.encoder, self.pieces = ColumnEncoder(self._chunks, chunks), Recent(chunks)
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        self.pieces.age()
-        cuts = [pieces(c, self.split.findall) for c in chunks]
-        unseen = self.pieces.lacks({p for found in cuts for p in found})
-        made, known = {}, self.pieces.new
-        for p in unseen:
-            ids = self.machine.encode(p.encode("utf-8", "replace"))
-            made[p] = struct.pack(f"<{len(ids)}I", *ids)
-        joined = {p for found in cuts if len(found) > 1 for p in found if len(p) <= LONG}  # other pieces are chunks themselves
-        known.update((p, made[p]) for p in joined & unseen)
-        return [b"".join([made[p] if p in made else known[p] for p in found]) for found in cuts]
+        self.encoder = TextEncoder(self._piece, lambda chunk: pieces(chunk, self.split.findall), chunks)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.machine.encode(piece.encode("utf-8", "replace"))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.encoder.text(text), "<u4")

@@ -5,9 +5,7 @@ non-whitespace character into whitespace, and lets at most one leading space joi
 text falls into chunks, each either whitespace or an optional space and a run of other characters,
 that encode independently of each other.
 
-Texts are encoded some megabytes at a time: the parts between their spaces that are not remembered
-yet are encoded together, then every text is looked up part by part.  Texts in which white space
-meets a space, or that begin or end with it, are cut into chunks one by one.
+Frequent chunks are encoded once per worker; what was asked for lately is remembered.
 """
 
 from __future__ import annotations
@@ -22,76 +20,81 @@ import pyarrow.compute as pc
 #: Unicode White_Space (fixed values), as the split pattern's \s has it.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+#: White space other than single spaces and line feeds between words.
+_ODD = re.compile(f"[{_WS}][{_WS}]|\\A[{_WS}]|[{_WS}]\\Z|[\t\v-\r\x85\xa0" + _WS[6:] + "]")
+#: Marks that never join letters.
+_MARKS = frozenset(".,;:!?")
 #: Longer chunks are not remembered.
 LONG = 64
 #: Bytes of texts that are encoded together: bounds a worker's memory.
 STEP = 1 << 21
 
 
-class Recent:
-    """Remembers about ``most`` entries; when half as many are new, those not asked for since the last time go."""
+def pieces(chunk: str, split: Callable[[str], list[str]]) -> list[str]:
+    """A chunk's pieces by ``split``, which words and words with a mark after them don't need."""
+    word = chunk.removeprefix(" ")
+    if word.isalpha():
+        return [chunk]
+    if word[-1:] in _MARKS and word[:-1].isalpha():
+        return [chunk[:-1], chunk[-1]]
+    return split(chunk)
 
-    def __init__(self, most: int):
-        self.most, self.new, self.old = max(1, most // 2), {}, {}
 
-    def age(self) -> None:
-        if len(self.new) >= self.most:
-            self.new, self.old = {}, self.new
+class Recent(dict):
+    """key -> value, made by ``make(prefix + key)`` at first sight; at most about ``most`` entries are remembered.
 
-    def lacks(self, keys: set[str]) -> set[str]:
-        """The keys that it doesn't know; the others are in ``new`` afterwards."""
-        lacking = keys.difference(self.new)
-        found = lacking.intersection(self.old)
-        self.new.update((k, self.old[k]) for k in found)
-        return lacking - found
+    When half as many are new, the older ones go that were not asked for since the last time.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], most: int, prefix: str = ""):
+        super().__init__()
+        self.make, self.most, self.prefix, self.old = make, max(1, most // 2), prefix, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(self.prefix + key)
+        if len(key) <= LONG:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
-class ColumnEncoder:
+class TextEncoder:
     """Ids of texts (little-endian unsigned 32-bit integers in bytes).
 
-    ``encode(chunks)`` gives the ids of each chunk; ``most`` bounds what is remembered.
+    ``cut(chunk)`` gives a chunk's pieces and ``make(piece)`` a piece's ids; ``most`` bounds what is remembered of
+    words after a space, and of pieces.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int):
-        self.encode, self.memory = encode, Recent(most)
+    def __init__(self, make: Callable[[str], bytes], cut: Callable[[str], list[str]], most: int):
+        self.cut, self.make, self.pieces = cut, make, Recent(make, most // 2)
+        self.bare, self.spaced = Recent(self._chunk, most // 8), Recent(self._chunk, most, " ")
+        self.newline = self._chunk("\n")
 
-    def _parts(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of parts that have no white space at their ends, but may have a space at the front."""
-        inside = {p: _CHUNK.findall(p) for p in parts if len(p.split()) > 1}
-        chunks = list({p for p in parts if p not in inside}.union(*inside.values()))
-        made = dict(zip(chunks, self.encode(chunks)))
-        made.update((p, b"".join([made[c] for c in found])) for p, found in inside.items())
-        return made
+    def _chunk(self, chunk: str) -> bytes:
+        found = self.cut(chunk)
+        return self.make(chunk) if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
 
     def text(self, text: str | None) -> bytes:
         """Ids of one text."""
-        found = _CHUNK.findall(text or "")
-        chunks = list(set(found))
-        made = dict(zip(chunks, self.encode(chunks)))
-        return b"".join([made[c] for c in found])
+        text = text or ""
+        if not text or _ODD.search(text):
+            return b"".join(map(self.bare.__getitem__, _CHUNK.findall(text)))
+        out = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out.append(self.bare[first])
+            out.extend(map(self.spaced.__getitem__, rest))
+            out.append(self.newline)
+        out.pop()
+        return b"".join(out)
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text."""
-        self.memory.age()
-        parts = [(t or "").split(" ") for t in texts]
-        firsts, new, known = [p[0] for p in parts], set(), self.memory.new
-        for p in parts:
-            del p[0]
-            new.update(set(p).difference(known))
-        new = [p for p in self.memory.lacks(new) if p and p.strip() == p]
-        made = self._parts([" " + p for p in new])
-        known.update((p, made[" " + p]) for p in new)
-        bare = self._parts([p for p in firsts if p and p.strip() == p])
-        out = []
-        for text, first, rest in zip(texts, firsts, parts):
-            try:
-                out.append(b"".join([bare[first], *map(known.__getitem__, rest)]))
-            except KeyError:  # white space meets a space or an end
-                out.append(self.text(text))
-        for p in new:
-            if len(p) > LONG or not p.isprintable():
-                del known[p]
-        return out
+        return list(map(self.text, texts))
 
 
 def steps(batch: pa.RecordBatch, text: int, most: int = STEP) -> Iterator[pa.RecordBatch]:

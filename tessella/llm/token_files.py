@@ -19,7 +19,7 @@ files as it fills; an empty table gives an empty result; other columns are ignor
 from __future__ import annotations
 
 import json
-import os
+import struct
 import zlib
 from functools import lru_cache
 
@@ -29,9 +29,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
-from .chunks import ColumnEncoder, steps
+from .chunks import TextEncoder, pieces, steps
 from .shared import cut, shared_path
 
 END = 2
@@ -39,8 +39,8 @@ END = 2
 BUCKET, RUN = 8_192, 1 << 18
 #: Part files become larger beyond this many.
 MOST_BUCKETS = 32_768
-#: Chunks that a worker remembers, and pieces that the library gets at a time.
-CACHE, CALL = 1_200_000, 2_000
+#: Words that a worker remembers, about, and half as many pieces.
+CACHE = 700_000
 #: Stands for a null doc_id where rows are ordered.
 FIRST = -(1 << 63)
 
@@ -52,57 +52,33 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-class Encoder(ColumnEncoder):
+class Encoder(TextEncoder):
     """Ids of whole texts by the ``tokenizers`` library; special tokens are ordinary text.
 
-    Chunks (see ``chunks``) are split by the vocabulary's pattern, many at once, and the library's model
-    encodes the pieces in one call.  A tokenizer with any other processing is refused.
+    Chunks (see ``chunks``) are split by the vocabulary's pattern, and the library's model encodes each
+    piece.  A tokenizer with any other processing is refused.
     """
 
-    #: A byte that UTF-8 doesn't have parts the pieces of a call; its place is taken by a line feed, which is no letter.
-    _GAP = 0xFF
-
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark gives each task a core
         with open(path) as f:
             made = json.load(f)
         splits = made["pre_tokenizer"]
         if splits["type"] != "ByteLevel" or splits["add_prefix_space"] or not splits.get("use_regex", True) or made["normalizer"]:
             raise ValueError("only a plain byte-level tokenizer can be encoded chunk by chunk")
         tokenizer = Tokenizer.from_file(path)
-        self.splitter, self.letters = tokenizer.pre_tokenizer, _byte_letters() | {self._GAP: "\n"}
+        self.model, self.splitter, self.letters = tokenizer.model, tokenizer.pre_tokenizer, _byte_letters()
         self.pattern = regex.compile(public_tokenizers.PATTERN).findall
-        self.model = Tokenizer(tokenizer.model)
-        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
-        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
-        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.width[i] = len(token)
-        super().__init__(self._encode, CACHE)
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        # the pattern parts words at the same places, whatever line of a text they are; beyond Latin, letters depend
-        # on the library's own tables, and white space has line feeds of its own
-        words = [c for c in chunks if (c.isascii() or max(c) <= "\u024f") and not c.isspace()]
-        made = {}
-        for at in range(0, len(words), CALL):
-            some = words[at : at + CALL]
-            made.update(zip(some, self._pieces([p for p in self.pattern("\n".join(some)) if p != "\n"], some)))
-        for c in chunks:
-            if c not in made:
-                found = [c[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(c)]
-                made[c] = self._pieces(found, [c])[0]
-        return [made[c] for c in chunks]
-
-    def _pieces(self, pieces: list[str], chunks: list[str]) -> list[bytes]:
-        """The ids of chunks that consist of ``pieces``."""
-        raw = bytes([self._GAP]).join([p.encode("utf-8", "replace") for p in pieces])
-        ids = np.array(self.model.encode_batch_fast([raw.decode("latin-1").translate(self.letters)], add_special_tokens=False)[0].ids, "<u4")
-        # a token has as many letters as bytes, so the chunks' lengths tell where their ids end
-        lengths = np.fromiter((len(c.encode("utf-8", "replace")) for c in chunks), np.int64, len(chunks))
-        ends = 4 * (1 + np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(lengths)))
-        flat = ids.tobytes()
-        return [flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        self.size = 1 + max(tokenizer.get_vocab(with_added_tokens=False).values())
+        super().__init__(self._ids, self._cut, CACHE)
+
+    def _cut(self, chunk: str) -> list[str]:
+        if not chunk.isascii() and max(chunk) > "\u024f":  # beyond Latin, letters depend on the library's own tables
+            return [chunk[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(chunk)]
+        return pieces(chunk, self.pattern)
+
+    def _ids(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=4)
@@ -185,7 +161,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = END, bucket: in
     """Encodes ``docs`` and writes the files under ``path``."""
     spark = docs.sparkSession
     bounds = _bounds(docs, bucket)
-    width = 2 if max(end, len(encoder(tokenizer).width) - 1) < 1 << 16 else 4  # these bytes travel
+    width = 2 if max(end, encoder(tokenizer).size - 1) < 1 << 16 else 4  # these bytes travel
     kind = np.dtype(f"<u{width}")
     dealt = _encoded(docs, tokenizer, end, bounds, width).repartitionById(len(bounds) + 1, "bucket")
     by_id = cut(dealt.sortWithinPartitions(_nulls_first(), "ids"))
