@@ -88,13 +88,13 @@ def encoder(path: str) -> Encoder:
 
 
 def _encoded(docs: DataFrame, path: str, end: int, bounds: list[int], width: int) -> DataFrame:
-    """doc_id, bucket, ids (``width`` bytes each).
+    """doc_id, bucket, n (its ids), ids (``width`` bytes each, compressed, as they are shuffled and kept).
 
     A bucket is the number of bounds that are not above doc_id.  Where several bounds are equal that doc_id has
     a large part of all rows, and its rows are dealt to the buckets around them by a hash of their ids.
     """
     limits = np.array(bounds, np.int64)
-    names = ["doc_id", "bucket", "ids"]
+    names = ["doc_id", "bucket", "n", "ids"]
 
     def run(batches):
         encode, last = encoder(path).texts, np.array([end], "<u4").tobytes()
@@ -106,9 +106,10 @@ def _encoded(docs: DataFrame, path: str, end: int, bounds: list[int], width: int
                 bucket = high.astype(np.int32)
                 for k in np.flatnonzero(high - low > 1).tolist():
                     bucket[k] = low[k] + zlib.crc32(raw[k]) % (high[k] - low[k] + 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bucket), pa.array(raw, pa.binary())], names)
+                n = pa.array([len(x) // width for x in raw], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bucket), n, pa.array([zlib.compress(x, 1) for x in raw], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, bucket int, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, bucket int, n long, ids binary")
 
 
 def compress(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -169,7 +170,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = END, bucket: in
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            seen = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=len(total))
+            seen = np.bincount(np.frombuffer(b"".join(map(zlib.decompress, batch.column(0).to_pylist())), kind), minlength=len(total))
             seen[: len(total)] += total
             total = seen
         used = np.flatnonzero(total)
@@ -179,10 +180,10 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = END, bucket: in
     ranked = np.array([r["id"] for r in counted.orderBy(F.desc("n"), "id").collect()], "<u4")  # bounded by the vocabulary
     rank_of = np.zeros(int(ranked.max(initial=0)) + 1, np.uint32)
     rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
-    sizes = by_id.groupBy("bucket").agg(F.sum(F.octet_length("ids")).alias("n")).collect()  # a row a part file: bounded
+    sizes = by_id.groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # a row a part file: bounded
     before = np.zeros(len(bounds) + 2, np.int64)
     for r in sizes:
-        before[r["bucket"] + 1] = r["n"] // width
+        before[r["bucket"] + 1] = r["n"]
     given = spark.sparkContext.broadcast((rank_of, np.cumsum(before)))
 
     def runs(batches):
@@ -198,9 +199,9 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = END, bucket: in
         for batch in batches:
             for at, doc, ids in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 start = int(starts[at]) if start < 0 else start  # a partition is a bucket
-                raw.append(ids)
+                raw.append(zlib.decompress(ids))
                 docs_.append(doc)
-                have += len(ids) // width
+                have += len(raw[-1]) // width
                 if have >= RUN:
                     yield row()
                     raw, docs_, have, start = [], [], 0, start + have
