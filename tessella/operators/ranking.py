@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import working_folder
+
 
 def canonical(rows: DataFrame, group: list[str], best: list[Column], provenance: str) -> DataFrame:
     """One row a group, the smallest by ``best``, with ``n_duplicates``, the number of the others.
@@ -71,3 +73,29 @@ def greedy_budget(rows: DataFrame, group: str, order: str, cost: str, budget: in
 
     streamed = open_.mapInArrow(run, f"`{group}` {kinds[group]}, `{order}` {kinds[order]}, selected boolean")
     return streamed.unionByName(item.where("__sure IS NOT NULL").select(group, order, F.col("__sure").alias("selected")))
+
+
+def positions(rows: DataFrame, by: list[str], order: list[Column], name: str = "position") -> DataFrame:
+    """``rows`` with each row's place (from 0) in its group, in ``order``; no group is gathered in one task.
+
+    Rows are dealt to ranges of group and order; a row's place is its place in its range and group, and the
+    number of the group's rows in the ranges before.  Only those numbers, one for each group and range, meet by group.
+    Nulls in ``by`` are a group; which of two rows that ``order`` does not tell apart comes first is not defined.
+    """
+    path = working_folder(rows.sparkSession, "ranges")
+    # names that are free: other columns may have any
+    part, place = (next(n for k in range(len(rows.columns) + 1) if (n := f"_{kind}{k}") not in rows.columns) for kind in ("range", "place"))
+    rows.repartitionByRange(*[F.col(c) for c in by], *order).withColumn(part, F.spark_partition_id()).write.parquet(path)
+    ranges = rows.sparkSession.read.parquet(path)
+    keys = [F.col(c).alias(f"_key{k}") for k, c in enumerate(by)]
+    names = [f"_key{k}" for k in range(len(by))]
+    counted = ranges.groupBy(*keys, F.col(part).alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.select(*names, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(part, *by).orderBy(*order)) - 1
+    placed = ranges.withColumn(place, inside).alias("r")
+    same = F.col(f"r.{part}") == F.col("c._part")
+    for k, c in enumerate(by):
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"c._key{k}"))
+    found = (F.col(f"r.{place}") + F.col("c._before")).cast("long").alias(name)
+    return placed.join(counted.alias("c"), same).select(*[F.col(f"r.`{c}`") for c in rows.columns], found)
