@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, secrets, simhash, token_counts, token_files, toxicity, url_filter, vamana
+from . import bpe, elkan, exact_dedup, mixing, secrets, simhash, substrings, token_counts, token_files, toxicity, trie, url_filter, vamana
 from .shared import load
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,6 +55,18 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.codes(load(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(load(spark, sf_dir, "conversations"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -68,6 +80,9 @@ QUERIES = {
         op8_byte_bpe,
         op9_nearest_neighbours,
         op10_source_mixing,
+        op11_vector_codes,
+        op12_conversation_trie,
+        op13_substring_dedup,
     )
 }
 
@@ -79,4 +94,7 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """,
+    "op11_vector_codes": elkan.SQL,
+    "op12_conversation_trie": trie.SQL,
+    "op13_substring_dedup": substrings.SQL,
 }
