@@ -168,7 +168,7 @@ def stream_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
         events.where(F.col("event_id") % 2 == batch).write.mode("append").parquet(f"{at}/in")
         rows = spark.readStream.schema(events.schema).parquet(f"{at}/in")
         rows = rows.select("user_id", "ts", F.floor("value").cast("int").alias("score"), F.col("event_type").alias("content"))
-        follow(rows, "user_id", "ts", "score", "content", 10, f"{at}/state", f"{at}/alerts", f"{at}/checkpoint").awaitTermination()
+        follow(rows, "user_id", "ts", "score", "content", 10, f"{at}/alerts", f"{at}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{at}/alerts").select("batch", "user_id", "kind", "score_delta")
 
 
@@ -198,3 +198,64 @@ def run_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("calls"), F.sum(F.col("value").cast("decimal(18,6)")).alias("spent"), F.count_if(F.col("value") > 99).alias("fresh"))
     guards = misc.codes([("too_many_calls", F.col("calls") > 1500), ("over_budget", F.col("spent") > 60000)])
     return m.select("event_type", F.array_join(guards, ",").alias("guards"), ((F.col("fresh") > 0) & (F.size(guards) == 0)).alias("notify"))
+
+
+_GONE_S = 86_400
+
+
+@query(
+    "stream_keyed_state",
+    f"""WITH e AS (SELECT user_id, ts, CAST(floor(value) AS INT) AS score, event_type AS content, epoch_us(ts) AS us FROM events),
+b AS (SELECT *, (us // 1000000 - lo) * 3 // (hi - lo + 1) AS run FROM e, (SELECT min(us) // 1000000 AS lo, max(us) // 1000000 AS hi FROM e)),
+w AS (SELECT run, max(us) // 1000 AS mark FROM b GROUP BY run),
+l AS (SELECT *, us // 1000 + {_GONE_S * 1000} AS ends FROM b QUALIFY row_number() OVER (PARTITION BY run, user_id ORDER BY ts DESC, score DESC, content DESC) = 1),
+p AS (SELECT l.*, lag(l.score) OVER u AS old_score, lag(l.content) OVER u AS old_content, lag(l.ends) OVER u AS old_ends, lead(l.run) OVER u AS next_run FROM l WINDOW u AS (PARTITION BY user_id ORDER BY run)),
+s AS (SELECT p.*, coalesce(old_ends > w.mark, false) AS alive FROM p LEFT JOIN w ON w.run = p.run - 1)
+SELECT user_id, 'new' AS kind, ts AS at, NULL::INT AS score_delta FROM s WHERE NOT alive
+UNION ALL SELECT user_id, 'score', ts, score - old_score FROM s WHERE alive AND abs(score - old_score) >= 10
+UNION ALL SELECT user_id, 'content', ts, NULL FROM s WHERE alive AND content <> old_content
+UNION ALL SELECT user_id, 'gone', ts, NULL FROM s WHERE exists (SELECT 1 FROM w WHERE w.run >= s.run AND w.run < coalesce(s.next_run, 99) AND s.ends <= w.mark)""",
+)
+def stream_keyed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of three spans of time, the query stopped and started between them: alerts against state by key.
+
+    Keys that are not seen for a day are forgotten by a timer, and new when they come back.
+    """
+    from ..session import working_folder
+    from ..streaming.keyed_state import append, last_seen
+
+    at, events = working_folder(spark, "keyed-state"), table(spark, sf_dir, "events")
+    s = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
+    bounds = events.agg(F.min(F.floor(s)).alias("lo"), F.max(F.floor(s)).alias("hi"))
+    run = F.floor((F.floor(s) - F.col("lo")) * 3 / (F.col("hi") - F.col("lo") + 1))
+    spans = events.join(F.broadcast(bounds)).withColumn("run", run).select(events.columns + ["run"])  # one row
+    for k in range(3):
+        spans.where(F.col("run") == k).drop("run").write.mode("append").parquet(f"{at}/in")
+        rows = spark.readStream.schema(events.schema).parquet(f"{at}/in")
+        rows = rows.select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.floor("value").cast("int").alias("score"), F.col("event_type").alias("content"))
+        append(last_seen(rows, "user_id", "ts", "score", "content", 10, _GONE_S * 1000), f"{at}/alerts", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/alerts").withColumn("at", F.col("at").cast(events.schema["ts"].dataType))
+
+
+@query(
+    "stream_rank_moves",
+    """WITH r AS (SELECT o_custkey AS item, (year(o_orderdate) - (SELECT min(year(o_orderdate)) FROM orders)) % 3 AS run, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS total FROM orders GROUP BY ALL),
+n AS (SELECT item, CAST(run AS INT) AS run, row_number() OVER (PARTITION BY run ORDER BY total DESC, item) AS rank FROM r)
+SELECT item, run, rank, lag(rank) OVER (PARTITION BY item ORDER BY run) AS previous_rank, lag(rank) OVER (PARTITION BY item ORDER BY run) - rank AS move FROM n""",
+)
+def stream_rank_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers ranked by their orders in three runs: each run's ranks against the ranks kept from the runs before."""
+    from ..operators.ranking import positions
+    from ..session import working_folder
+    from ..streaming.keyed_state import append, rank_moves
+
+    at, orders = working_folder(spark, "rank-moves"), table(spark, sf_dir, "orders")
+    first = orders.agg(F.min(F.year("o_orderdate")).alias("y"))
+    run = ((F.year("o_orderdate") - F.col("y")) % 3).alias("run")
+    totals = orders.join(F.broadcast(first)).groupBy(F.col("o_custkey").alias("item"), run).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
+    ranked = positions(totals, ["run"], [F.desc("total"), F.asc("item")], "place").select("item", "run", (F.col("place") + 1).alias("rank"))
+    for k in range(3):
+        ranked.where(F.col("run") == k).write.mode("append").parquet(f"{at}/in")
+        rows = spark.readStream.schema(ranked.schema).parquet(f"{at}/in")
+        append(rank_moves(rows, "item", "run", "rank"), f"{at}/moves", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/moves")

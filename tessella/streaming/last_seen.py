@@ -1,4 +1,4 @@
-"""Last-seen state over a stream: each batch is compared with the state, then becomes part of it."""
+"""Alerts over a stream, against the last-seen state of each key; failures in windows."""
 
 from __future__ import annotations
 
@@ -6,37 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import diff
+from .keyed_state import keyed_store, last_seen
 
 
-def latest(rows: DataFrame, key: str, ts: str) -> DataFrame:
-    """The latest row of each key; equal times are settled by the whole row."""
-    order = F.struct(ts, *[c for c in rows.columns if c != ts])
-    return rows.groupBy(key).agg(F.max(order).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in rows.columns])
+def follow(stream: DataFrame, key: str, ts: str, score: str, content: str, threshold: int, alerts_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Writes the alerts of every batch against the keyed state before it; a batch touches only its own keys.
 
-
-def follow(
-    stream: DataFrame, key: str, ts: str, score: str, content: str, threshold: int, state_path: str, alerts_path: str, checkpoint: str, trigger: dict | None = None
-) -> StreamingQuery:
-    """Writes alerts of every batch against the state, and the state after it.
-
-    Both are written under the batch's number, so a batch that runs again after a failure writes the same
-    folders anew and nothing twice.  Keys that a batch doesn't have are not removed.
+    Alerts are written under the batch's number, so a batch that runs again after a failure writes the same
+    folder anew and nothing twice.  Keys that a batch doesn't have are not removed.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        now = latest(batch.select(key, ts, score, content), key, ts)
-        if number:
-            before = spark.read.parquet(f"{state_path}/batch={number - 1}")
-        else:
-            before = now.limit(0)
-        found = diff.alerts(before, now, key, score, threshold, content).where("kind <> 'removed'")
-        found.write.mode("overwrite").parquet(f"{alerts_path}/batch={number}")
-        latest(before.unionByName(now), key, ts).write.mode("overwrite").parquet(f"{state_path}/batch={number}")
-
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+        batch.drop("at").write.mode("overwrite").parquet(f"{alerts_path}/batch={number}")
+
+    alerts = last_seen(stream, key, ts, score, content, threshold)
+    with keyed_store(stream.sparkSession):
+        writer = alerts.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def failing_users(stream: DataFrame, key: str, ts: str, failed, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
