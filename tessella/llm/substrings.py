@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import steps
-from .shared import cut, shared_path
+from .shared import shared_path
 from .simhash import runs_of
 
 WINDOW, GRAM = 50, 16
@@ -214,6 +214,13 @@ def bucketed(docs: DataFrame) -> tuple[DataFrame, str]:
     return spark.table(name), name
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """``rows`` computed once and read back from a table in the shared folder: compressed columns, a fraction of a checkpoint's bytes."""
+    path = shared_path(rows.sparkSession, "found")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _sized(batches, text: int):
     return chain.from_iterable(map(steps, batches, repeat(text)))
 
@@ -324,16 +331,16 @@ def _matched(window: int):
 
 def removed_spans(base: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, served_words: int = SERVED_WORDS) -> DataFrame:
     """``base(rid, doc, text)`` -> (rid, spans): the maximal word spans [a, b) that go, sorted."""
-    found = cut(base.select("rid", "doc", "text").mapInArrow(_zones_of(window, gram), "rid long, doc long, h long, z long, a int, n int"))
+    found = kept(base.select("rid", "doc", "text").mapInArrow(_zones_of(window, gram), "rid long, doc long, h long, z long, a int, n int"))
     contents = found.groupBy("h", "z").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     minimizers = contents.groupBy("h").agg(F.count("*").alias("contents"), F.min("first").alias("lo"), F.max("last").alias("hi")).where("lo < hi")
     shared = contents.join(minimizers.select("h", "contents"), "h").select("h", "z", "first", "contents")
-    zoned = cut(found.join(shared, ["h", "z"]))
+    zoned = kept(found.join(shared, ["h", "z"]))
 
     # windows of minimizers with several contents, each content once, by its first document
     several = zoned.where("contents > 1 AND doc = first").dropDuplicates(["h", "z"])
     listed = several.groupBy("rid").agg(F.collect_list(F.struct("h", "z", "a", "n")).alias("listed"))
-    windows = cut(base.join(listed, "rid").select("doc", "text", "listed").mapInArrow(_windows_of(window), "h long, z long, doc long, w long, j int"))
+    windows = kept(base.join(listed, "rid").select("doc", "text", "listed").mapInArrow(_windows_of(window), "h long, z long, doc long, w long, j int"))
     holders = windows.groupBy(F.col("h").alias("wh"), F.col("w").alias("ww")).agg(F.min("doc").alias("holder"))
     earlier = windows.join(holders, (F.col("h") == F.col("wh")) & (F.col("w") == F.col("ww"))).where("holder < doc")
     given = earlier.groupBy(F.col("h").alias("gh"), F.col("z").alias("gz")).agg(F.collect_list(F.struct("j", "holder")).alias("given"))
@@ -341,7 +348,7 @@ def removed_spans(base: DataFrame, window: int = WINDOW, gram: int = GRAM, shard
     holds = F.col("doc") == F.col("first")
     routes = joined.select("rid", "doc", "a", "n", "first", holds.alias("holds"), "given").mapInArrow(_routes(window), "rid long, doc long, holder long, a int, b int")
     asked = routes.groupBy("rid").agg(F.collect_list(F.struct("holder", "a", "b")).alias("routes"))
-    pieces = cut(
+    pieces = kept(
         base.join(asked, "rid").select("rid", "doc", "text", "routes").mapInArrow(_passages, "holder long, role int, rid long, doc long, at int, n int, passage binary")
     )
 
@@ -380,7 +387,7 @@ def remaining(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_wor
     base, _ = bucketed(docs)
     spans = removed_spans(base, window, gram, shard_words, served_words)
     doc_id = F.when(~F.col("unnamed"), F.col("doc")).alias("doc_id")
-    rows = base.join(cut(spans), "rid", "left").select(doc_id, "text", "spans")
+    rows = base.join(kept(spans), "rid", "left").select(doc_id, "text", "spans")
     return rows.mapInArrow(_rest, "doc_id long, n_words long, n_removed long, kept string")
 
 
