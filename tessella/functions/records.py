@@ -1,14 +1,10 @@
-"""Checks and walks of semi-structured records."""
+"""Checks of semi-structured records."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Levels of JSON that are walked; what is deeper is given as JSON text.
-DEPTH = 32
-
-
 def enrichment(api_text: Column, html_text: Column, error: Column, least: int = 200) -> Column:
     """struct(status, reason, needs_fallback) from what two ways of fetching a record's text gave.
 
@@ -21,27 +17,6 @@ def enrichment(api_text: Column, html_text: Column, error: Column, least: int =
     return F.struct(status.alias("status"), reason.alias("reason"), ((api < least) & status.isin("partial", "empty")).alias("needs_fallback"))
 
 
-def walk(rows: DataFrame, key: str, column: str, depth: int = DEPTH) -> DataFrame:
-    """(key, path, value): every scalar in the JSON of ``column``, with where it is. Invalid JSON has none.
-
-    Objects and arrays below ``depth`` levels are values of their own, as JSON text, so nothing is lost.
-
-    Levels are unnested one after the other, and only rows that still hold objects or arrays go on.
-    """
-    spark = rows.sparkSession
-    level = rows.select(F.col(key).alias("__k"), F.lit("$").alias("path"), F.try_parse_json(column).alias("__v")).where("__v IS NOT NULL")
-    out = None
-    for at in range(depth):
-        kind = F.schema_of_variant("__v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        scalars = (level.where(~nested) if at < depth - 1 else level).select(F.col("__k").alias(key), "path", F.try_variant_get("__v", "$", "string").alias("value"))
-        out = scalars if out is None else out.unionByName(scalars)
-        inner = level.where(nested).lateralJoin(spark.tvf.variant_explode(F.col("__v").outer()))
-        step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key")))
-        level = inner.select("__k", F.concat("path", step).alias("path"), F.col("value").alias("__v"))
-    return out
-
-
 def coerced(record: Column, texts: list[str], numbers: dict[str, tuple[int, int]], lists: list[str]) -> Column:
     """struct of a JSON record's fields as the kinds they should have.
 

@@ -175,13 +175,13 @@ def label_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def json_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scalars of nested records by their path; half of the records are wrapped more deeply."""
-    from ..functions.records import walk
+    from ..functions.trees import walk
 
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k")
     deep = F.concat(F.lit('{"a": ['), k, F.lit(', {"t": "'), F.col("event_type"), F.lit('"}]}'))
     e = e.select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(deep).alias("j"))
-    return walk(e, "event_id", "j", depth=4).groupBy("path").agg(F.count("*").alias("n"), F.min("value").alias("least"))
+    return walk(e, "event_id", "j").groupBy("path").agg(F.count("*").alias("n"), F.min("value").alias("least"))
 
 
 @query(
@@ -278,3 +278,87 @@ def location_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.when(k == 0, "Remote - Bonn").when(k == 1, "Berlin, DE").when(k == 2, "kiel area").when(k == 3, "  ").when(k == 4, "Lyon").otherwise("Model, germany")
     found = table(spark, sf_dir, "customer").select("c_custkey", rules.cascade(place, _PLACES, ("Other", "outside", "no_rule")).alias("p"))
     return found.select("c_custkey", "p.norm", "p.flag", "p.reason")
+
+
+_SCHEMA = {
+    "type": "object",
+    "required": ["id", "parts"],
+    "additionalProperties": False,
+    "properties": {
+        "id": {"type": "integer", "minimum": 1},
+        "kind": {"enum": ["click", "view", "purchase"]},
+        "version": {"const": 2},
+        "parts": {"type": "array", "minItems": 1, "items": {"type": "object", "required": ["v"], "properties": {"v": {"type": "number", "maximum": 95}, "t": {"type": ["string", "null"], "pattern": "^[a-z]"}}}},
+    },
+}
+
+
+@query(
+    "schema_errors",
+    """WITH e AS (SELECT event_id AS i, event_type AS t, value AS v, event_type NOT IN ('click', 'view', 'purchase') AS odd FROM events),
+x AS (SELECT i, unnest(list_filter([
+  CASE WHEN i % 7 = 0 THEN {'p': '$', 'e': 'no JSON'} END,
+  CASE WHEN i % 7 <> 0 AND i % 5 = 0 THEN {'p': '$.id', 'e': 'missing'} END,
+  CASE WHEN i % 7 <> 0 AND i % 5 <> 0 AND i < 1 THEN {'p': '$.id', 'e': 'out of bounds'} END,
+  CASE WHEN i % 7 <> 0 AND odd THEN {'p': '$.kind', 'e': 'not among the values allowed'} END,
+  CASE WHEN i % 7 <> 0 AND i % 3 = 0 THEN {'p': '$.version', 'e': 'not the constant'} END,
+  CASE WHEN i % 7 <> 0 AND i % 11 = 0 THEN {'p': '$.more', 'e': 'not expected'} END,
+  CASE WHEN i % 7 <> 0 AND i % 13 = 0 THEN {'p': '$.parts', 'e': 'length out of bounds'} END,
+  CASE WHEN i % 7 <> 0 AND i % 13 <> 0 AND v > 95 THEN {'p': '$.parts[0].v', 'e': 'out of bounds'} END,
+  CASE WHEN i % 7 <> 0 AND i % 13 <> 0 AND i % 2 = 0 THEN {'p': '$.parts[1].v', 'e': 'missing'} END,
+  CASE WHEN i % 7 <> 0 AND i % 13 <> 0 AND i % 2 = 0 THEN {'p': '$.parts[1].t', 'e': 'pattern not found'} END,
+  CASE WHEN i % 7 <> 0 AND i % 13 <> 0 AND i % 2 = 1 THEN {'p': '$.parts[1]', 'e': 'string instead of object'} END], lambda z: z IS NOT NULL)) AS z FROM e)
+SELECT z.p AS path, z.e AS error, count(*) AS n, min(i) AS first_id FROM x GROUP BY ALL""",
+)
+def schema_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All errors of nested records against a schema, with their paths."""
+    from ..functions import trees
+
+    i = F.col("event_id")
+    second = F.when(i % 2 == 0, F.lit('{"t": "Upper"}')).otherwise(F.lit('"text"'))
+    parts = F.when(i % 13 == 0, F.lit("[]")).otherwise(F.concat(F.lit('[{"v": '), F.col("value").cast("string"), F.lit(', "t": null}, '), second, F.lit("]")))
+    record = F.concat_ws(
+        ", ",
+        F.when(i % 5 != 0, F.concat(F.lit('"id": '), i)),
+        F.concat(F.lit('"kind": "'), F.col("event_type"), F.lit('"')),
+        F.concat(F.lit('"version": '), F.when(i % 3 == 0, "2.5").otherwise("2.0")),
+        F.when(i % 11 == 0, F.lit('"more": {"deep": [1]}')),
+        F.concat(F.lit('"parts": '), parts),
+    )
+    text = F.when(i % 7 == 0, F.lit("{broken")).otherwise(F.concat(F.lit("{"), record, F.lit("}")))
+    rows = table(spark, sf_dir, "events").select("event_id", text.alias("record"))
+    return trees.schema_errors(rows, "event_id", "record", _SCHEMA).groupBy("path", "error").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+_SECRETS = {"access": "AKIA[A-Z0-9]{12,}", "mail": "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"}
+
+
+@query(
+    "secret_findings",
+    r"""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, 'AKIA[A-Z0-9]{12,}') AS a, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}') AS m,
+  CASE WHEN contains(text, '=') THEN regexp_extract_all(text, '[Pp]assword') ELSE [] END AS p FROM documents),
+k AS (SELECT doc_id, text, 'access' AS kind, a AS l FROM d UNION ALL SELECT doc_id, text, 'mail', m FROM d UNION ALL SELECT doc_id, text, 'pair', p FROM d)
+SELECT doc_id, kind, len(l) AS n, strpos(text, l[1]) - 1 AS first_start, list_sum(list_transform(l, lambda x: length(x)))::BIGINT AS total FROM k WHERE len(l) > 0""",
+)
+def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of whole texts by their places, and a kind that needs two parts."""
+    from ..functions import trees
+
+    found = trees.text_findings(table(spark, sf_dir, "documents"), "doc_id", "text", _SECRETS, {"pair": ("[Pp]assword", "=")})
+    return found.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.min("start").alias("first_start"), F.sum(F.col("end") - F.col("start")).alias("total"))
+
+
+@query(
+    "record_secret_paths",
+    r"""WITH d AS (SELECT regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}') AS m, regexp_extract_all(text, 'AKIA[A-Z0-9]{12,}') AS a FROM documents),
+k AS (SELECT 'access' AS kind, a AS l FROM d UNION ALL SELECT 'mail', m FROM d)
+SELECT '$.body.parts[1].text' AS path, kind, count(*) AS docs, sum(len(l))::BIGINT AS n FROM k WHERE len(l) > 0 GROUP BY kind""",
+)
+def record_secret_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as nested JSON records: where in them secrets are."""
+    from ..functions import trees
+
+    part = F.struct(F.col("text").alias("text"), F.lit(None).cast("string").alias("note"))
+    record = F.to_json(F.struct(F.col("doc_id"), F.struct(F.array(F.struct(F.lit("head").alias("text"), F.lit("x").alias("note")), part).alias("parts")).alias("body")))
+    found = trees.record_findings(table(spark, sf_dir, "documents").select("doc_id", record.alias("record")), "doc_id", "record", _SECRETS)
+    return found.groupBy("path", "kind").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("n"))

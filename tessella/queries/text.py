@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import identity, text, urls
+from ..functions import identity, phrases, text, urls
+from ..functions.phrases import Lexicon
 from ..operators.ranking import kept_rows
 from ..registry import query, table
 from ..sources import html
@@ -258,3 +259,54 @@ def conversation_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("user_turns"), F.sum(F.length("text")).alias("chars"),
         F.min_by("role", "turn").alias("first_role"), F.max_by("role", "turn").alias("last_role"),
     )
+
+
+_LEXICON = Lexicon(
+    terms={"the": ("article",), "and": ("joiner",), "of the": ("relation", "article"), "and the": ("joiner", "article"), "password": ("credential",), "token": ("credential",), "in der": ("place",), "idiot": ("insult",), "stupid": ("insult",)},
+    gates={"place": "german"},
+    triggers={"german": ("und", "für")},
+    markers={"api key": "keys", "secret": "keys", "license": "legal"},
+)
+
+
+#: The same lexicon for the oracle: its phrases longest first, words two spaces apart so that matches share none.
+_PHRASE_SQL = r"""WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+'), lambda w: lower(w)) AS w FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(' ' || array_to_string(w, '  ') || ' ', ' (of  the|and  the|in  der|api  key|the|and|password|token|idiot|stupid|secret|license|und|für) ', 1) AS l FROM d),
+e AS (SELECT doc_id, unnest(l) AS p, unnest(range(len(l))) AS i FROM m),
+s AS (SELECT doc_id, p, i, coalesce(last_value(CASE p WHEN 'api  key' THEN 'keys' WHEN 'secret' THEN 'keys' WHEN 'license' THEN 'legal' END IGNORE NULLS)
+        OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'other') AS section, bool_or(p IN ('und', 'für')) OVER (PARTITION BY doc_id) AS german FROM e),
+t AS (SELECT doc_id, section, german, unnest(CASE p WHEN 'the' THEN ['article'] WHEN 'and' THEN ['joiner'] WHEN 'of  the' THEN ['relation', 'article'] WHEN 'and  the' THEN ['joiner', 'article']
+        WHEN 'password' THEN ['credential'] WHEN 'token' THEN ['credential'] WHEN 'in  der' THEN ['place'] WHEN 'idiot' THEN ['insult'] WHEN 'stupid' THEN ['insult'] ELSE [] END) AS term FROM s)
+"""
+
+
+@query("phrase_terms", _PHRASE_SQL + "SELECT doc_id, section, term, count(*) AS n FROM t WHERE term <> 'place' OR german GROUP BY ALL")
+def phrase_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of single words and phrases, one-to-many, gated and by section, in one pass over each text."""
+    return phrases.find(table(spark, sf_dir, "documents"), "doc_id", "text", _LEXICON).groupBy("doc_id", "section", "term").agg(F.count("*").alias("n"))
+
+
+@query(
+    "routed_terms",
+    _PHRASE_SQL
+    + """, b AS (SELECT doc_id, term, min(CASE section WHEN 'keys' THEN 1 WHEN 'legal' THEN 2 ELSE 3 END) AS place FROM t WHERE term <> 'place' OR german GROUP BY ALL)
+SELECT doc_id, string_agg(term, ',' ORDER BY term) AS terms, coalesce(string_agg(term, ',' ORDER BY term) FILTER (place = 1), '') AS keys, coalesce(string_agg(term, ',' ORDER BY term) FILTER (place = 2), '') AS legal FROM b GROUP BY doc_id""",
+)
+def routed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's terms, each routed to the first of the sections that it occurs in."""
+    found = phrases.routed(phrases.find(table(spark, sf_dir, "documents"), "doc_id", "text", _LEXICON), "doc_id", ["keys", "legal"])
+    return found.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("terms", "keys", "legal")])
+
+
+@query(
+    "numeric_flags",
+    r"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(t, '([0-9]{2,9})[^0-9a-z]+[a-z]') THEN 'number=' || CAST(regexp_extract(t, '([0-9]{2,9})[^0-9a-z]+[a-z]', 1) AS BIGINT) END,
+  CASE WHEN regexp_matches(t, 'akia([0-9]*)') THEN 'access=' || coalesce(TRY_CAST(regexp_extract(t, 'akia([0-9]*)', 1) AS BIGINT)::VARCHAR, '') END, CASE WHEN regexp_matches(t, 'idiot|stupid') THEN 'insult=' END], lambda x: x IS NOT NULL), ';') AS flags FROM d""",
+)
+def numeric_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings with the number that they name."""
+    t = F.lower(F.coalesce("text", F.lit("")))
+    found = phrases.flags(t, [("number", "([0-9]{2,9})[^0-9a-z]+[a-z]", 1), ("access", "akia([0-9]*)", 1), ("insult", "idiot|stupid", None)])
+    joined = F.array_join(F.transform(found, lambda f: F.concat(f["name"], F.lit("="), F.coalesce(f["value"].cast("string"), F.lit("")))), ";")
+    return table(spark, sf_dir, "documents").select("doc_id", joined.alias("flags"))
