@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import registry
-from .queries import diffs, history, quality, scoring, text, vectors  # noqa: F401  they register themselves
+from .queries import diffs, history, quality, runs, scoring, text, vectors  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -91,14 +91,15 @@ def test_sinks(spark, tmp_path):
 def test_stream_follows_state(spark, tmp_path):
     source, schema = tmp_path / "in", "id int, ts int, score int, h string"
     spark.createDataFrame([(1, 1, 10, "a"), (2, 1, 10, "a")], schema).coalesce(1).write.parquet(str(source / "p1"))
-    args = dict(key="id", ts="ts", score="score", content="h", threshold=5, state_path=str(tmp_path / "s"), alerts_path=str(tmp_path / "a"), checkpoint=str(tmp_path / "c"))
+    args = dict(key="id", ts="ts", score="score", content="h", threshold=5, alerts_path=str(tmp_path / "a"), checkpoint=str(tmp_path / "c"))
     run = lambda: last_seen.follow(spark.readStream.schema(schema).parquet(str(source / "p*")), **args).awaitTermination(120)
     assert run()
     spark.createDataFrame([(1, 2, 20, "a"), (3, 2, 1, "z"), (2, 2, 11, "b")], schema).coalesce(1).write.parquet(str(source / "p2"))
     assert run()
     got = sorted((r["batch"], r["id"], r["kind"]) for r in spark.read.parquet(str(tmp_path / "a")).collect())
     assert got == [(0, 1, "new"), (0, 2, "new"), (1, 1, "score"), (1, 2, "content"), (1, 3, "new")]
-    assert spark.read.parquet(str(tmp_path / "s" / "batch=1")).count() == 3
+    assert run()  # nothing new: no batch, and nothing twice
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 5
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
