@@ -92,9 +92,10 @@ def pull(score: Column, other: Column, gain: float) -> Column:
 
 
 def with_aliases(terms: Column, aliases: dict[str, tuple[str, ...]]) -> Column:
-    """``terms`` and, for every alias among them, the terms that it stands for."""
-    meant = [F.when(F.array_contains(terms, a), F.array(*map(F.lit, of))).otherwise(F.array().cast("array<string>")) for a, of in sorted(aliases.items())]
-    return F.array_distinct(F.concat(terms, *meant))
+    """``terms`` and, after every alias among them, the terms that it stands for; ``terms`` is used once."""
+    pairs = [x for a, of in sorted(aliases.items()) for x in (F.lit(a), F.array(*map(F.lit, of)))]
+    meant = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,array<string>>")
+    return F.array_distinct(F.flatten(F.transform(terms, lambda t: F.concat(F.array(t), F.coalesce(F.try_element_at(meant, t), F.array().cast("array<string>"))))))
 
 
 def first_match(x: Column, cases: list[tuple[str, str]], default: str) -> Column:

@@ -8,21 +8,28 @@ from pyspark.sql import functions as F
 from ..functions.rules import clamp
 from ..functions.vectors import bag, bag_cosine, boost
 from ..operators.ranking import top
+from ..session import working_folder
 
 
-def boosted(rows: DataFrame, key: str, score: str, text: str, profile: str, k: int, threshold: float, most: float) -> DataFrame:
-    """key, evaluated, reason, similarity, boosted_score: evidence for every row.
+def boosted(rows: DataFrame, key: str, score: str, text: str, profile: str, k: int, threshold: float, most: float, texts: DataFrame | None = None) -> DataFrame:
+    """key, evaluated, reason, base_score, similarity, boost, boosted_score: evidence for every row.
 
-    A distributed top-k picks the rows that are embedded; ``k`` bounds them, so they may be broadcast to
-    the rest.  Rows beyond it keep their score and have no similarity.
+    Scores are kept without texts; a distributed top-k of them picks the rows that are embedded, and only their texts are
+    fetched, from ``texts`` (key and text; ``rows`` where it is left out).  ``k`` bounds them, so they may be broadcast to the
+    rest.  Rows beyond it keep their score and have no similarity.
     """
     spark = rows.sparkSession
-    first = top(rows.select(key, score, text), [F.desc(score), F.asc(key)], k).select(key, text)
+    path = working_folder(spark, "scores")
+    rows.select(key, score).write.parquet(path)
+    scores = spark.read.parquet(path)
+    chosen = top(scores, [F.desc(score), F.asc(key)], k).select(F.col(key).alias("__k"))
+    first = (rows if texts is None else texts).select(key, text).join(F.broadcast(chosen), F.col(key) == F.col("__k"), "left_semi")
     wanted = bag(spark.createDataFrame([(0, profile)], "p int, t string"), "p", "t").select("slot", F.col("n").alias("m"))
     measured = bag_cosine(bag(first, key, text, every=True), wanted, key)
     measured = measured.select(F.col(key).alias("__k"), F.round("similarity", 6).alias("similarity"))
-    joined = rows.select(key, score).join(F.broadcast(measured), F.col(key) == F.col("__k"), "left")
+    joined = scores.join(F.broadcast(measured), F.col(key) == F.col("__k"), "left")
     seen = F.col("__k").isNotNull()
     lift = F.coalesce(boost(F.col("similarity"), threshold, most), F.lit(0.0))
     reason = F.when(~seen, "beyond_top").when(lift > 0, "boosted").otherwise("below_threshold")
-    return joined.select(key, seen.alias("evaluated"), reason.alias("reason"), "similarity", clamp(F.bround(F.col(score) + lift, 0)).alias("boosted_score"))
+    boosted_score = clamp(F.bround(F.col(score) + lift, 0))
+    return joined.select(key, seen.alias("evaluated"), reason.alias("reason"), F.col(score).alias("base_score"), "similarity", F.round(lift, 6).alias("boost"), boosted_score.alias("boosted_score"))

@@ -257,6 +257,18 @@ def greedy_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.greedy_budget(d, "source", "doc_id", "cost", 5000)
 
 
+@query(
+    "grid_cap",
+    """WITH r AS (SELECT o_orderpriority, o_orderstatus, o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderstatus, o_totalprice DESC, o_orderkey) AS nth FROM orders)
+SELECT o_orderpriority, o_orderstatus, count(*) AS taken, min(o_orderkey) AS least, max(o_orderkey) AS most FROM r WHERE nth <= 5000 GROUP BY ALL""",
+)
+def grid_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 5,000 orders over a grid of priorities and states in its order; the cap falls inside a cell."""
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus", "o_orderkey", "o_totalprice")
+    kept = ranking.capped(o, [F.asc("o_orderpriority"), F.asc("o_orderstatus"), F.desc("o_totalprice"), F.asc("o_orderkey")], 5000)
+    return kept.groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("taken"), F.min("o_orderkey").alias("least"), F.max("o_orderkey").alias("most"))
+
+
 #: Terms that stand for others: one may stand for several.
 _ALIASES = {"y": ("und", "que"), "avec": ("with",), "ces": ("this",)}
 

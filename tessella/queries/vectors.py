@@ -62,13 +62,13 @@ q AS (SELECT slot, sum(sign)::DOUBLE AS m FROM (SELECT {_SLOT.format('t')} FROM
 y AS (SELECT v.doc_id, sum(n * coalesce(m, 0)) / (sqrt(sum(n * n)) * (SELECT sqrt(sum(m * m)) FROM q)) AS sim FROM v LEFT JOIN q USING (slot) GROUP BY v.doc_id),
 z AS (SELECT g.doc_id, final_score, rank <= 100 AS evaluated, CASE WHEN rank <= 100 THEN round(coalesce(sim, 0), 6) END AS similarity FROM g LEFT JOIN y USING (doc_id)),
 l AS (SELECT *, coalesce(8.0::DOUBLE * greatest(0.0::DOUBLE, similarity - 0.25::DOUBLE) / (1 - 0.25::DOUBLE), 0) AS lift FROM z)
-SELECT doc_id, evaluated, CASE WHEN NOT evaluated THEN 'beyond_top' WHEN lift > 0 THEN 'boosted' ELSE 'below_threshold' END AS reason, similarity,
+SELECT doc_id, evaluated, CASE WHEN NOT evaluated THEN 'beyond_top' WHEN lift > 0 THEN 'boosted' ELSE 'below_threshold' END AS reason, final_score AS base_score, similarity, round(lift, 6) AS boost,
   CAST(greatest(0, least(100, round_even(final_score + lift, 0))) AS INT) AS boosted_score FROM l""",
 )
 def semantic_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the first 100 rows are embedded; their score rises by 8 at most, and every row says why."""
     rows = scored_documents(spark, sf_dir).select("doc_id", "final_score", "text")
-    return boosted(rows, "doc_id", "final_score", "text", _PROFILE, k=100, threshold=0.25, most=8.0)
+    return boosted(rows, "doc_id", "final_score", "text", _PROFILE, k=100, threshold=0.25, most=8.0, texts=table(spark, sf_dir, "documents"))
 
 
 @query(

@@ -118,3 +118,38 @@ def test_risk_is_capped(spark):
     m = spark.createDataFrame([(0.9,)], "x double")
     r = diff.risk(m, [("a", "x", 0.1, 80), ("b", "x", 0.5, 80), ("c", "x", 0.95, 5)]).first()
     assert r["risk_score"] == 100 and r["risk_reasons"] == ["a", "b"]
+
+
+@pytest.mark.parametrize("folded", [1, 40, 10_000])
+def test_greedy_budget_equals_the_sequential_rule(spark, folded):
+    """One group holds half of the rows; one is made so that the largest row that fits shrinks by one each time."""
+    rng = random.Random(folded)
+    data = [("hot", i, rng.choice([0, 1, 3, 17, 90, 400, 999, 1001, None, -2])) for i in range(1500)]
+    data += [("slow", i, c) for i, c in enumerate(x for k in range(60) for x in (1, 1000 - k))]
+    data += [(None, i, rng.randrange(700)) for i in range(300)] + [(f"g{i % 40}", i, rng.randrange(1200)) for i in range(800)] + [("hot", 7, 5), ("hot", 7, 5), ("hot", None, 2)]
+    rng.shuffle(data)
+    expected = []
+    for g in {r[0] for r in data}:
+        spent = 0
+        for o, c in sorted(((o, max(0, c or 0)) for k, o, c in data if k == g), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+            fits = spent + c <= 1000
+            spent += c if fits else 0
+            expected.append((g, o, fits))
+    d = spark.createDataFrame(data, "g string, o int, c int").repartition(5)
+    assert rows(ranking.greedy_budget(d, "g", "o", "c", 1000, folded=folded), "g", "o", "selected") == sorted(expected, key=repr)
+
+
+def test_places_and_caps(spark):
+    rng = random.Random(1)
+    data = [("hot" if rng.random() < 0.5 else rng.choice(["a", None]), rng.randrange(50), i) for i in range(900)]
+    d = spark.createDataFrame(data, "g string, s int, i int").withColumns({"_range0": F.lit(1), "_place0": F.lit(2), "_nth0": F.lit(3), "c": F.lit(4)}).repartition(7)
+    order = [F.desc("s"), F.asc("i")]
+    expected = []
+    for g in ("hot", "a", None):
+        expected += [(g, i, k) for k, (_, i) in enumerate(sorted((-s, i) for x, s, i in data if x == g))]
+    found = ranking.positions(d, ["g"], order)
+    assert rows(found, "g", "i", "position") == sorted(expected, key=repr) and found.columns == [*d.columns, "position"]
+    first = [i for _, i in sorted((-s, i) for _, s, i in data)][:333]
+    kept = ranking.capped(d, order, 333)
+    assert sorted(r["i"] for r in kept.collect()) == sorted(first) and kept.columns == d.columns
+    assert ranking.capped(d.limit(0), order, 5).count() == 0
