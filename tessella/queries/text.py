@@ -310,3 +310,43 @@ def numeric_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrases.flags(t, [("number", "([0-9]{2,9})[^0-9a-z]+[a-z]", 1), ("access", "akia([0-9]*)", 1), ("insult", "idiot|stupid", None)])
     joined = F.array_join(F.transform(found, lambda f: F.concat(f["name"], F.lit("="), F.coalesce(f["value"].cast("string"), F.lit("")))), ";")
     return table(spark, sf_dir, "documents").select("doc_id", joined.alias("flags"))
+
+
+_PAGE_ANCHORS = r"""a AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">[^<]*</a></li>', 1)) AS href, unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1)) AS title FROM pages),
+n AS (SELECT page_id, href, trim(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title FROM a)"""
+
+
+@query(
+    "page_cards",
+    f"""WITH {_PAGE_ANCHORS}
+SELECT page_id, href, CASE WHEN page_id % 2 = 0 OR page_id % 3 = 0 THEN rtrim(title, ' -–—|,·([/:') ELSE title END AS title, 'li' AS card, CASE WHEN page_id % 2 = 0 THEN 'Team ' || page_id END AS team, CASE WHEN page_id % 3 = 0 THEN 'Berlin' END AS location, count(*) AS n FROM n WHERE title <> '' GROUP BY ALL""",
+)
+def page_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors of whole pages, whose list items also name teams and places, with the fields of their cards and titles without them."""
+    from ..sources.cards import cards
+
+    i = F.col("page_id")
+    team, place = F.concat(F.lit("Team "), i.cast("string")), F.lit("Berlin")
+    said = F.concat(F.when(i % 2 == 0, F.concat(F.lit(" - "), team)).otherwise(""), F.when(i % 3 == 0, F.concat(F.lit(" ("), place, F.lit(")"))).otherwise(""))
+    around = F.concat(
+        F.lit('<li class="x"><div><a href="$1">$2'), said, F.lit("</a></div>"),
+        F.when(i % 2 == 0, F.concat(F.lit('<span class="job-team">'), team, F.lit("</span>"))).otherwise(""), F.when(i % 3 == 0, F.lit('<p data-kind="location">Berlin<p>')).otherwise(""), F.lit("</li>"),
+    )
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", F.lit('<li><a href="([^"]*)">([^<]*)</a></li>'), around).alias("html"))
+    return cards(pages, "page_id", "html").groupBy("page_id", "href", "title", "card", "team", "location").agg(F.count("*").alias("n"))
+
+
+@query(
+    "page_sources",
+    f"""WITH {_PAGE_ANCHORS}, c AS (SELECT page_id, count(*) AS n FROM n WHERE title <> '' GROUP BY 1)
+SELECT p.page_id, CASE WHEN p.page_id % 5 = 0 THEN 'linked_data' WHEN p.page_id % 5 = 1 THEN 'assigned' WHEN c.n IS NULL THEN 'none' ELSE 'cards' END AS source,
+  CASE WHEN p.page_id % 5 = 0 THEN 2 WHEN p.page_id % 5 = 1 THEN 1 ELSE coalesce(c.n, 0) END AS n FROM pages p LEFT JOIN c USING (page_id)""",
+)
+def page_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By which way whole pages can be read: linked data, assigned data or cards."""
+    from ..sources.cards import parsed
+
+    i = F.col("page_id")
+    linked = '<script type="application/ld+json">[{"@type": "Posting", "url": "/a"}, {"@graph": [{"@type": ["Posting"]}]}]</script>'
+    more = F.when(i % 5 == 0, linked).when(i % 5 == 1, '<script>window.appData = {"url": "/b", "x": "};"};</script>').otherwise("")
+    return parsed(table(spark, sf_dir, "pages").select("page_id", F.concat("html", more).alias("html")), "page_id", "html", "Posting", "window.appData")

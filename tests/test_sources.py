@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tessella.sources import html, json_docs, sinks, snapshots
@@ -108,3 +109,27 @@ def test_late_rows_are_dropped(spark, tmp_path):
     q = last_seen.failing_users(stream, "u", "ts", F.col("f") == 1, "1 hour").writeStream.format("memory").queryName("failing").outputMode("complete").trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert [(r["u"], r["failures"], r["n"]) for r in spark.table("failing").collect()] == [("u", 1, 2)]
+
+
+def test_cards_of_messy_pages():
+    from tessella.sources import cards
+
+    page = """<ul><li><h3>Engineer, Data - Search / Paris</h3><a href=/1>Apply</a><span class="posting-team">Search</span><div id=office>Paris
+      <li><a href="/2"><h2>Cook (Lyon)</h2><span class=location>Lyon</span></a><li><a href="/3">Two</a> <a href="/4">Three</a><h4>Not theirs</h4></ul>
+      <div class="job card"><p>x<p><a href="/5">Paris</a><i class=location>Paris</i></div></b><a href="/6">Alone</a><a href=>No target</a><a href="/7"> </a>"""
+    assert cards.cards_of(page) == [
+        ("/1", "Engineer, Data", "li", "Search", "Paris"), ("/2", "Cook", "li", None, "Lyon"), ("/3", "Two", "li", None, None), ("/4", "Three", "li", None, None),
+        ("/5", "Paris", "div", None, "Paris"), ("/6", "Alone", None, None, None),
+    ]
+    assert cards.cards_of(None) == [] and cards.stripped("Macbook", ["book"]) == "Macbook"
+    deep = "<div>" * 20_000 + '<a href="/x">t</a>'
+    assert cards.cards_of(deep) == [("/x", "t", None, None, None)]
+
+
+def test_strict_pages_are_errors(spark):
+    from tessella.sources.cards import parsed
+
+    d = spark.createDataFrame([(1, '<a href="/x">t</a>'), (2, "none")], "id int, h string")
+    assert sorted(map(tuple, parsed(d, "id", "h", "T", "data =").collect())) == [(1, "cards", 1), (2, "none", 0)]
+    with pytest.raises(PySparkException, match="no rows in page 2"):
+        parsed(d, "id", "h", "T", "data =", strict=True).collect()
