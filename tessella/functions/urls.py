@@ -29,9 +29,16 @@ def query_string(url: Column) -> Column:
 def canonical(url: Column, tracking=TRACKING, prefixes=TRACKING_PREFIXES) -> Column:
     """Lower-case scheme and host, no trailing slashes, parameters without tracking and in order, no fragment.
 
-    What has no scheme is only trimmed; null stays null.
+    Parameters are percent-decoded, so that different writings of one are the same, put in order whatever their case (then by
+    case), and encoded again; what can't be decoded stays as it is.  What has no scheme is only trimmed; null stays null.
     """
     name = lambda p: F.lower(F.element_at(F.split(p, "="), 1))
+    plain = lambda p: F.coalesce(F.try_url_decode(p), p)
+
+    def same(p: Column) -> Column:
+        at = F.instr(p, F.lit("="))
+        value = F.concat(F.lit("="), F.url_encode(plain(F.substr(p, at + 1))))
+        return F.when(at > 0, F.concat(F.url_encode(plain(F.substr(p, F.lit(1), at - 1))), value)).otherwise(F.url_encode(plain(p)))
 
     def kept(p: Column) -> Column:
         good = (p != "") & ~name(p).isin(*tracking)
@@ -39,7 +46,9 @@ def canonical(url: Column, tracking=TRACKING, prefixes=TRACKING_PREFIXES) -> Col
             good = good & ~F.startswith(name(p), F.lit(prefix))
         return good
 
-    params = F.array_join(F.array_sort(F.filter(F.split(query_string(url), "&"), kept)), "&")
+    coded = F.filter(F.transform(F.split(query_string(url), "&"), same), kept)
+    in_order = F.array_sort(F.transform(coded, lambda p: F.struct(F.lower(plain(p)).alias("folded"), p.alias("p"))))
+    params = F.array_join(F.transform(in_order, lambda x: x["p"]), "&")
     base = F.concat(scheme(url), F.lit("://"), authority(url), F.rtrim(path(url), F.lit("/")))
     whole = F.when(params != "", F.concat(base, F.lit("?"), params)).otherwise(base)
     return F.when(scheme(url) == "", F.trim(url)).otherwise(whole)

@@ -88,11 +88,13 @@ def identity_churn(before: DataFrame, after: DataFrame, key: str, content: str)
 def content_fingerprint(rows: DataFrame, digest: str) -> DataFrame:
     """One row: ``fingerprint`` of all rows' hexadecimal digests, whatever their order; repeated rows count.
 
-    Four sums of 32-bit parts and the count combine before the shuffle, so no task sees all digests.
+    Sums of all eight 32-bit parts of a 256-bit digest and the count combine before the shuffle, so no task sees all digests.
+    The sums are decimals of 38 digits, which no number of rows exceeds.
     """
-    parts = [F.sum(F.conv(F.substring(digest, k, 8), 16, 10).cast("long")).alias(f"p{k}") for k in (1, 9, 17, 25)]
+    starts = range(1, 65, 8)
+    parts = [F.sum(F.conv(F.substring(digest, k, 8), 16, 10).cast("decimal(20,0)")).alias(f"p{k}") for k in starts]
     sums = rows.agg(F.count("*").alias("n"), *parts)
-    return sums.select(F.sha2(F.concat_ws("\u001f", "n", "p1", "p9", "p17", "p25"), 256).alias("fingerprint"))
+    return sums.select(F.sha2(F.concat_ws("\u001f", "n", *[F.coalesce(F.col(f"p{k}").cast("string"), F.lit("0")) for k in starts]), 256).alias("fingerprint"))
 
 
 def completeness(rows: DataFrame, fields: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import positions
+
 
 def keep_with_fallback(rows: DataFrame, keep: Column, signal: Column) -> DataFrame:
     """Rows where ``keep`` holds; all rows if none does or if no row has a ``signal``.
@@ -24,7 +26,8 @@ def shortlist(rows: DataFrame, state: DataFrame, key: str, least: int, score: st
     joined = rows.join(state.select(key, "user_status"), key, "left")
     user = F.coalesce("user_status", F.lit(""))
     kept = joined.where((F.col(score) >= least) & (F.coalesce(F.col(status), F.lit("")) != "unavailable") & (user != "ignored"))
-    return kept.withColumn("later", (user == "deprioritized").cast("int"))
+    kept = kept.withColumn("later", (user == "deprioritized").cast("int"))
+    return positions(kept, [], [F.asc("later"), F.desc(score), F.asc(key)], "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def suppress(changes: DataFrame, state: DataFrame, key: str, block_new: list[str], block_other: list[str]) -> DataFrame:

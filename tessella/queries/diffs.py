@@ -258,8 +258,8 @@ _PART = "sum(CAST('0x' || substr(h, {0}, 8) AS BIGINT))::BIGINT"
 @query(
     "unchanged_inputs",
     f"""WITH {_SNAPSHOTS}, r AS (SELECT 'a' AS side, sha256(concat_ws(chr(31), id, lower(trim(status)))) AS h FROM a UNION ALL SELECT 'b', sha256(concat_ws(chr(31), id, lower(trim(status)))) FROM b),
-s AS (SELECT side, count(*) AS n, {", ".join(f"{_PART.format(k)} AS p{k}" for k in (1, 9, 17, 25))} FROM r GROUP BY side),
-f AS (SELECT side, sha256(concat_ws(chr(31), n, p1, p9, p17, p25)) AS fingerprint FROM s)
+s AS (SELECT side, count(*) AS n, {", ".join(f"{_PART.format(k)} AS p{k}" for k in range(1, 65, 8))} FROM r GROUP BY side),
+f AS (SELECT side, sha256(concat_ws(chr(31), n, p1, p9, p17, p25, p33, p41, p49, p57)) AS fingerprint FROM s)
 SELECT side, fingerprint, count(*) OVER (PARTITION BY fingerprint) > 1 AS skip FROM f""",
 )
 def unchanged_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import cache
 from ..registry import query, table
 from ..session import working_folder
-from ..sources import publishing, snapshots
+from ..sources import publishing, replay, snapshots
 
 
 @query(
@@ -153,3 +154,63 @@ def provider_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         writer.trigger(availableNow=True).start().awaitTermination()
     key = F.get_json_object("record", "$.c_custkey").cast("long")
     return spark.read.parquet(f"{at}/out").groupBy("provider", (key % 3).alias("version")).agg(F.count("*").alias("n"), F.sum(key).alias("ids"))
+
+
+@query(
+    "cache_versions",
+    """WITH k AS (SELECT sha256(lower(trim(coalesce(text, '')))) AS k, doc_id % 3 = 0 AS early, doc_id % 3 = 1 AS late FROM documents),
+c AS (SELECT k, bool_or(early) AS early, bool_or(late) AS late FROM k GROUP BY k)
+SELECT 1 AS run, 0 AS hit, count(*) FILTER (early) AS missing, 0 AS outdated, count(*) FILTER (early) AS written FROM c
+UNION ALL SELECT 2, count(*) FILTER (early), count(*) FILTER (NOT early), 0, count(*) FILTER (NOT early) FROM c
+UNION ALL SELECT 3, count(*), 0, 0, 0 FROM c
+UNION ALL SELECT 4, 0, 0, count(*) FILTER (late), count(*) FILTER (late) FROM c
+UNION ALL SELECT 5, count(*), 0, 0, 0 FROM c""",
+)
+def cache_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes cached by content through five runs: a third of the documents, all, all again, a raised version for some, all at the first version."""
+    path = working_folder(spark, "cache")
+    low = F.lower(F.trim(F.coalesce("text", F.lit(""))))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(low, 256).alias("k"), "text")
+    runs = [(docs.where("doc_id % 3 = 0"), 1), (docs, 1), (docs, 1), (docs.where("doc_id % 3 = 1"), 2), (docs, 1)]
+    found = []
+    for number, (rows, version) in enumerate(runs, 1):
+        _, counters = cache.refreshed(rows, path, "k", "kind", version, lambda _: F.when(F.length("text") > 500, "long").otherwise("short"))
+        found.append((number, *(counters[c] for c in ("hit", "missing", "outdated", "written"))))
+    return spark.createDataFrame(found, "run int, hit long, missing long, outdated long, written long")
+
+
+@query(
+    "cached_attributes",
+    """SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN CASE WHEN length(coalesce(text, '')) > 500 THEN 'long' ELSE 'short' END ELSE
+  CASE WHEN length(coalesce(text, '')) > 500 THEN 'long' ELSE 'short' END || CASE WHEN length(coalesce(text, '')) % 2 = 0 THEN ',even' ELSE ',filled' END END AS kinds FROM documents WHERE doc_id % 2 = 0
+UNION ALL SELECT d.doc_id, CASE WHEN length(coalesce(d.text, '')) > 500 THEN 'long' ELSE 'short' END || CASE WHEN e.text IS NULL THEN '' WHEN length(coalesce(d.text, '')) % 2 = 0 THEN ',even' ELSE ',filled' END
+FROM documents d LEFT JOIN (SELECT DISTINCT coalesce(text, '') AS text FROM documents WHERE doc_id % 2 = 0) e ON e.text = coalesce(d.text, '') WHERE d.doc_id % 2 = 1""",
+)
+def cached_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of attributes: made at version 1, at version 2 upgraded by what is new (backfilled where there is nothing) for even documents' contents."""
+    path = working_folder(spark, "cache")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("k"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    first = F.array(F.when(F.col("n") > 500, "long").otherwise("short"))
+    cache.refreshed(docs, path, "k", "kinds", 1, lambda _: first)
+    new = F.when(F.col("n") % 2 == 0, F.array_distinct(F.concat("old_kinds", F.array(F.lit("even")))))
+    cache.refreshed(docs.where("doc_id % 2 = 0"), path, "k", "kinds", 2, lambda _: new, fallback=F.concat("old_kinds", F.array(F.lit("filled"))))
+    out, _ = cache.refreshed(docs, path, "k", "kinds", 1, lambda _: first)
+    return out.select("doc_id", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query(
+    "replay_recalc",
+    """SELECT * FROM (VALUES ('same', 'input', 'orders', NULL), ('same', 'config', '', NULL), ('same', 'output', 'kept', NULL), ('same', 'output', 'recalculated', NULL),
+  ('other', 'input', 'orders', NULL), ('other', 'config', '', 'changed'), ('other', 'output', 'kept', NULL), ('other', 'output', 'recalculated', 'changed')) v(plan, what, name, problem) WHERE (SELECT count(*) FROM orders) > 0""",
+)
+def replay_recalc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's archived inputs recalculated by the plan that made it, and by one with another parameter."""
+    base = working_folder(spark, "replay")
+
+    def plan(least):
+        return lambda inputs: inputs["orders"].where(F.col("o_totalprice") > least).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("most"))
+
+    replay.archive(base, "r1", {"orders": table(spark, sf_dir, "orders")}, plan(1000), {"least": 1000})
+    same = replay.recalculate(spark, base, "r1", plan(1000), {"least": 1000.0}).select(F.lit("same").alias("plan"), "*")
+    other = replay.recalculate(spark, base, "r1", plan(100_000), {"least": 100_000}).select(F.lit("other").alias("plan"), "*")
+    return same.unionByName(other)

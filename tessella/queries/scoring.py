@@ -214,7 +214,8 @@ def reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "shortlist_user_state",
     f"""WITH {_SCORED}, u AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'ignored' WHEN quality = 0 THEN 'deprioritized' ELSE 'saved' END AS user_status FROM labels)
-SELECT f.doc_id, final_score, CASE WHEN u.user_status = 'deprioritized' THEN 1 ELSE 0 END AS later FROM f LEFT JOIN u USING (doc_id)
+SELECT f.doc_id, final_score, CASE WHEN u.user_status = 'deprioritized' THEN 1 ELSE 0 END AS later,
+  row_number() OVER (ORDER BY CASE WHEN u.user_status = 'deprioritized' THEN 1 ELSE 0 END, final_score DESC, f.doc_id) AS rank FROM f LEFT JOIN u USING (doc_id)
 WHERE final_score >= 30 AND coalesce(u.user_status, '') <> 'ignored' AND n_chars > 100""",
 )
 def shortlist_user_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +223,7 @@ def shortlist_user_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.when(F.col("toxic") == 1, "ignored").when(F.col("quality") == 0, "deprioritized").otherwise("saved")
     state = table(spark, sf_dir, "labels").select("doc_id", t.alias("user_status"))
     s = scored_documents(spark, sf_dir).select("doc_id", "final_score", F.when(F.length("text") <= 100, "unavailable").otherwise("ok").alias("status"))
-    return filters.shortlist(s, state, "doc_id", 30, "final_score").select("doc_id", "final_score", "later")
+    return filters.shortlist(s, state, "doc_id", 30, "final_score").select("doc_id", "final_score", "later", "rank")
 
 
 @query(

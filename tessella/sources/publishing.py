@@ -29,12 +29,13 @@ _NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.:-]{0,127}\Z")
 POINTER, MANIFEST = "latest.json", "manifest.json"
 
 
-def _store(base: str):
+def store_of(base: str):
+    """The file system of ``base`` and the path in it."""
     found, path = fs.FileSystem.from_uri(base) if "://" in base else (fs.LocalFileSystem(), base.removeprefix("file:"))
     return found, path.rstrip("/")
 
 
-def _put(store, path: str, content: dict) -> None:
+def put_small(store, path: str, content: dict) -> None:
     """A small file, whole or not at all."""
     part = f"{path}.{uuid.uuid4().hex}"
     with store.open_output_stream(part) as out:
@@ -63,12 +64,12 @@ class _Publisher(DataSourceArrowWriter):
         if not _NAME.match(run) or ".." in run:
             raise ValueError(f"not a name for a run: {run!r}")
         self.base, self.run, self.schema = base, run, to_arrow_schema(schema)
-        store, root = _store(base)
+        store, root = store_of(base)
         if store.get_file_info(f"{root}/runs/{run}/{MANIFEST}").type != fs.FileType.NotFound:
             raise ValueError(f"run {run} is published already")
 
     def write(self, iterator) -> Part:
-        store, root = _store(self.base)
+        store, root = store_of(self.base)
         folder, name, rows = f"{root}/runs/{self.run}", f"part-{uuid.uuid4().hex}.parquet", 0
         store.create_dir(folder, recursive=True)
         with store.open_output_stream(f"{folder}/{name}") as raw, pq.ParquetWriter(raw, self.schema) as out:
@@ -82,15 +83,15 @@ class _Publisher(DataSourceArrowWriter):
         return Part(name, rows, digest.hexdigest())
 
     def commit(self, messages) -> None:
-        store, root = _store(self.base)
+        store, root = store_of(self.base)
         folder = f"{root}/runs/{self.run}"
         store.create_dir(folder, recursive=True)
         parts = sorted((m for m in messages if m), key=lambda m: m.name)
-        _put(store, f"{folder}/{MANIFEST}", {"run": self.run, "rows": sum(p.rows for p in parts), "parts": [{"name": p.name, "rows": p.rows, "sha256": p.sha256} for p in parts]})
-        _put(store, f"{root}/{POINTER}", {"run": self.run})
+        put_small(store, f"{folder}/{MANIFEST}", {"run": self.run, "rows": sum(p.rows for p in parts), "parts": [{"name": p.name, "rows": p.rows, "sha256": p.sha256} for p in parts]})
+        put_small(store, f"{root}/{POINTER}", {"run": self.run})
 
     def abort(self, messages) -> None:
-        store, root = _store(self.base)
+        store, root = store_of(self.base)
         folder = f"{root}/runs/{self.run}"
         if store.get_file_info(folder).type == fs.FileType.Directory:
             store.delete_dir(folder)
@@ -104,7 +105,7 @@ def publish(rows: DataFrame, base: str, run: str) -> None:
 
 def latest_run(spark: SparkSession, base: str) -> str | None:
     """The run that the pointer names."""
-    store, root = _store(base)
+    store, root = store_of(base)
     if store.get_file_info(f"{root}/{POINTER}").type == fs.FileType.NotFound:
         return None
     with store.open_input_stream(f"{root}/{POINTER}") as f:
@@ -114,7 +115,7 @@ def latest_run(spark: SparkSession, base: str) -> str | None:
 def published(spark: SparkSession, base: str, run: str | None = None) -> DataFrame:
     """Rows of ``run``, or of the latest one: the parts that its manifest names."""
     run = run or latest_run(spark, base)
-    store, root = _store(base)
+    store, root = store_of(base)
     with store.open_input_stream(f"{root}/runs/{run}/{MANIFEST}") as f:
         parts = json.loads(f.read())["parts"]
     return spark.read.parquet(*[f"{base.rstrip('/')}/runs/{run}/{p['name']}" for p in parts])
@@ -122,12 +123,12 @@ def published(spark: SparkSession, base: str, run: str | None = None) -> DataFra
 
 def damaged(spark: SparkSession, base: str, run: str) -> DataFrame:
     """(name, problem): parts of ``run`` that are missing or changed; their content is hashed in executors."""
-    store, root = _store(base)
+    store, root = store_of(base)
     with store.open_input_stream(f"{root}/runs/{run}/{MANIFEST}") as f:
         parts = [(p["name"], p["sha256"]) for p in json.loads(f.read())["parts"]]
 
     def run_(batches):
-        here, top = _store(base)
+        here, top = store_of(base)
         for batch in batches:
             problems = []
             for name, sha in zip(*(c.to_pylist() for c in batch.columns)):
@@ -204,7 +205,7 @@ def read_index(spark: SparkSession, base: str) -> tuple[DataFrame, str]:
         return found.select(*[c.split()[0] for c in INDEX.split(", ")]), "read"
     except (PySparkException, Py4JJavaError):  # not every fault of the JVM has a class of its own
         found = scan_runs(spark, base)
-        store, root = _store(base)
+        store, root = store_of(base)
         if store.get_file_info(f"{root}/index").type == fs.FileType.Directory:
             store.delete_dir(f"{root}/index")
         write_index(found, base)
