@@ -7,7 +7,7 @@ many copies the text has, and only digests travel.  A digest entry is the SHA-25
 byte length and an independent 64-bit hash; entries merge only where all three agree, at every level.
 
 Defined results: a null text counts as empty; very long texts are digested whole; a null ``doc_id`` is smaller than any other; of rows with
-equal text *and* ``doc_id`` one arbitrary row stays; an empty table gives an empty result; other
+equal text *and* ``doc_id`` one row stays, an arbitrary one where they differ in other columns; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, rounds
+from .shared import columns, cut, rounds
 
 FAN_IN = 8
 _KEY = ["_sha", "_bytes", "_check"]
@@ -67,11 +67,13 @@ def exact_groups(docs: DataFrame, largest: bool = True, fan_in: int = FAN_IN) ->
 
 
 def drop_copies(docs: DataFrame, largest: bool = True, fan_in: int = FAN_IN) -> DataFrame:
-    """``docs`` with one row for each different text; all columns are kept."""
-    columns = docs.columns
-    kept = exact_groups(docs, largest, fan_in).where("kept").select(
-        F.unhex("text_sha256").alias("_sha"), F.col("doc_id").alias("_keep_id")
-    )
-    own = docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    same = (own["_sha"] == kept["_sha"]) & own["doc_id"].eqNullSafe(kept["_keep_id"])
-    return own.join(kept, same, "left_semi").dropDuplicates(["_sha", "doc_id"]).select(*columns)
+    """``docs`` with one row for each different text; all columns are kept, whatever their names.
+
+    Texts are shuffled once: rows meet the digests that stay and then each other by the same keys.
+    """
+    key = ["_sha", "_id", "_unnamed"]
+    known = lambda c: [F.coalesce(c, F.lit(0)).alias("_id"), c.isNull().alias("_unnamed")]
+    kept = exact_groups(docs, largest, fan_in).where("kept").select(F.unhex("text_sha256").alias("_sha"), *known(F.col("doc_id")))
+    whole = F.struct(*columns(docs)).alias("_row")  # the columns' names cannot clash inside
+    own = docs.select(whole, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("_sha"), *known(F.col("doc_id").cast("long")))
+    return own.join(kept, key, "left_semi").dropDuplicates(key).select("_row.*")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut, rounds
+from .shared import WORD, columns, cut, rounds
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 #: Documents that meet in a block, and blocks whose rests meet in the next level.
@@ -148,12 +148,18 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
 
 
 def take(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; all columns are kept."""
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), "__mix_text")
-    decided = mix(docs, **how).withColumnRenamed("text_hash", "__mix_text").withColumn("__mix_key", key)
-    decided = decided.groupBy("__mix_key", "__mix_text").agg(F.sort_array(F.collect_list("copies")).alias("__mix_copies"))
-    own = docs.withColumn("__mix_text", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__mix_key", key)
-    rank = F.row_number().over(Window.partitionBy("__mix_key", "__mix_text").orderBy("__mix_text"))
-    joined = own.join(decided, ["__mix_key", "__mix_text"]).withColumn("__mix_rank", rank)
-    times = F.sequence(F.lit(0), F.element_at("__mix_copies", F.col("__mix_rank")))
-    return joined.withColumn("__mix_time", F.explode(times)).where("__mix_time > 0").select(*docs.columns)
+    """``docs`` with each row as often as the mix takes it; all columns are kept, whatever their names.
+
+    Of rows that are equal in id, source and text, those come first whose other columns' JSON has the smaller hash.
+    """
+    key = ["_key", "_text"]
+    keyed = lambda h: F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), h).alias("_key")
+    decided = mix(docs, **how).select(keyed("text_hash"), F.col("text_hash").alias("_text"), "copies")
+    decided = decided.groupBy(*key).agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
+    whole = F.struct(*columns(docs)).alias("_row")  # the columns' names cannot clash inside
+    rest = F.xxhash64(F.to_json(F.struct(F.lit(0).alias("_"), *[c for c, name in zip(columns(docs), docs.columns) if name != "text"]))).alias("_rest")
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    own = docs.select(whole, rest, text.alias("_text"), keyed(text))
+    joined = own.join(decided, key).withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy("_rest")))
+    times = F.sequence(F.lit(0), F.element_at("_copies", F.col("_rank")))
+    return joined.withColumn("_time", F.explode(times)).where("_time > 0").select("_row.*")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .chunks import steps
 from .components import components
-from .shared import cut
+from .shared import columns, cut
 
 SHINGLE, SEED, MAX_BITS, GROUPS = 4, 42, 4, 7
 #: Shingles hashed at a time; bounds memory on very long texts.
@@ -421,4 +421,4 @@ def drop_near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> D
     known = docs.where("doc_id IS NOT NULL")
     joined = components(near_copy_edges(known, least, shingle))
     gone = joined.where("node <> root").select(F.col("node").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*columns(docs))

@@ -248,3 +248,18 @@ def test_near_copies_of_every_kind(spark):
     assert len(data) - len(expected) > 80
     d = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
     assert {r["doc_id"] for r in simhash.drop_near_copies(d).collect()} == expected
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Every name that the stages use inside, as a column of the user's."""
+    from tessella.llm import exact_dedup, mixing, simhash, toxicity
+
+    names = ["_sha", "_bytes", "_check", "_run", "_row", "_keep", "_n", "_keep_id", "_id", "_unnamed", "_key", "_text", "_copies", "_rest", "_rank", "_time", "copies", "text_hash", "node", "root", "fp", "a", "b", "place", "task", "score", "predicted", "held_out", "toxic", "a.b", "size", "target", "block", "p", "_"]
+    rows = [(i, f"text {i // 2} of some words " * 9, "s", *[f"{n}{i}" for n in names]) for i in range(12)]
+    d = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    every = {r["doc_id"]: r for r in d.collect()}
+    for out in (exact_dedup.drop_copies(d), mixing.take(d), simhash.drop_near_copies(d), toxicity.drop_toxic(d, labels)):
+        got = out.collect()
+        assert out.columns == d.columns and all(r == every[r["doc_id"]] for r in got)
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_copies(d).collect()) == [1, 3, 5, 7, 9, 11]
