@@ -29,6 +29,8 @@ class ScoreModel:
     ceiling: int = 60  # occurrences in a thousand words that count at most
     attributes: tuple[tuple[str, str, int], ...] = ()  # column, value, points
     bands: tuple[tuple[str, int, int], ...] = ()  # band, percent of the points, points after that
+    damped: tuple[int, int] = (0, 100)  # in scopes of fewer words, rules that take points take this percent of them
+    pins: tuple[tuple[str, str, int], ...] = ()  # column, value, the least adjusted score of rows that have it
 
 
 def bound(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
@@ -58,7 +60,10 @@ def score(rows: DataFrame, model: ScoreModel, title: str, text: str, band: str |
     for i, r in enumerate(model.rules):
         words = F.greatest(F.col(f"_{r.scope}_words"), F.lit(model.floor_words))
         dense = F.least(F.lit(model.ceiling), F.floor(F.col(f"_c{i}") * 1000 / words))
-        hits.append((r.name, F.col(f"_c{i}"), (r.weight * dense).cast("int")))
+        points = r.weight * dense
+        if r.weight < 0 and model.damped[0]:
+            points = F.when(F.col(f"_{r.scope}_words") < model.damped[0], F.ceil(points * model.damped[1] / 100)).otherwise(points)
+        hits.append((r.name, F.col(f"_c{i}"), points.cast("int")))
     for column, value, points in model.attributes:
         has = F.coalesce(F.col(column).cast("string") == value, F.lit(False)).cast("int")
         hits.append((f"{column}={value}", has, has * points))
@@ -70,6 +75,9 @@ def score(rows: DataFrame, model: ScoreModel, title: str, text: str, band: str |
         percent, after = F.when(F.col(band) == name, share).otherwise(percent), F.when(F.col(band) == name, points).otherwise(after)
     scored = found.withColumns({"raw_score": raw, "score_hits": F.transform(ordered, lambda h: F.struct(h["rule"], h["count"], h["points"]))})
     scored = scored.withColumn("adjusted_score", (F.floor(F.col("raw_score") * percent / 100) + after).cast("int"))
+    for column, value, least in model.pins:
+        pinned = F.coalesce(F.col(column).cast("string") == value, F.lit(False))
+        scored = scored.withColumn("adjusted_score", F.when(pinned, F.greatest("adjusted_score", F.lit(least))).otherwise(F.col("adjusted_score")))
     return scored.withColumn("final_score", clamp(F.col("adjusted_score"))).drop(*values, *counts)
 
 

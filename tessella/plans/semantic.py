@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import clamp
 from ..functions.vectors import bag, bag_cosine, boost
-from ..operators.ranking import top
+from ..interfaces import EmbeddingBackend, ValueCache, content_key
+from ..operators.ranking import capped, top
 from ..session import working_folder
 
 
@@ -33,3 +34,22 @@ def boosted(rows: DataFrame, key: str, score: str, text: str, profile: str, k: i
     reason = F.when(~seen, "beyond_top").when(lift > 0, "boosted").otherwise("below_threshold")
     boosted_score = clamp(F.bround(F.col(score) + lift, 0))
     return joined.select(key, seen.alias("evaluated"), reason.alias("reason"), F.col(score).alias("base_score"), "similarity", F.round(lift, 6).alias("boost"), boosted_score.alias("boosted_score"))
+
+
+def sidecar(rows: DataFrame, key: str, text: str, order: list, most: int, backend: EmbeddingBackend, cached: ValueCache) -> tuple[DataFrame, dict[str, int]]:
+    """(key, vector) of the first ``most`` rows in ``order``, and the cache's counters; nothing is ranked anew."""
+    chosen = capped(rows, order, most).select(key, text).withColumn("_content", content_key(backend, F.col(text)))
+    out, counters = cached.refresh(chosen, "_content", "vector", backend.version, lambda _: backend.embed(F.col(text)))
+    return out.select(key, "vector"), counters | {"rows": out.count()}
+
+
+def merged(artifacts: list[tuple[str, DataFrame, dict[str, int]]], spark) -> tuple[DataFrame, DataFrame]:
+    """Artifacts of several profiles as one, with their ``profile``, and a row of counters for each profile and one for all."""
+    rows, counts, total = None, [], {}
+    for profile, found, counters in artifacts:
+        one = found.select(F.lit(profile).alias("profile"), "*")
+        rows = one if rows is None else rows.unionByName(one)
+        counts += [(profile, k, v) for k, v in sorted(counters.items())]
+        total = {k: total.get(k, 0) + v for k, v in counters.items()}
+    counts += [("all", k, v) for k, v in sorted(total.items())]
+    return rows, spark.createDataFrame(counts, "profile string, counter string, n long")

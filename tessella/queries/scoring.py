@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,19 +27,28 @@ MODEL = rules.ScoreModel(
 _BAND = [("core", "^src[0-4]$"), ("near", "^src[5-9]$"), ("far", "^src1[5-9]$")]
 
 
-def _rule_sql() -> str:
+#: The same with weak texts' losses damped and good rows pinned.
+CAREFUL = replace(MODEL, damped=(400, 40), pins=(("label", "1", 35),))
+
+
+def _rule_sql(model: rules.ScoreModel) -> str:
     tokens = "regexp_extract_all(lower(coalesce({0}, '')), '([a-z0-9]+)', 1)"
     scope = {"title": "tt", "text": "tx"}
     counts, hits = [], []
-    for i, r in enumerate(MODEL.rules):
+    for i, r in enumerate(model.rules):
         terms = ", ".join(f"'{t}'" for t in r.terms)
         counts.append(f"len(list_filter({scope[r.scope]}, lambda t: t IN ({terms}))) AS c{i}")
-        hits.append((r.name, f"c{i}", f"{r.weight} * least({MODEL.ceiling}, c{i} * 1000 // greatest(len({scope[r.scope]}), {MODEL.floor_words}))"))
-    for column, value, points in MODEL.attributes:
+        points = f"{r.weight} * least({model.ceiling}, c{i} * 1000 // greatest(len({scope[r.scope]}), {model.floor_words}))"
+        if r.weight < 0 and model.damped[0]:
+            points = f"CASE WHEN len({scope[r.scope]}) < {model.damped[0]} THEN CAST(ceil({points} * {model.damped[1]} / 100.0::DOUBLE) AS INT) ELSE {points} END"
+        hits.append((r.name, f"c{i}", points))
+    for column, value, points in model.attributes:
         hits.append((f"{column}={value}", f"CASE WHEN {column} = '{value}' THEN 1 ELSE 0 END", f"CASE WHEN {column} = '{value}' THEN {points} ELSE 0 END"))
     rows = ", ".join(f"{{'o': -abs({d}), 'i': {i}, 'rule': '{n}', 'count': {c}, 'points': {d}}}" for i, (n, c, d) in enumerate(hits))
     base = " + ".join(f"({d})" for *_, d in hits)
-    percent, after = (" ".join(f"WHEN '{n}' THEN {v}" for n, v in ((b[0], b[k]) for b in MODEL.bands)) for k in (1, 2))
+    percent, after = (" ".join(f"WHEN '{n}' THEN {v}" for n, v in ((b[0], b[k]) for b in model.bands)) for k in (1, 2))
+    pins = "".join(f"WHEN {c} = '{v}' THEN greatest({least}, adjusted_score) " for c, v, least in model.pins)
+    pinned = f"CASE {pins}ELSE adjusted_score END" if pins else "adjusted_score"
     return f"""
 d AS (SELECT doc_id, lang, source, text, split_part(text, '.', 1) AS title, length(text) AS n_chars, l.label,
         CASE WHEN regexp_matches(source, '^src[0-4]$') THEN 'core' WHEN regexp_matches(source, '^src[5-9]$') THEN 'near'
@@ -47,19 +58,19 @@ t AS (SELECT *, {tokens.format('title')} AS tt, {tokens.format('text')} AS tx FR
 n AS (SELECT *, {', '.join(counts)} FROM t),
 b AS (SELECT *, {base} AS raw_score, list_sort(list_filter([{rows}], lambda h: h.count > 0)) AS hits FROM n),
 s AS (SELECT *, CAST(floor(raw_score * CASE band {percent} ELSE 100 END / 100.0::DOUBLE) + CASE band {after} ELSE 0 END AS INT) AS adjusted_score FROM b),
-f AS (SELECT *, greatest(0, least(100, adjusted_score)) AS final_score FROM s)
+f AS (SELECT * REPLACE ({pinned} AS adjusted_score), greatest(0, least(100, {pinned})) AS final_score FROM s)
 """
 
 
-_SCORED = _rule_sql()
+_SCORED = _rule_sql(MODEL)
 
 
-def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_documents(spark: SparkSession, sf_dir: str, model: rules.ScoreModel = MODEL) -> DataFrame:
     """documents with title, band and scores; the label is the quality mark where there is one."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
     d = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
     d = d.withColumns({"title": F.split_part("text", F.lit("."), F.lit(1)), "band": rules.first_match(F.col("source"), _BAND, "other")})
-    return rules.score(d, MODEL, "title", "text", "band")
+    return rules.score(d, model, "title", "text", "band")
 
 
 @query("rule_score", f"WITH {_SCORED} SELECT doc_id, CAST(raw_score AS INT) AS raw_score, adjusted_score, CAST(final_score AS INT) AS final_score FROM f")
@@ -67,6 +78,12 @@ def rule_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_documents(spark, sf_dir).select("doc_id", "raw_score", "adjusted_score", "final_score")
 
 
+@query("rule_score_careful", f"WITH {_rule_sql(CAREFUL)} SELECT doc_id, CAST(raw_score AS INT) AS raw_score, CAST(adjusted_score AS INT) AS adjusted_score, CAST(final_score AS INT) AS final_score FROM f")
+def rule_score_careful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores with damped losses of short texts, and a floor under rows that are marked as good."""
+    return scored_documents(spark, sf_dir, CAREFUL).select("doc_id", "raw_score", "adjusted_score", "final_score")
+
+
 @query(
     "rule_hits_top3",
     f"""WITH {_SCORED} SELECT doc_id,

@@ -83,3 +83,50 @@ def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = d.where("doc_id % 3 = 0").groupBy("key").agg(F.min("n").alias("value"))
     out = history.cached(d, cache, "key", F.col("value").isNotNull(), "value", F.col("n"))
     return out.groupBy("hit").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query(
+    "semantic_sidecar",
+    """WITH p AS (SELECT unnest(['long', 'first']) AS profile), r AS (SELECT profile, doc_id, coalesce(text, '') AS t, row_number() OVER (PARTITION BY profile ORDER BY CASE profile WHEN 'long' THEN -n_chars ELSE doc_id END, doc_id) AS i FROM documents, p),
+k AS (SELECT * FROM r WHERE i <= 300), a AS (SELECT DISTINCT t FROM k WHERE profile = 'long'), b AS (SELECT DISTINCT k.t, a.t IS NOT NULL AS hit FROM k LEFT JOIN a ON a.t = k.t WHERE profile = 'first'),
+c AS (SELECT 'long' AS profile, (SELECT count(*) FROM a) AS missing, 0 AS hit, (SELECT count(*) FROM k WHERE profile = 'long') AS rows UNION ALL SELECT 'first', count(*) FILTER (NOT hit), count(*) FILTER (hit), (SELECT count(*) FROM k WHERE profile = 'first') FROM b),
+u AS (SELECT profile, unnest([('hit', hit), ('missing', missing), ('outdated', 0), ('rows', rows), ('written', missing)]) AS x FROM c)
+SELECT profile, x[1] AS counter, x[2]::BIGINT AS n FROM u UNION ALL SELECT 'all', x[1], sum(x[2])::BIGINT FROM u GROUP BY x[1]""",
+)
+def semantic_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of two profiles' first documents through one cache: its counters by profile and for all."""
+    from ..interfaces import FolderCache, TextHashBackend
+    from ..plans.semantic import merged, sidecar
+    from ..session import working_folder
+
+    docs, cached = table(spark, sf_dir, "documents"), FolderCache(working_folder(spark, "vectors"))
+    orders = {"long": [F.desc("n_chars"), F.asc("doc_id")], "first": [F.asc("doc_id")]}
+    artifacts = [(profile, *sidecar(docs, "doc_id", "text", order, 300, TextHashBackend(), cached)) for profile, order in orders.items()]
+    return merged(artifacts, spark)[1]
+
+
+class _Counting:
+    """Answers from a text's own length; none for every third length, and none that is JSON for every fifth."""
+
+    name = "counting"
+
+    def answers(self, texts: list[str]) -> list[str | None]:
+        return [None if len(t) % 3 == 0 else "broken" if len(t) % 5 == 0 else f'{{"kind": "by answer", "size": "{len(t)}", "tags": "n{len(t) % 2}, x"}}' for t in texts]
+
+
+@query(
+    "augmented_records",
+    """WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents), p AS (SELECT doc_id, n, n % 3 = 0 OR n % 5 = 0 AS ruled FROM d)
+SELECT doc_id, CASE WHEN ruled THEN 'by rule' ELSE 'by answer' END AS kind, least(1000, n)::INT AS size, CASE WHEN ruled THEN 'rule,x' ELSE 'n' || n % 2 || ',x' END AS tags,
+  (CASE WHEN NOT ruled AND n % 2 = 1 THEN 2 ELSE 0 END + 1) * 100 // 3 AS score FROM p""",
+)
+def augmented_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a provider's answers, rules where it has none, and a score of how they match."""
+    from ..interfaces import FolderCache
+    from ..plans.augment import augmented, match_score
+    from ..session import working_folder
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ruled = F.concat(F.lit('{"kind": "by rule", "tags": ["rule", "x"], "size": '), F.length(F.coalesce("text", F.lit(""))).cast("string"), F.lit("}"))
+    out, _ = augmented(docs, _Counting(), FolderCache(working_folder(spark, "answers")), "text", 1, ruled, ["kind"], {"size": (0, 1000)}, ["tags"])
+    return out.select("doc_id", "payload.kind", "payload.size", F.array_join("payload.tags", ",").alias("tags"), match_score(["n1"], ["x"], F.col("payload.tags")).alias("score"))
