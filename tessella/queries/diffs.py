@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import digest, normalise
 from ..operators import diff, filters
+from ..plans import insights
 from ..registry import query, table
 
 #: before: keys not divisible by 7; after: keys not divisible by 5, with some fields moved.
@@ -294,3 +295,36 @@ def alerts_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = snapshots(spark, sf_dir)
     gone = a.join(b.select("id"), "id", "left_anti").select("id", "score")
     return diff.worth_showing(alerts(spark, sf_dir), b.select("id", "score").unionByName(gone), "id", "score", 150, 100).select("id", "kind", "score", "rank")
+
+
+_PERIOD = f"""WITH {_SNAPSHOTS}, {_diff_sql(['status', 'score'])}, s AS (SELECT x.id, x.kind, b.score FROM x JOIN b USING (id)),
+m AS (SELECT (SELECT median(score) FROM a) AS before, (SELECT median(score) FROM b) AS after)
+SELECT 'change' AS section, kind AS name, count(*)::DOUBLE AS value FROM x GROUP BY kind
+UNION ALL (SELECT 'top_new', id::VARCHAR, score FROM s WHERE kind = 'new' ORDER BY score DESC, id LIMIT 5)
+UNION ALL (SELECT 'top_changed', id::VARCHAR, score FROM s WHERE kind = 'changed' ORDER BY score DESC, id LIMIT 5)
+UNION ALL (SELECT 'family', priority, count(*) FROM b GROUP BY priority ORDER BY count(*) DESC, lower(priority), priority LIMIT 5)
+UNION ALL SELECT 'bucket', '..50', count(*) FILTER (score < 50) FROM b UNION ALL SELECT 'bucket', '50..150', count(*) FILTER (score >= 50 AND score < 150) FROM b UNION ALL SELECT 'bucket', '150..', count(*) FILTER (score >= 150) FROM b
+UNION ALL SELECT 'median', 'before', before FROM m UNION ALL SELECT 'median', 'after', after FROM m UNION ALL SELECT 'trend', 'median', round_even(after - before, 3) FROM m"""
+
+
+@query("period_insights", _PERIOD)
+def period_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that a period's report needs: changes, top rows, families, buckets, medians and their trend."""
+    return insights.period(*snapshots(spark, sf_dir), "id", ["status", "score"], "score", "priority", [50, 150])
+
+
+@query("insights_reused", f"SELECT run, reused, count(*) AS n FROM ({_PERIOD}), (VALUES (1, false), (2, true), (3, false)) v(run, reused) GROUP BY ALL")
+def insights_reused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report made, reused while its metadata are equal, and made again for another version."""
+    from ..session import working_folder
+    from ..sources.replay import fingerprint
+
+    path, out = working_folder(spark, "insights"), None
+    before, after = snapshots(spark, sf_dir)
+    inputs = {"before": fingerprint(before), "after": fingerprint(after)}
+    make = lambda: insights.period(before, after, "id", ["status", "score"], "score", "priority", [50, 150])
+    for run, version in ((1, 1), (2, 1.0), (3, 2)):
+        rows, was = insights.reused(spark, path, {"inputs": inputs, "version": version}, make)
+        one = rows.groupBy(F.lit(run).alias("run"), F.lit(was).alias("reused")).agg(F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -214,3 +214,31 @@ def replay_recalc(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = replay.recalculate(spark, base, "r1", plan(1000), {"least": 1000.0}).select(F.lit("same").alias("plan"), "*")
     other = replay.recalculate(spark, base, "r1", plan(100_000), {"least": 100_000}).select(F.lit("other").alias("plan"), "*")
     return same.unionByName(other)
+
+
+@query(
+    "input_selection",
+    """WITH n AS (SELECT count(*) AS docs FROM documents), r(step, name, there, reason) AS (VALUES
+  (1, 'answered', false, 'missing'), (1, 'enriched', true, 'chosen'), (1, 'labelled', true, 'enriched comes first'),
+  (2, 'answered', false, 'missing'), (2, 'enriched', true, 'older than labelled'), (2, 'labelled', true, 'chosen'),
+  (3, 'answered', true, 'off'), (3, 'enriched', true, 'chosen'), (3, 'labelled', true, 'not asked for'))
+SELECT step, name, there, reason, CASE WHEN reason = 'chosen' THEN docs END AS n FROM r, n""",
+)
+def input_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which artifact a run reads: the refined one, the raw one that is newer, the one that is asked for; with what was read."""
+    from ..sources import selection
+
+    at, docs, out = working_folder(spark, "artifacts"), table(spark, sf_dir, "documents").select("doc_id", "lang"), None
+    candidates = [(n, f"{at}/{n}") for n in ("answered", "enriched", "labelled")]
+    steps = [(("labelled", "enriched"), {}), (("labelled",), {}), (("answered",), {"off": {"answered"}, "only": "enriched"})]
+    for step, (made, how) in enumerate(steps, 1):
+        for name in made:
+            docs.write.mode("overwrite").parquet(f"{at}/{name}")
+        best, rows = selection.chosen(candidates, **how)
+        read = spark.read.parquet(f"{at}/{best}").agg(F.count("doc_id").alias("n"))
+        found = selection.explained(spark, rows).select(F.lit(step).alias("step"), "name", "there", "reason").join(F.broadcast(read))  # one row
+        found = found.withColumn("n", F.when(F.col("reason") == "chosen", F.col("n")))
+        found.write.parquet(f"{at}/step-{step}")  # what was read changes with the next step
+        found = spark.read.parquet(f"{at}/step-{step}")
+        out = found if out is None else out.unionByName(found)
+    return out
