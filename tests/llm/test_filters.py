@@ -52,7 +52,7 @@ def test_pairs_are_learnt():
     """Two terms that are harmless alone: no additive weights can tell, the factors can."""
     rows = [[], [0], [1], [0, 1]] * 50
     y = np.array([0, 0, 0, 1] * 50, float)
-    m = toxicity.Machine(np.arange(2), *toxicity.fit(rows, y, 2))
+    m = toxicity.Machine(np.arange(2), *toxicity.fit(toxicity.Bags.of(rows), y, 2))
     assert m.logit([0, 1]) > 0 > max(m.logit([0]), m.logit([1]), m.logit([]))
 
 
@@ -74,7 +74,7 @@ def test_scores_match_brute_force():
     rng = np.random.default_rng(5)
     m = toxicity.Machine(np.arange(30), 0.3, rng.normal(size=30), rng.normal(size=(30, 4)))
     rows = [sorted(rng.choice(30, rng.integers(0, 30), replace=False).tolist()) for _ in range(40)] + [[]]
-    plain = [m.w0 + sum(m.w[i] for i in r) + sum(m.v[i] @ m.v[j] for k, i in enumerate(r) for j in r[:k]) for r in rows]
+    plain = [m.w0 + sum(m.w[i] for i in r) + sum((m.v[i] * m.v[j]) @ toxicity.SIGNS for k, i in enumerate(r) for j in r[:k]) for r in rows]
     assert m.logits(rows) == pytest.approx(plain) and m.logit(rows[0]) == pytest.approx(plain[0])
 
 
@@ -90,7 +90,45 @@ def test_telling_pairs_match_brute_force():
             odds = np.log(cells[:, :, 1] / cells[:, :, 0])
             if abs(odds[1, 1] - odds[1, 0] - odds[0, 1] + odds[0, 0]) / np.sqrt((1 / cells).sum()) >= 3:
                 expected |= {a, b}
-    assert {2, 7} <= expected and set(toxicity.telling_pairs(rows, y, 12, np.arange(12), 3).tolist()) == expected
+    assert {2, 7} <= expected and set(toxicity.telling_pairs(toxicity.Bags.of(rows), y, 12, np.arange(12), 3).tolist()) == expected
+
+
+@pytest.mark.parametrize("form", ["both", "both or neither"])
+@pytest.mark.parametrize("words", [2, 3, 60])
+def test_many_words_a_side(form, words):
+    """Toxic where a word of one group meets one of the other; 60 words are each in about 1 % of the texts."""
+    rng = np.random.default_rng(words)
+    rows, y, n_terms = [], [], 2 * words + 2000
+    for _ in range(6000):
+        common = 2 * words + np.unique(np.minimum((rng.pareto(1.0, 40) * 20).astype(int), 1999))
+        share = 0.01 if words == 60 else None
+        sides = [g[rng.random(words) < share] if share else g[rng.integers(words, size=1)] if rng.random() < 0.5 else g[:0] for g in (np.arange(words), np.arange(words, 2 * words))]
+        has = [len(g) > 0 for g in sides]
+        rows.append(np.concatenate((*sides, common)))
+        y.append(float(all(has) if form == "both" else has[0] == has[1]))
+    y = np.array(y)
+    fitted, tested = toxicity.Bags.of(rows[:4800]), toxicity.Bags.of(rows[4800:])
+    t = np.bincount(fitted.flat, y[fitted.owner], n_terms)
+    df, n1, n0 = np.bincount(fitted.flat, minlength=n_terms), y[:4800].sum(), (1 - y[:4800]).sum()
+    p = df / 4800
+    z = np.abs(t / n1 - (df - t) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
+    picked = toxicity.selected(fitted, y[:4800], (z >= toxicity.LEAST_Z) & (df >= toxicity.LEAST_DF), df)
+    machine = toxicity.fit(fitted.only(picked, n_terms), y[:4800], len(picked))
+    right = (toxicity.logits_of(tested.only(picked, n_terms), *machine) > 0) == (y[4800:] == 1)
+    assert right.mean() >= (0.9 if (form, words) == ("both or neither", 60) else 0.99)
+
+
+def test_eigenvectors_match_a_matrix():
+    rng = np.random.default_rng(8)
+    x = rng.random((200, 15)) < 0.3
+    r = rng.normal(size=200)
+    own = (x - x.mean(0)) / np.sqrt(x.mean(0) * (1 - x.mean(0)))
+    c = (r - r.mean()) / np.sqrt(((r - r.mean()) ** 2).sum())
+    m = own.T @ (c[:, None] * own)
+    np.fill_diagonal(m, 0)
+    values, vectors = toxicity.eigenvectors(toxicity.Bags.of([np.flatnonzero(k) for k in x]), r, 15, np.arange(15), 2, 400)
+    assert np.abs(m @ vectors - vectors * values).max() < 1e-6
+    assert np.abs(values) == pytest.approx(sorted(np.abs(np.linalg.eigvalsh(m)))[-1:-3:-1])
 
 
 def test_held_out_labels_change_nothing(spark, labelled):
