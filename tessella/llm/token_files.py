@@ -107,7 +107,7 @@ def _encoded(docs: DataFrame, path: str, end: int, bounds: list[int], width: int
                 for k in np.flatnonzero(high - low > 1).tolist():
                     bucket[k] = low[k] + zlib.crc32(raw[k]) % (high[k] - low[k] + 1)
                 n = pa.array([len(x) // width for x in raw], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bucket), n, pa.array([zlib.compress(x, 1) for x in raw], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bucket), n, pa.array([pa.compress(x, codec="lz4", asbytes=True) for x in raw], pa.binary())], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, bucket int, n long, ids binary")
 
@@ -167,16 +167,20 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = END, bucket: in
     dealt = _encoded(docs, tokenizer, end, bounds, width).repartitionById(len(bounds) + 1, "bucket")
     by_id = cut(dealt.sortWithinPartitions(_nulls_first(), "ids"))
 
+    def plain(ids: bytes, n: int) -> bytes:
+        return pa.decompress(ids, n * width, codec="lz4", asbytes=True)
+
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            seen = np.bincount(np.frombuffer(b"".join(map(zlib.decompress, batch.column(0).to_pylist())), kind), minlength=len(total))
+            raw = b"".join(map(plain, batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            seen = np.bincount(np.frombuffer(raw, kind), minlength=len(total))
             seen[: len(total)] += total
             total = seen
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    counted = by_id.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = by_id.select("ids", "n").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = np.array([r["id"] for r in counted.orderBy(F.desc("n"), "id").collect()], "<u4")  # bounded by the vocabulary
     rank_of = np.zeros(int(ranked.max(initial=0)) + 1, np.uint32)
     rank_of[ranked] = np.arange(len(ranked), dtype=np.uint32)
@@ -197,9 +201,9 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = END, bucket: in
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, schema.types)], schema=schema)
 
         for batch in batches:
-            for at, doc, ids in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for at, doc, ids, n in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 start = int(starts[at]) if start < 0 else start  # a partition is a bucket
-                raw.append(zlib.decompress(ids))
+                raw.append(plain(ids, n))
                 docs_.append(doc)
                 have += len(raw[-1]) // width
                 if have >= RUN:
@@ -209,7 +213,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = END, bucket: in
             yield row()
 
     spark.createDataFrame([(ranked.tobytes(),)], "ids binary").coalesce(1).write.option("compression", "none").parquet(f"{path}/ranks")
-    coded = by_id.select("bucket", "doc_id", "ids").mapInArrow(runs, "start long, doc_ids array<long>, counts array<long>, n long, control binary, data binary")
+    coded = by_id.select("bucket", "doc_id", "ids", "n").mapInArrow(runs, "start long, doc_ids array<long>, counts array<long>, n long, control binary, data binary")
     coded.write.option("compression", "none").parquet(f"{path}/ids")
 
 
