@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .chunks import TextEncoder, pieces, steps
+from .chunks import _MARKS, TextEncoder, pieces, steps
 from .shared import cut, shared_path
 
 END = 2
@@ -41,6 +41,7 @@ BUCKET, RUN = 8_192, 1 << 18
 MOST_BUCKETS = 32_768
 #: Words that a worker remembers, about, and half as many pieces.
 CACHE = 700_000
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 #: Stands for a null doc_id where rows are ordered.
 FIRST = -(1 << 63)
 
@@ -68,15 +69,32 @@ class Encoder(TextEncoder):
         tokenizer = Tokenizer.from_file(path)
         self.model, self.splitter, self.letters = tokenizer.model, tokenizer.pre_tokenizer, _byte_letters()
         self.pattern = regex.compile(public_tokenizers.PATTERN).findall
+        self.space = self.letters[32]
         self.size = 1 + max(tokenizer.get_vocab(with_added_tokens=False).values())
         super().__init__(self._ids, self._cut, CACHE)
 
+    def _chunk(self, chunk: str) -> bytes:
+        """As the base class has it; a word of ASCII letters, perhaps with a mark after it, needs no general path."""
+        if chunk.isascii():
+            word = chunk[1:] if chunk[0] == " " else chunk
+            if word.isalpha():
+                return self._letters_only(chunk)
+            if word[-1:] in _MARKS and word[:-1].isalpha():
+                return self.pieces[chunk[:-1]] + self.pieces[chunk[-1]]
+        return super()._chunk(chunk)
+
+    def _letters_only(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(self.space + piece[1:] if piece[0] == " " else piece)]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
     def _cut(self, chunk: str) -> list[str]:
         if not chunk.isascii() and max(chunk) > "\u024f":  # beyond Latin, letters depend on the library's own tables
             return [chunk[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(chunk)]
         return pieces(chunk, self.pattern)
 
     def _ids(self, piece: str) -> bytes:
+        if piece.isascii() and piece[piece[0] == " " :].isalpha():
+            return self._letters_only(piece)
         ids = [t.id for t in self.model.tokenize(piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
