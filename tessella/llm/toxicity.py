@@ -46,8 +46,8 @@ LEAST_Z, LEAST_DF = 4.0, 4
 PAIR_Z, PAIR_DF, PAIR_SHARE = 6.0, 24, 1 / 40
 #: Terms whose pairs with all others are tested at a time: bounds the driver's memory.
 PAIR_STEP = 256
-#: Rows of the sample that are laid out at a time.
-PAIR_ROWS = 1_024
+#: Rows of the sample that are laid out at a time, by all frequent terms and by their own terms.
+PAIR_ROWS, SUM_ROWS = 1_024, 256
 #: Eigenvectors that are looked at, how far above shuffled labels' an eigenvalue must be, and a word's least part in them, in times the mean.
 GROUPS, ABOVE, LOAD = 6, 1.05, 2.5
 #: Rounds of residual gradients, the least z of one, the steps of the fits between, and rounds without a gain that are allowed.
@@ -99,9 +99,9 @@ class Bags:
     """Texts as the places of their terms, one after the other."""
 
     def __init__(self, flat: np.ndarray, lengths: np.ndarray):
-        self.flat, self.lengths = flat.astype(np.int64), lengths.astype(np.int64)
+        self.flat, self.lengths = flat.astype(np.int32), lengths.astype(np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)))
-        self.owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.owner = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
 
     @classmethod
     def of(cls, rows: list) -> Bags:
@@ -115,9 +115,17 @@ class Bags:
         """The texts that ``keep`` marks."""
         return Bags(self.flat[keep[self.owner]], self.lengths[keep])
 
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """For each text the sum of its terms' rows of ``values``; some texts at a time."""
+        out = np.zeros((len(self), *values.shape[1:]))
+        for at in range(0, len(self), SUM_ROWS):
+            starts = self.starts[at : at + SUM_ROWS + 1]
+            out[at : at + SUM_ROWS] = segment_sums(values[self.flat[starts[0] : starts[-1]]], starts - starts[0])
+        return out
+
     def only(self, picked: np.ndarray, n_terms: int) -> Bags:
         """With the terms ``picked`` alone, by their places in it."""
-        new = np.full(n_terms, -1)
+        new = np.full(n_terms, -1, np.int32)
         new[picked] = np.arange(len(picked))
         flat = new[self.flat]
         return Bags(flat[flat >= 0], np.bincount(self.owner[flat >= 0], minlength=len(self)))
@@ -142,9 +150,8 @@ class Machine:
 
 
 def logits_of(bags: Bags, w0: float, w: np.ndarray, v: np.ndarray) -> np.ndarray:
-    own = v[bags.flat]
-    pairs = (segment_sums(own, bags.starts) ** 2 - segment_sums(own**2, bags.starts)) @ SIGNS
-    return w0 + segment_sums(w[bags.flat], bags.starts) + 0.5 * pairs
+    pairs = (bags.sums(v) ** 2 - bags.sums(v**2)) @ SIGNS
+    return w0 + bags.sums(w) + 0.5 * pairs
 
 
 def balanced(y: np.ndarray) -> np.ndarray:
@@ -232,13 +239,12 @@ def eigenvectors(bags: Bags, r: np.ndarray, n_terms: int, candidates: np.ndarray
     mean = p * scale
     r = r - r.mean()
     r = r / max(np.sqrt((r**2).sum()), 1e-30)
-    order = np.argsort(own.flat, kind="stable")
-    text, ends = own.owner[order], np.searchsorted(own.flat[order], np.arange(m + 1))
-    diagonal = segment_sums(r[text], ends) * ((scale - mean) ** 2 - mean**2)
+    diagonal = np.bincount(own.flat, r[own.owner], m) * ((scale - mean) ** 2 - mean**2)
 
     def times(q: np.ndarray) -> np.ndarray:
-        found = r[:, None] * (segment_sums((scale[:, None] * q)[own.flat], own.starts) - mean @ q)
-        return scale[:, None] * segment_sums(found[text], ends) - mean[:, None] * found.sum(0) - diagonal[:, None] * q
+        found = r[:, None] * (own.sums(scale[:, None] * q) - mean @ q)
+        by_term = np.stack([np.bincount(own.flat, found[own.owner, c], m) for c in range(q.shape[1])], 1)
+        return scale[:, None] * by_term - mean[:, None] * found.sum(0) - diagonal[:, None] * q
 
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(m, k)))[0]
     for _ in range(rounds):
@@ -274,7 +280,7 @@ def unexplained(bags: Bags, y: np.ndarray, n_terms: int, picked: np.ndarray, can
     """The ``candidates`` whose gradient, alone or with a factor of ``machine`` (over ``picked``), differs from chance."""
     inside, v = bags.only(picked, n_terms), machine[2]
     r = residuals(inside, y, machine)
-    with_ = np.concatenate((np.ones((len(bags), 1)), segment_sums(v[inside.flat], inside.starts)), 1)
+    with_ = np.concatenate((np.ones((len(bags), 1)), inside.sums(v)), 1)
     with_[:, 1:] -= with_[:, 1:].mean(0)
     g = r[:, None] * with_
     g -= g.mean(0)
