@@ -60,11 +60,12 @@ def numeric_id(url: Column) -> Column:
 
 
 def resolve(base: Column, link: Column) -> Column:
-    """``link`` as seen from the page ``base``."""
+    """``link`` as seen from the page ``base``; where that has no scheme, only a link that has one itself is known, else null."""
     root = F.concat(scheme(base), F.lit("://"), authority(base))
     folder = F.regexp_extract(path(base), r"^(.*/)", 1)
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(scheme(base) == "", F.lit(None))
         .when(F.startswith(link, F.lit("//")), F.concat(scheme(base), F.lit(":"), link))
         .when(F.startswith(link, F.lit("/")), F.concat(root, link))
         .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), link))

@@ -68,12 +68,15 @@ def merge_identities(rows: DataFrame, key: str, sets: list[str], firsts: list[st
     return rows.groupBy(key).agg(*unions, *first)
 
 
-def failure_islands(rows: DataFrame, key: str, order: list[str], failed: Column, least: int) -> DataFrame:
-    """key, island, length, first: runs of ``least`` or more consecutive failures, as a breaker would open on."""
+def failure_islands(rows: DataFrame, key: str, order: list[str], failed: Column, least: int, first: str | None = None) -> DataFrame:
+    """key, island, length, first: runs of ``least`` or more consecutive failures, as a breaker would open on.
+
+    ``first`` is the least of that column in the run; the first of ``order`` where it is left out.
+    """
     by = Window.partitionBy(key).orderBy(*order)
     island = F.sum((~failed).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
     marked = rows.withColumns({"__island": island, "__failed": failed}).where("__failed")
-    out = marked.groupBy(key, F.col("__island").cast("long").alias("island")).agg(F.count("*").alias("length"), F.min(order[0]).alias("first"))
+    out = marked.groupBy(key, F.col("__island").cast("long").alias("island")).agg(F.count("*").alias("length"), F.min(first or order[0]).alias("first"))
     return out.where(F.col("length") >= least)
 
 

@@ -127,12 +127,7 @@ def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three or more failures in a row, as gaps and islands."""
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
     failed = (F.col("event_type") == "error") | (F.col("value") < 20)
-    by_time = e.select("event_id", "user_id", "ts", failed.alias("failed"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    islands = by_time.withColumn("island", F.sum((~F.col("failed")).cast("long")).over(w)).where("failed")
-    return islands.groupBy("user_id", "island").agg(F.count("*").alias("length"), F.min("event_id").alias("first_event")).where("length >= 3")
+    return history.failure_islands(e, "user_id", ["ts", "event_id"], failed, 3, "event_id").withColumnRenamed("first", "first_event")
 
 
 @query(

@@ -101,16 +101,15 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "relative_links",
     """WITH b AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS s, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS h,
-  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM pages WHERE regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://')),
+  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM pages),
 d AS (SELECT *, lower(s) || '://' || lower(h) AS root, regexp_extract(p, '^(.*/)', 1) AS folder FROM b)
-SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://other.org/x' WHEN 1 THEN lower(s) || '://cdn.org/y' WHEN 2 THEN root || '/top' ELSE root || CASE WHEN folder = '' THEN '/' ELSE folder END || 'next' END AS link FROM d""",
+SELECT page_id, CASE WHEN page_id % 4 <> 0 AND coalesce(s, '') = '' THEN NULL ELSE CASE page_id % 4 WHEN 0 THEN 'https://other.org/x' WHEN 1 THEN lower(s) || '://cdn.org/y' WHEN 2 THEN root || '/top' ELSE root || CASE WHEN folder = '' THEN '/' ELSE folder END || 'next' END END AS link FROM d""",
 )
 def relative_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Absolute, protocol-relative, rooted and relative links, as seen from their page."""
     i = F.col("page_id") % 4
     link = F.when(i == 0, "https://other.org/x").when(i == 1, "//cdn.org/y").when(i == 2, "/top").otherwise("next")
-    pages = table(spark, sf_dir, "pages").where(F.col("url").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"))
-    return pages.select("page_id", urls.resolve(F.col("url"), link).alias("link"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.resolve(F.col("url"), link).alias("link"))
 
 
 def _postings_html() -> Column:
