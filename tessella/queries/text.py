@@ -123,7 +123,10 @@ def _postings_html() -> Column:
 
 
 def _part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", _postings_html().alias("html"))
+    """Pages of parts.  A row of some bytes becomes a page that is parsed, and a million rows may be one partition of the file: they are dealt first."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_brand")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return parts.repartition(tasks, "p_partkey").select("p_partkey", _postings_html().alias("html"))
 
 
 @query(

@@ -171,18 +171,21 @@ def postings(nodes: DataFrame, key: str) -> DataFrame:
     """
     from .json_docs import field, first_wins
 
-    v = F.try_parse_json("node")
+    v = F.col("__v")
     get = lambda path: F.nullif(F.trim(F.try_variant_get(v, path, "string")), F.lit(""))
 
     def place(at: str):
         parts = F.concat_ws(", ", *[get(f"{at}.address.{p}") for p in ("addressLocality", "addressRegion", "addressCountry")])
         return F.coalesce(F.nullif(parts, F.lit("")), get(f"{at}.name"), F.when(~F.startswith(F.ltrim(get(at)), F.lit("{")) & ~F.startswith(F.ltrim(get(at)), F.lit("[")), get(at)))
 
-    rows = nodes.select(
-        key, "_ord", field(v, "url", "sameAs").alias("url"), field(v, "title", "name").alias("title"),
+    fields = F.struct(
+        field(v, "url", "sameAs").alias("url"), field(v, "title", "name").alias("title"),
         F.coalesce(get("$.hiringOrganization.name"), get("$.publisher.name"), F.when(~F.startswith(get("$.hiringOrganization"), F.lit("{")), get("$.hiringOrganization"))).alias("organisation"),
         F.coalesce(place("$.jobLocation[0]"), place("$.jobLocation[1]"), place("$.jobLocation")).alias("location"),
     )
+    # out of a generator, so that a node is parsed once and not for each use of a field
+    parsed = nodes.select(key, "_ord", F.try_parse_json("node").alias("__v"))
+    rows = parsed.select(key, "_ord", F.explode(F.array(fields)).alias("__r")).select(key, "_ord", "__r.*")
     return first_wins(rows.where("url IS NOT NULL AND title IS NOT NULL"), "url")
 
 

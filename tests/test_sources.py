@@ -133,3 +133,18 @@ def test_strict_pages_are_errors(spark):
     assert sorted(map(tuple, parsed(d, "id", "h", "T", "data =").collect())) == [(1, "cards", 1), (2, "none", 0)]
     with pytest.raises(PySparkException, match="no rows in page 2"):
         parsed(d, "id", "h", "T", "data =", strict=True).collect()
+
+
+def test_part_pages_are_dealt_before_they_are_parsed(spark, small):
+    """A table of one partition is parsed in as many tasks as there are cores."""
+    from tessella.queries.text import _part_pages
+
+    pages = _part_pages(spark, small)
+    tasks = pages.select("p_partkey", F.spark_partition_id().alias("t")).groupBy("t").count().count()
+    assert tasks > 1 and pages.count() == spark.read.parquet(f"{small}/part.parquet").count()
+
+
+def test_a_node_is_parsed_once(pages):
+    found = html.postings(html.embedded_json(pages, "page_id", "html", node_type="Posting"), "page_id")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") == 1
