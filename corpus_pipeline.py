@@ -28,7 +28,7 @@ def exact_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of near copies: texts that share four fifths of their five-word shingles (see the README)."""
+    """Keeps the smallest doc_id of near copies, texts that share four fifths of their five-word shingles: op2's links, verified, and the rest (see the README)."""
     return simhash.drop_near_copies(docs)
 
 
@@ -39,8 +39,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text decoded from them."""
-    # executors have grown in the stages before: workers remember less here
-    return bpe.round_trip(docs, RANKS, PATTERN, bpe.FEW_STATES, bpe.FEW_CHUNKS)
+    # executors have grown in the stages before: workers remember less here, and nothing for the next stages
+    return bpe.round_trip(docs, RANKS, PATTERN, bpe.FEW_STATES, bpe.FEW_CHUNKS, keep=False)
 
 
 STAGES = [

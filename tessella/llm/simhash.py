@@ -271,9 +271,11 @@ def spanning(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     return out
 
 
-def near_copy_edges(docs: DataFrame, least: float, shingle: int) -> DataFrame:
+def near_copy_edges(docs: DataFrame, least: float, shingle: int, joined: DataFrame | None = None) -> DataFrame:
     """(a, b) of doc_ids that join the same documents as all pairs do that share ``least`` of their shingles.
 
+    ``joined(node, root)`` names groups that are joined already: pairs inside of one are not verified.
+
     Each set is posted under its ``prefix``, in which similar sets meet.  A bucket of equal shingles becomes
     the pairs that lengths and places allow; where those are many, it is searched with its members' sets.
     """
@@ -348,8 +350,19 @@ def near_copy_edges(docs: DataFrame, least: float, shingle: int) -> DataFrame:
 
     postings = ids.mapInArrow(post, _POSTING).repartition("key").sortWithinPartitions("key")
     met = cut(postings.mapInArrow(meet, "a long, b long, key int, i int, j int"))
-    pairs = cut(met.where("b IS NOT NULL").select("a", "b").distinct())
+    pairs = met.where("b IS NOT NULL").select("a", "b").distinct()
+    if joined is not None:
+        root = lambda end: joined.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        pairs = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+        pairs = pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    pairs = cut(pairs)
     crowds = met.where("b IS NULL").select(F.col("a").alias("doc_id"), "key", "i", "j")
+    return verified(ids, pairs, crowds, least, shingle)
+
+
+def verified(ids: DataFrame, pairs: DataFrame, crowds: DataFrame | None, least: float, shingle: int) -> DataFrame:
+    """(a, b): the ``pairs`` that share ``least`` of their shingles, and pairs that span those of every crowd (key, i, j) that do."""
+    crowds = ids.sparkSession.createDataFrame([], "doc_id long, key int, i int, j int") if crowds is None else crowds
     involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowds.select("doc_id"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
     words = involved.select(place.alias("place")).groupBy((F.col("place") / 64).cast("int").alias("word"))
@@ -404,6 +417,17 @@ def near_copy_edges(docs: DataFrame, least: float, shingle: int) -> DataFrame:
     return work.mapInArrow(verify, "a long, b long")
 
 
+def fingerprint_pairs(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(a, b), a < b: pairs of doc_ids that span the links of ``near_groups``: each document and the first of its fingerprint, and these by the grid join."""
+    base = cut(fingerprints(docs))
+    by_fp = cut(base.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    links = link_edges(by_fp.select(F.lit(0).alias("family"), "fp"), max_bits)
+    of = lambda end: by_fp.select(F.col("fp").alias(end), F.col("first").alias(f"first_{end}"))
+    across = links.join(of("a"), "a").join(of("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    both = across.unionByName(base.join(by_fp, "fp").select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
+    return both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar(p: np.ndarray, q: np.ndarray, least: float) -> bool:
     """Whether two sets of distinct shingles share ``least`` of their union."""
     both = len(np.intersect1d(p, q, assume_unique=True))
@@ -414,11 +438,15 @@ def drop_near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> D
     """``docs`` with one document, of the smallest doc_id, of each group of near copies.
 
     Near copies share at least ``least`` of their ``shingle``-word shingles, as sets of 32-bit hashes; groups
-    are the components of all such pairs.  No pair is left out: candidates meet in their prefixes and are
-    verified exactly.
+    are the components of all such pairs.  Pairs that fingerprints link (see ``near_groups``) are verified first;
+    what they join needs no second look.  Most near copies' fingerprints differ in more bits, so the other
+    candidates meet in their prefixes, and no pair is left out.
     Rows whose doc_id is null stay; rows that share a doc_id stay or go together.
     """
     known = docs.where("doc_id IS NOT NULL")
-    joined = components(near_copy_edges(known, least, shingle))
+    ids = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    linked = cut(verified(ids, cut(fingerprint_pairs(known)), None, least, shingle))
+    others = near_copy_edges(known, least, shingle, cut(components(linked)))
+    joined = components(linked.unionByName(others))
     gone = joined.where("node <> root").select(F.col("node").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*columns(docs))

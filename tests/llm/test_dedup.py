@@ -263,3 +263,28 @@ def test_stages_keep_columns_of_any_name(spark):
         got = out.collect()
         assert out.columns == d.columns and all(r == every[r["doc_id"]] for r in got)
     assert sorted(r["doc_id"] for r in exact_dedup.drop_copies(d).collect()) == [1, 3, 5, 7, 9, 11]
+
+
+def test_the_pipeline_links_by_fingerprints(spark, monkeypatch):
+    """The near-copy stage takes op2's links, verifies them, and verifies no pair that they have joined again."""
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    words = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    data = []
+    for _ in range(8):
+        line, text, long = words(11) * 60, words(60), words(900)
+        # a line often repeated: equal fingerprints, few shingles in common; words appended: near copies by shingles alone; one word changed: both
+        data += [line + words(20), line + words(20), text, text + words(12), long, [*long[:400], "changed", *long[401:]]]
+    data = [(i, " ".join(t)) for i, t in enumerate(data)] + [(60, ""), (61, None), (None, "no id")]
+    known = [(i, t) for i, t in data if i is not None]
+    d = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    pairs = {(r["a"], r["b"]) for r in simhash.fingerprint_pairs(d.where("doc_id IS NOT NULL")).collect()}
+    groups = plain_groups([(i, plain_fingerprint(t)) for i, t in known], 4)
+    assert {b: a for a, b in pairs} == {i: r for i, r in groups.items() if i != r} and {(k, k + 1) for k in range(0, 48, 6)} <= pairs
+    asked, verified = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda ids, p, *rest: asked.append({(r["a"], r["b"]) for r in p.collect()}) or verified(ids, p, *rest))
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup_filter(spark, d, "").collect()} == plain_kept(known) | {None}
+    by_fingerprint, others = asked
+    assert by_fingerprint == pairs and not others & {p for p in pairs if p[0] % 6 == 4}
+    assert {(k, k + 1) for k in range(2, 48, 6)} & others
