@@ -21,6 +21,7 @@ doc_id too; other columns are ignored, whatever their names; an empty table give
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import struct
 from functools import lru_cache
@@ -259,11 +260,21 @@ def codec(path: str, pattern: str, states: int = MAX_STATES, chunks: int = MAX_C
     return ByteBpe(path, pattern, states, chunks)
 
 
-def _per_text(docs: DataFrame, schema: str, names: list[str], rows) -> DataFrame:
+def forget() -> None:
+    """Frees a worker's codec."""
+    codec.cache_clear()
+    gc.collect()  # its parts refer to each other
+
+
+def _per_text(docs: DataFrame, schema: str, names: list[str], rows, done=None) -> DataFrame:
+    """``rows`` of each text; ``done`` is called when a task ends."""
+
     def run(batches):
         for batch in batches:
             for part in steps(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), *rows(part.column(1))], names)
+        if done:
+            done()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
@@ -290,10 +301,11 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, states: int = MAX_STATES, chunks: int = MAX_CHUNKS) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, states: int = MAX_STATES, chunks: int = MAX_CHUNKS, keep: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: texts are encoded and their ids decoded in one pass.
 
-    ``states`` and ``chunks`` bound what a worker remembers; results don't depend on them.
+    ``states`` and ``chunks`` bound what a worker remembers; unless it is to ``keep`` its codec, that ends with a
+    task.  Results don't depend on them.
     """
 
     def rows(texts):
@@ -305,4 +317,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, states: int = MAX_STATE
         return [pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)]
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    return _per_text(docs, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", names, rows)
+    return _per_text(docs, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", names, rows, None if keep else forget)
