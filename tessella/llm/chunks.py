@@ -20,8 +20,10 @@ import pyarrow.compute as pc
 #: Unicode White_Space (fixed values), as the split pattern's \s has it.
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: White space other than single spaces and line feeds between words.
-_ODD = re.compile(f"[{_WS}][{_WS}]|\\A[{_WS}]|[{_WS}]\\Z|[\t\v-\r\x85\xa0" + _WS[6:] + "]")
+#: White space that is odd anywhere, and what else of spaces and line feeds is odd between words.
+_ODD_ASCII = ["\t", "\v", "\f", "\r"]
+_ODD_OTHER = [c for c in map(chr, range(0x80, 0x3001)) if re.match(f"[{_WS}]", c)]
+_DOUBLED = ["  ", "\n\n", " \n", "\n "]
 #: Marks that never join letters.
 _MARKS = frozenset(".,;:!?")
 #: Longer chunks are not remembered.
@@ -30,6 +32,16 @@ LONG = 64
 STEP = 1 << 21
 
 
+def odd(text: str) -> bool:
+    """Whether a text has white space other than single spaces and line feeds between words.
+
+    A dozen plain searches take a tenth of the time of one regular expression.
+    """
+    if text[0] in " \n" or text[-1] in " \n":
+        return True
+    return any(map(text.__contains__, _DOUBLED)) or any(map(text.__contains__, _ODD_ASCII)) or not text.isascii() and any(map(text.__contains__, _ODD_OTHER))
+
+
 def pieces(chunk: str, split: Callable[[str], list[str]]) -> list[str]:
     """A chunk's pieces by ``split``, which words and words with a mark after them don't need."""
     word = chunk.removeprefix(" ")
@@ -81,7 +93,7 @@ class TextEncoder:
     def text(self, text: str | None) -> bytes:
         """Ids of one text."""
         text = text or ""
-        if not text or _ODD.search(text):
+        if not text or odd(text):
             return b"".join(map(self.bare.__getitem__, _CHUNK.findall(text)))
         out = []
         for line in text.split("\n"):

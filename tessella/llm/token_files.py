@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from codecs import charmap_decode
 from functools import lru_cache
 
 import numpy as np
@@ -41,6 +42,8 @@ BUCKET, RUN = 8_192, 1 << 18
 MOST_BUCKETS = 32_768
 #: Words that a worker remembers, about, and half as many pieces.
 CACHE = 700_000
+#: The last letter of which Python's classes and the library's are the same.
+LATIN = "\u024f"
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 #: Stands for a null doc_id where rows are ordered.
 FIRST = -(1 << 63)
@@ -67,35 +70,44 @@ class Encoder(TextEncoder):
         if splits["type"] != "ByteLevel" or splits["add_prefix_space"] or not splits.get("use_regex", True) or made["normalizer"]:
             raise ValueError("only a plain byte-level tokenizer can be encoded chunk by chunk")
         tokenizer = Tokenizer.from_file(path)
-        self.model, self.splitter, self.letters = tokenizer.model, tokenizer.pre_tokenizer, _byte_letters()
+        self.model, self.splitter = tokenizer.model, tokenizer.pre_tokenizer
+        self.letters = "".join(letter for _, letter in sorted(_byte_letters().items()))
         self.pattern = regex.compile(public_tokenizers.PATTERN).findall
         self.space = self.letters[32]
         self.size = 1 + max(tokenizer.get_vocab(with_added_tokens=False).values())
         super().__init__(self._ids, self._cut, CACHE)
 
     def _chunk(self, chunk: str) -> bytes:
-        """As the base class has it; a word of ASCII letters, perhaps with a mark after it, needs no general path."""
-        if chunk.isascii():
-            word = chunk[1:] if chunk[0] == " " else chunk
-            if word.isalpha():
+        """As the base class has it; a word of Latin letters, perhaps with a mark after it, needs no general path."""
+        word = chunk[1:] if chunk[0] == " " else chunk
+        if word.isalpha():
+            if chunk.isascii() or max(word) <= LATIN:
                 return self._letters_only(chunk)
-            if word[-1:] in _MARKS and word[:-1].isalpha():
-                return self.pieces[chunk[:-1]] + self.pieces[chunk[-1]]
+        elif word[-1:] in _MARKS and word[:-1].isalpha() and (chunk.isascii() or max(word) <= LATIN):
+            return self._letters_only(chunk[:-1]) + self.pieces[chunk[-1]]
         return super()._chunk(chunk)
 
     def _letters_only(self, piece: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(self.space + piece[1:] if piece[0] == " " else piece)]
+        if piece.isascii():
+            found = self.model.tokenize(self.space + piece[1:] if piece[0] == " " else piece)
+        else:
+            found = self.model.tokenize(self._spelt(piece))
+        ids = [t.id for t in found]
         return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
+    def _spelt(self, piece: str) -> str:
+        """The letters of a piece's bytes."""
+        return charmap_decode(piece.encode("utf-8", "replace"), "strict", self.letters)[0]
+
     def _cut(self, chunk: str) -> list[str]:
-        if not chunk.isascii() and max(chunk) > "\u024f":  # beyond Latin, letters depend on the library's own tables
+        if not chunk.isascii() and max(chunk) > LATIN:  # beyond Latin, letters depend on the library's own tables
             return [chunk[a:b] for _, (a, b) in self.splitter.pre_tokenize_str(chunk)]
         return pieces(chunk, self.pattern)
 
     def _ids(self, piece: str) -> bytes:
         if piece.isascii() and piece[piece[0] == " " :].isalpha():
             return self._letters_only(piece)
-        ids = [t.id for t in self.model.tokenize(piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters))]
+        ids = [t.id for t in self.model.tokenize(self._spelt(piece))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
 

@@ -143,3 +143,29 @@ def test_part_files_ascend_without_overlap(spark, hot):
     assert flat == sorted(-1 if x is None else x for x, _ in rows)
     assert len(parts) >= 8 and max(map(len, parts)) < 120
     assert token_files.read(spark, path).agg(F.max(F.col("start") + F.col("n_tokens")), F.sum("n_tokens")).first()[0] == token_files.read(spark, path).agg(F.sum("n_tokens")).first()[0]
+
+
+def test_odd_white_space_and_latin_words_take_the_short_path(monkeypatch):
+    """Plain searches find what the pattern of white space does; no Latin word is cut by the general path."""
+    import random
+    import re
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tessella.llm import chunks, token_files
+
+    ws = chunks._WS
+    pattern = re.compile(f"[{ws}][{ws}]|\\A[{ws}]|[{ws}]\\Z|[\t\v-\r\x85\xa0" + ws[6:] + "]")
+    rng = random.Random(4)
+    for _ in range(4000):
+        text = "".join(rng.choices("ab\u00e9\u4e00" + rng.choice([" \n", " \n\t", " \u2003\n", "\x85\x1c ", "\u3000\u200b "]), k=rng.randrange(1, 9)))
+        assert chunks.odd(text) == bool(pattern.search(text))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), token_files.Encoder(path)
+    words = ["\u00e9t\u00e9", " \u00e9t\u00e9", " na\u00efve,", "\u00c9t\u00e9.", " \u0159e\u010d", " stra\u00dfe!", "plain", " plain?", " \u4e2d\u6587."]
+    for w in words:
+        assert encoder.text(w) == token_files.np.array(library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+    monkeypatch.setattr(encoder, "_cut", lambda chunk: 1 / 0)
+    for w in (" h\u00e9las", " h\u00e9las;", "Gr\u00f6\u00dfe"):
+        assert encoder._chunk(w)
