@@ -5,7 +5,8 @@ non-whitespace character into whitespace, and lets at most one leading space joi
 text falls into chunks, each either whitespace or an optional space and a run of other characters,
 that encode independently of each other.
 
-Frequent chunks are encoded once per worker; what was asked for lately is remembered.
+Frequent chunks are encoded once per worker; what was asked for lately is remembered.  Texts are cut together by
+Arrow, and only their distinct words are looked up.
 """
 
 from __future__ import annotations
@@ -53,19 +54,19 @@ def pieces(chunk: str, split: Callable[[str], list[str]]) -> list[str]:
 
 
 class Recent(dict):
-    """key -> value, made by ``make(prefix + key)`` at first sight; at most about ``most`` entries are remembered.
+    """key -> value, made by ``make(key)`` at first sight; at most about ``most`` entries are remembered.
 
     When half as many are new, the older ones go that were not asked for since the last time.
     """
 
-    def __init__(self, make: Callable[[str], bytes], most: int, prefix: str = ""):
+    def __init__(self, make: Callable[[str], bytes], most: int):
         super().__init__()
-        self.make, self.most, self.prefix, self.old = make, max(1, most // 2), prefix, {}
+        self.make, self.most, self.old = make, max(1, most // 2), {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
         if value is None:
-            value = self.make(self.prefix + key)
+            value = self.make(key)
         if len(key) <= LONG:
             if len(self) >= self.most:
                 self.old = dict(self)
@@ -73,6 +74,10 @@ class Recent(dict):
             self[key] = value
         return value
 
+    def seen(self, key: str) -> bytes | None:
+        """The value if it is remembered."""
+        return self.get(key) or self.old.get(key)
+
 
 class TextEncoder:
     """Ids of texts (little-endian unsigned 32-bit integers in bytes).
@@ -83,9 +88,13 @@ class TextEncoder:
 
     def __init__(self, make: Callable[[str], bytes], cut: Callable[[str], list[str]], most: int):
         self.cut, self.make, self.pieces = cut, make, Recent(make, most // 2)
-        self.bare, self.spaced = Recent(self._chunk, most // 8), Recent(self._chunk, most, " ")
+        self.bare, self.spaced = Recent(self._chunk, most // 8), Recent(self._joined, most)
         self.newline = self._chunk("\n")
 
+    def _joined(self, word: str) -> bytes:
+        """A word with the space before it; one that begins with a line feed has that instead."""
+        return self.newline + self.bare[word[1:]] if word[0] == "\n" else self._chunk(" " + word)
+
     def _chunk(self, chunk: str) -> bytes:
         found = self.cut(chunk)
         return self.make(chunk) if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
@@ -106,7 +115,39 @@ class TextEncoder:
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text."""
-        return list(map(self.text, texts))
+        out, plain, size = [b""] * len(texts), [], 0
+        for k, text in enumerate(texts):
+            if not text or len(text) > STEP or odd(text):
+                out[k] = self.text(text)
+                continue
+            plain.append(k)
+            size += len(text)
+            if size >= STEP:
+                self._plain(texts, plain, out)
+                plain, size = [], 0
+        if plain:
+            self._plain(texts, plain, out)
+        return out
+
+    def _plain(self, texts: list[str | None], at: list[int], out: list[bytes]) -> None:
+        """Puts the ids of ``texts``, none of them odd, into ``out``, both at the places ``at``."""
+        try:
+            column = pa.array([f"\n{texts[k]}" for k in at])
+        except UnicodeEncodeError:  # lone surrogates
+            for k in at:
+                out[k] = self.text(texts[k])
+            return
+        # each line begins a word, the first one too; its line feed's ids are left out below
+        lists = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
+        words = lists.flatten().dictionary_encode()
+        # the first word is the empty one before each text's first line
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = pa.array([b"", *map(self.spaced.__getitem__, distinct[1:])], pa.binary())
+        ids = known.take(words.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[lists.offsets.to_numpy()].tolist()
+        data, skip = memoryview(ids.buffers()[2]), len(self.newline)
+        for k, a, b in zip(at, ends, ends[1:]):
+            out[k] = bytes(data[a + skip : b])
 
 
 def steps(batch: pa.RecordBatch, text: int, most: int = STEP) -> Iterator[pa.RecordBatch]:

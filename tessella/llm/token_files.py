@@ -84,7 +84,8 @@ class Encoder(TextEncoder):
             if chunk.isascii() or max(word) <= LATIN:
                 return self._letters_only(chunk)
         elif word[-1:] in _MARKS and word[:-1].isalpha() and (chunk.isascii() or max(word) <= LATIN):
-            return self._letters_only(chunk[:-1]) + self.pieces[chunk[-1]]
+            known = self.spaced.seen(word[:-1]) if word is not chunk else None
+            return (known or self._letters_only(chunk[:-1])) + self.pieces[chunk[-1]]
         return super()._chunk(chunk)
 
     def _letters_only(self, piece: str) -> bytes:
@@ -144,17 +145,13 @@ def _encoded(docs: DataFrame, path: str, end: int, bounds: list[int], width: int
 
 def compress(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of ``ranks``."""
-    ranks = ranks.astype(np.uint32)
-    size = 1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    codes[: len(ranks)] = size - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    ends = np.cumsum(size)
-    data = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
-    for k in range(4):
-        at = np.flatnonzero(size > k)
-        data[ends[at] - size[at] + k] = (ranks[at] >> np.uint32(8 * k)) & np.uint32(0xFF)
-    return control.tobytes(), data.tobytes()
+    ranks = ranks.astype("<u4")
+    codes, used = np.zeros(-(-len(ranks) // 4) * 4, np.uint8), np.ones((len(ranks), 4), bool)
+    for k in (1, 2, 3):
+        used[:, k] = ranks >> np.uint32(8 * k) != 0
+        codes[: len(ranks)] += used[:, k]
+    control = codes[::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
+    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
 
 
 #: Lengths of the four values of every control byte.
