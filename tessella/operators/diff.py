@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def one_a_key(rows: DataFrame, key: str, order: str, last: bool = True) -> DataFrame:
-    """The last (or first) row by ``order`` of each key; an aggregate that combines before the shuffle."""
+def one_a_key(rows: DataFrame, key: str | list[str], order: str, last: bool = True) -> DataFrame:
+    """The last (or first) row by ``order`` of each key, of one column or several; an aggregate that combines before the shuffle."""
     pick = F.max_by if last else F.min_by
-    found = rows.groupBy(F.col(key).alias("__key")).agg(pick(F.struct(*rows.columns), F.col(order)).alias("__row"))
+    keys = [key] if isinstance(key, str) else key
+    found = rows.groupBy(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]).agg(pick(F.struct(*rows.columns), F.col(order)).alias("__row"))
     return found.select(*[F.col(f"__row.{c}").alias(c) for c in rows.columns])
 
 

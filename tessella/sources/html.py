@@ -10,6 +10,7 @@ import json
 import re
 from html.parser import HTMLParser
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -164,29 +165,53 @@ def contents(pages: DataFrame, key: str, html: str, least: int = 200) -> DataFra
     return _rows(pages, key, html, "content string", ["content"], lambda p: [(main_content(p, least=least),)])
 
 
+def location(value) -> str | None:
+    """The place that JSON names: text, an object's address or else its name, or the first of a list that gives one, lists in it opened."""
+    waiting = [value]
+    while waiting:
+        value = waiting.pop()
+        if isinstance(value, list):
+            waiting += reversed(value)
+        elif isinstance(value, dict):
+            address = value.get("address")
+            parts = [_text(address.get(p)) for p in ("addressLocality", "addressRegion", "addressCountry")] if isinstance(address, dict) else []
+            if found := ", ".join(p for p in parts if p) or _text(value.get("name")):
+                return found
+        elif found := _text(value):
+            return found
+    return None
+
+
+def _text(value) -> str:
+    return value.strip() if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
 def postings(nodes: DataFrame, key: str) -> DataFrame:
-    """Fields of linked-data nodes: url, title, organisation, location; first wins on url; both must be there.
+    """Fields of linked-data nodes: url, title, organisation, location; first wins on url in each page; both must be there.
 
-    A location is text, an object with a name or an address, or a list of which the first that gives one counts.
+    A location is text, an object with a name or an address, or a list of which the first that gives one counts,
+    however long the list is, lists in it opened.  Spark's JSON parser reads 1,000 levels; a node with more is no posting.
     """
-    from .json_docs import field, first_wins
+    from ..operators.diff import one_a_key
+    from .json_docs import field
 
     v = F.col("__v")
     get = lambda path: F.nullif(F.trim(F.try_variant_get(v, path, "string")), F.lit(""))
 
-    def place(at: str):
-        parts = F.concat_ws(", ", *[get(f"{at}.address.{p}") for p in ("addressLocality", "addressRegion", "addressCountry")])
-        return F.coalesce(F.nullif(parts, F.lit("")), get(f"{at}.name"), F.when(~F.startswith(F.ltrim(get(at)), F.lit("{")) & ~F.startswith(F.ltrim(get(at)), F.lit("[")), get(at)))
+    @F.pandas_udf("string")
+    def place(texts: pd.Series) -> pd.Series:
+        return pd.Series([location(_parse(t)) for t in texts], dtype=object)
 
     fields = F.struct(
         field(v, "url", "sameAs").alias("url"), field(v, "title", "name").alias("title"),
         F.coalesce(get("$.hiringOrganization.name"), get("$.publisher.name"), F.when(~F.startswith(get("$.hiringOrganization"), F.lit("{")), get("$.hiringOrganization"))).alias("organisation"),
-        F.coalesce(place("$.jobLocation[0]"), place("$.jobLocation[1]"), place("$.jobLocation")).alias("location"),
+        F.to_json(F.try_variant_get(v, "$.jobLocation", "variant")).alias("location"),
     )
     # out of a generator, so that a node is parsed once and not for each use of a field
     parsed = nodes.select(key, "_ord", F.try_parse_json("node").alias("__v"))
     rows = parsed.select(key, "_ord", F.explode(F.array(fields)).alias("__r")).select(key, "_ord", "__r.*")
-    return first_wins(rows.where("url IS NOT NULL AND title IS NOT NULL"), "url")
+    first = one_a_key(rows.where("url IS NOT NULL AND title IS NOT NULL"), [key, "url"], "_ord", last=False)
+    return first.withColumn("location", place("location"))
 
 
 def with_fallback(pages: DataFrame, html: str, cache: DataFrame, value: str) -> DataFrame:

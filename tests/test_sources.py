@@ -148,3 +148,29 @@ def test_a_node_is_parsed_once(pages):
     found = html.postings(html.embedded_json(pages, "page_id", "html", node_type="Posting"), "page_id")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parse_json") + plan.count("parseJson") == 1
+
+
+def _locations(spark, *found):
+    pages = [(1, '<script type="application/ld+json">' + json.dumps({"@type": "Posting", "title": f"T{i}", "url": f"u{i:03}", "jobLocation": x}) + "</script>") for i, x in enumerate(found)]
+    nodes = html.embedded_json(spark.createDataFrame(pages, "page_id int, html string"), "page_id", "html", node_type="Posting")
+    return [r["location"] for r in html.postings(nodes, "page_id").orderBy("url").collect()]
+
+
+def test_a_location_may_stand_anywhere_in_a_list(spark):
+    deep = "Ulm"
+    for _ in range(50):
+        deep = ["", deep]
+    lists = [["", {}, "Ulm"], [""] * 500 + [{"name": "Bonn"}, "x"], [[], [None, ["", [" "]]], [{"address": {"addressCountry": "DE"}}]], deep, ["", None, {"name": ""}], []]
+    assert _locations(spark, *lists) == ["Ulm", "Bonn", "DE", "Ulm", None, None]
+
+
+def test_forms_of_a_location(spark):
+    forms = ["[Remote] Ulm", "{x}", " ", None, {"address": "Street", "name": "Bonn"}, {"address": {"addressLocality": "Ulm", "addressRegion": " ", "addressCountry": "DE"}, "name": "x"}, {"address": {}, "name": "Köln"}, ["[x]"], 5]
+    assert _locations(spark, *forms) == ["[Remote] Ulm", "{x}", None, None, "Bonn", "Ulm, DE", "Köln", "[x]", "5"]
+
+
+def test_first_wins_within_a_page(spark, pages):
+    """Pages that share postings keep theirs, whichever is read first."""
+    both = pages.where("page_id = 1").union(pages.where("page_id = 1").select(F.lit(9), "html")).repartition(2, "page_id")
+    got = sorted(map(tuple, html.postings(html.embedded_json(both, "page_id", "html", node_type="Posting"), "page_id").select("page_id", "url", "title").collect()))
+    assert got == [(p, u, t) for p in (1, 9) for u, t in (("http://x/1", "A"), ("http://x/2", "B"))]
